@@ -65,3 +65,9 @@ def components(edges: DataFrame, left: str = "a", right: str = "b", rounds: int
         raise RuntimeError("connected components did not settle")
     roots = links.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return links.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
+
+
+def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """df, to be broadcast if it has at most so many rows (of a few numbers each); else it is joined by a shuffle."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= rows else df

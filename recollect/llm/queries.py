@@ -13,12 +13,24 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recollect.llm.minhash import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recollect.llm.packing import pack, with_crc
 
     return with_crc(pack(read(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recollect.llm.pii import pii
+
+    return pii(read(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recollect.llm.bpe import round_trip
 
@@ -31,5 +43,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op7_packing, op9_bpe, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op4_minhash, op7_packing, op8_pii, op9_bpe, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}

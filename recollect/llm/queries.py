@@ -13,12 +13,25 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recollect.llm.topk import top_k
+
+    vectors = read(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recollect.llm.minhash import near_duplicates
 
     return near_duplicates(read(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op6_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recollect.llm.embed import near_vectors
+
+    return near_vectors(read(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recollect.llm.packing import pack, with_crc
 
@@ -43,5 +56,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op4_minhash, op7_packing, op8_pii, op9_bpe, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op3_topk, op4_minhash, op6_embedding, op7_packing, op8_pii, op9_bpe, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -25,7 +26,6 @@ from pyspark.sql import functions as F
 from recollect.llm.common import row_key
 
 LEAF = 32_768  #: characters of a leaf
-CACHE = 150_000  #: words whose encoding a worker keeps
 WINDOW = 8  #: tokens on each side of a join that are encoded again at first
 
 # The pattern that splits text before the merges, as the vocabulary was made with it.
@@ -39,22 +39,6 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-class _Words(dict):
-    """Encoding of ' ' + word, kept for frequent words; emptied when full."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, word):
-        if len(self) >= CACHE:
-            self.clear()
-        found = self.encode(" " + word)
-        if len(word) < 40:
-            self[word] = found
-        return found
-
-
 class Node:
     """An encoded stretch: its text, ids, and where its last piece starts (in characters)."""
 
@@ -86,20 +70,11 @@ class Codec:
         self.width = np.array([len(x) for x in self.token], dtype=np.int64)
         self.pieces = regex.compile(PATTERN)
         self.parts = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        # A space among other white space isn't always a border between pieces; other single spaces are.
-        self.mixed = regex.compile(r"\s (?:\s|$)")
         self.border = regex.compile(r"(?r)(?<=\p{L}) (?=\p{L})")  # searched from the end
-        self.words = _Words(lambda s: np.array(self.bpe.encode_ordinary(s), dtype="<u4").tobytes())
 
     def _plain(self, text: str) -> bytes:
-        """Ids, little-endian, of a text without special tokens; words are encoded one by one where that is exact."""
-        if not text:
-            return b""
-        if self.mixed.search(text):
-            return np.array(self.bpe.encode_ordinary(text), dtype="<u4").tobytes()
-        first, *rest = text.split(" ")
-        start = np.array(self.bpe.encode_ordinary(first), dtype="<u4").tobytes() if first else b""
-        return start + b"".join(map(self.words.__getitem__, rest))
+        """Ids, little-endian, of a text without special tokens."""
+        return array("I", self.bpe.encode_ordinary(text)).tobytes()
 
     def split(self, text: str) -> list[tuple[str, bool]]:
         """The text around its special tokens: (part, whether it is one)."""

@@ -13,6 +13,12 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recollect.llm.secrets import secrets
+
+    return secrets(read(spark, sf_dir, "documents"))
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recollect.llm.topk import top_k
 
@@ -56,5 +62,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op3_topk, op4_minhash, op6_embedding, op7_packing, op8_pii, op9_bpe, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op3_topk, op4_minhash, op6_embedding, op7_packing, op8_pii, op9_bpe, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}

@@ -19,6 +19,12 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(read(spark, sf_dir, "documents"))
 
 
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recollect.llm.lines import line_report
+
+    return line_report(read(spark, sf_dir, "documents"))
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recollect.llm.topk import top_k
 
@@ -62,5 +68,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op3_topk, op4_minhash, op6_embedding, op7_packing, op8_pii, op9_bpe, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_lines, op3_topk, op4_minhash, op6_embedding, op7_packing, op8_pii, op9_bpe, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}

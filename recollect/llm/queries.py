@@ -38,6 +38,12 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recollect.llm.suffix import repeated_passages
+
+    return repeated_passages(read(spark, sf_dir, "documents"), min_words=50)
+
+
 def op6_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recollect.llm.embed import near_vectors
 
@@ -68,5 +74,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_lines, op3_topk, op4_minhash, op6_embedding, op7_packing, op8_pii, op9_bpe, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_lines, op3_topk, op4_minhash, op5_suffix, op6_embedding, op7_packing, op8_pii, op9_bpe, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}

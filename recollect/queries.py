@@ -8,3 +8,5 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+from recollect.plans import graphs, retrieval, tapes  # noqa: E402, F401  they register their queries here

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-ORDER = Window.partitionBy("session").orderBy("ts", "event_id")
+def order() -> WindowSpec:
+    """Each session's events in their order."""
+    return Window.partitionBy("session").orderBy("ts", "event_id")
 
 
 def wilson(successes: Column, n: Column, z: float = 1.96) -> Column:
@@ -21,7 +24,7 @@ def micros(ts: Column) -> Column:
 
 def bigrams(tape: DataFrame) -> DataFrame:
     """The tape with the tool before each event."""
-    return tape.withColumn("before", F.lag("tool").over(ORDER))
+    return tape.withColumn("before", F.lag("tool").over(order()))
 
 
 def pmi(tape: DataFrame) -> DataFrame:
@@ -34,13 +37,13 @@ def pmi(tape: DataFrame) -> DataFrame:
 
 def contexts(tape: DataFrame, n: int) -> DataFrame:
     """The tape with the n tools before each event, joined by '>'; rows with fewer are left out."""
-    parts = [F.lag("tool", i).over(ORDER) for i in range(n, 0, -1)]
-    return tape.withColumn("place", F.row_number().over(ORDER)).withColumn("context", F.concat_ws(">", *parts)).where(F.col("place") > n)
+    parts = [F.lag("tool", i).over(order()) for i in range(n, 0, -1)]
+    return tape.withColumn("place", F.row_number().over(order())).withColumn("context", F.concat_ws(">", *parts)).where(F.col("place") > n)
 
 
 def credit(tape: DataFrame, gain: float = 0.1, loss: float = 0.2, gamma: float = 0.9, reach: int = 16) -> DataFrame:
     """event_id, credit: discounted rewards of an event and the reach - 1 after it in its session."""
-    ahead = ORDER.rowsBetween(0, reach - 1)
+    ahead = order().rowsBetween(0, reach - 1)
     reward = F.when(F.col("failed") == 1, -loss).otherwise(gain)
     rewards = F.collect_list(reward).over(ahead)
     total = F.aggregate(F.reverse(rewards), F.lit(0.0), lambda s, r: s * gamma + r)

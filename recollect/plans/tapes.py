@@ -130,9 +130,9 @@ def surprisal_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"select session, count(*) episodes, max(n) longest from (select session, episode, count(*) n from (select *, sum(new) over ({_W} rows unbounded preceding) episode from (select *, case when lag(ts) over ({_W}) is null or ts - lag(ts) over ({_W}) > interval 12 hour then 1 else 0 end new from {_TAPE})) group by all) group by session")
 def saddle_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Episodes of each session: stretches without a pause of more than twelve hours."""
-    gap = ops.micros(F.col("ts")) - ops.micros(F.lag("ts").over(ops.ORDER))
+    gap = ops.micros(F.col("ts")) - ops.micros(F.lag("ts").over(ops.order()))
     t = tape(spark, sf_dir).withColumn("new", F.when(gap.isNull() | (gap > 12 * 3600 * 1_000_000), 1).otherwise(0))
-    t = t.withColumn("episode", F.sum("new").over(ops.ORDER.rowsBetween(Window.unboundedPreceding, 0)))
+    t = t.withColumn("episode", F.sum("new").over(ops.order().rowsBetween(Window.unboundedPreceding, 0)))
     by = t.groupBy("session", "episode").agg(F.count("*").alias("n"))
     return by.groupBy("session").agg(F.count("*").alias("episodes"), F.max("n").alias("longest"))
 

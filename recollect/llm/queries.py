@@ -75,4 +75,35 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_secrets, op2_lines, op3_topk, op4_minhash, op5_suffix, op6_embedding, op7_packing, op8_pii, op9_bpe, op10_toxicity)}
-ORACLE_SQL: dict[str, str] = {}
+_TOP_K = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id query_id, c.vec_id vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]))::bigint score
+  from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id)
+select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score from s qualify rank <= 5
+"""
+
+_REACH = """
+both_ as (select a, b from links union all select b, a from links),
+reach(id, r) as (select id, id from nodes union select reach.id, b from reach join both_ on a = r),
+component as (select id, min(r) component_id from reach group by id)
+"""
+
+_NEAR = f"""
+with recursive w as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') w from documents where text is not null),
+sh as (select doc_id, unnest(list_distinct(case when len(w) >= 4 then list_transform(generate_series(1, len(w) - 3), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])
+  when len(w) > 0 then [array_to_string(w, ' ')] else [] end)) s from w),
+n as (select doc_id, count(*) n from sh group by doc_id),
+links as (select p.a, p.b from (select x.doc_id a, y.doc_id b, count(*) k from sh x join sh y on x.s = y.s and x.doc_id < y.doc_id group by all) p join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * k >= 80 * (na.n + nb.n - k)),
+nodes as (select doc_id id from documents), {_REACH}
+select doc_id, coalesce(n, 0) n_shingles, component_id, doc_id = component_id kept from documents join component on id = doc_id left join n using (doc_id)
+"""
+
+_COSINE = f"""
+with recursive v as (select vec_id, embedding::double[] e from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (select x.vec_id a, y.vec_id b from v x join v y on x.vec_id < y.vec_id where list_cosine_similarity(x.e, y.e) >= 0.9),
+nodes as (select vec_id id from embeddings), {_REACH}
+select vec_id, (select count(*) from both_ where a = vec_id) n_links, component_id, vec_id = component_id kept from embeddings join component on id = vec_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_topk": _TOP_K, "op4_minhash": _NEAR, "op6_embedding": _COSINE}

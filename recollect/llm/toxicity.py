@@ -12,6 +12,7 @@ dictionaries haven't seen) calibrate the score. Labels, lang, source and doc_id
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
@@ -25,7 +26,8 @@ WINDOW = 128  #: bytes of a window; it ends at the next space, or after twice as
 LEVEL = 12  #: compression level
 SAMPLE = (2500, 5000)  #: toxic and ordinary documents that training reads at most
 EXCERPT = 8_000  #: characters of each that training reads at most; scoring reads whole texts
-ORDINARY = 300  #: bytes of ordinary content
+ORDINARY = 300  #: characters of frequent ordinary content
+PART = 5  #: characters of an inner part of a fragment
 TOXIC = 8_000  #: bytes of toxic content at most
 
 
@@ -84,15 +86,30 @@ def _novel(texts: list[str]) -> list[str]:
     return out
 
 
+def _words(text: str) -> list[str]:
+    return re.findall(r"[^\W\d_]+", text.lower())
+
+
 def _beginnings(texts: list[str], among: Counter | None = None) -> Counter:
     """Documents of each word beginning of 4 to 11 characters, its space included."""
     n: Counter = Counter()
     for t in texts:
-        found = {(" " + w)[:k] for w in set(t.lower().split()) for k in range(4, min(len(w) + 1, 11) + 1)}
+        found = {(" " + w)[:k] for w in set(_words(t)) for k in range(4, min(len(w) + 1, 11) + 1)}
         n.update(found if among is None else (x for x in found if x in among))
     return n
 
 
+def _alike(fragments: list[str], ordinary: list[str]) -> list[str]:
+    """Ordinary words that hold the inner parts of toxic fragments: in both dictionaries, they make those parts tell nothing."""
+    n = Counter(" " + w for t in ordinary for w in set(_words(t)))
+    parts = {g[i : i + PART] for g in fragments for i in range(1, len(g) - PART + 1)}
+    best: dict[str, str] = {}
+    for w in sorted(n, key=lambda w: (-n[w], w)):
+        for part in {w[i : i + PART] for i in range(len(w) - PART + 1)} & parts:
+            best.setdefault(part, w)
+    return sorted({w for part, w in best.items() if n[w] > 1})
+
+
 def train(toxic: list[str], ordinary: list[str]) -> Model:
     toxic, ordinary = _novel(toxic), _novel(ordinary)
     if len(toxic) < 3 or len(ordinary) < 3:
@@ -113,7 +130,8 @@ def train(toxic: list[str], ordinary: list[str]) -> Model:
             kept.append(g)
     kept.sort(key=lambda g: (chosen[g], g))
     common = _beginnings(ordinary[:500])
-    base = "".join(sorted(sorted(common, key=lambda g: (-common[g] * len(g), g))[:80], key=lambda g: common[g])).encode()[-ORDINARY:]
+    frequent = sorted(sorted(common, key=lambda g: (-common[g] * len(g), g))[:80], key=lambda g: common[g])
+    base = ("".join(_alike(kept, ordinary)) + "".join(frequent)[-ORDINARY:]).encode()
     contents = base, "".join(kept).encode()[-TOXIC:] + base
     x = np.array([figures(t, *contents) for t in [*fit_toxic, *fit_ordinary]])
     y = np.array([1.0] * len(fit_toxic) + [0.0] * len(fit_ordinary))

@@ -5,22 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that spark.checkpoint.dir names, so a round doesn't recompute those before it."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as spark.checkpoint.dir names it; one of our own only on a local master."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = getattr(spark, "_graph_folder", None) or "file://" + tempfile.mkdtemp(prefix="spark-recollect-")
         spark._graph_folder = folder
-    path = f"{folder.rstrip('/')}/round-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, so a round doesn't recompute those before it."""
+    path = f"{shared_folder(df.sparkSession)}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def bfs(edges: DataFrame, start: str, hops: int = 3, direction: str = "both", predicate: str | None = None) -> DataFrame:

@@ -1,10 +1,13 @@
-"""Registration of queries with their SQL."""
+"""Registry of the engine's own queries and their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from recollect import queries
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
 
 
 def query(sql: str | None = None, name: str | None = None) -> Callable:
@@ -12,9 +15,9 @@ def query(sql: str | None = None, name: str | None = None) -> Callable:
 
     def register(f: Callable) -> Callable:
         key = name or f.__name__
-        queries.QUERIES[key] = f
+        QUERIES[key] = f
         if sql is not None:
-            queries.ORACLE_SQL[key] = sql
+            ORACLE_SQL[key] = sql
         return f
 
     return register

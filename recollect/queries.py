@@ -1,12 +1,6 @@
-"""Registry of the engine's own queries and their SQL; each module of recollect.plans adds to it."""
+"""All of the engine's own queries by name, and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-from recollect.plans import graphs, retrieval, tapes  # noqa: E402, F401  they register their queries here
+from recollect.plans import graphs, ingest, retrieval, tapes  # noqa: F401  they register their queries
+from recollect.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401

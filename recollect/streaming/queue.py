@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def messages(spark: SparkSession, path: str) -> DataFrame:
-    """A stream of event messages from Parquet files."""
+    """A stream of event messages from a Parquet file or a folder of them."""
     schema = spark.read.parquet(path).schema
-    events = spark.readStream.schema(schema).parquet(path)
+    # As a pattern, the path may name a single file, which a stream doesn't take otherwise.
+    events = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
     return events.select("event_id", F.col("user_id").alias("session"), F.col("event_type").alias("tool"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("cost"))
 
 

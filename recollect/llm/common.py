@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -26,19 +27,30 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: recovery never reaches beyond it."""
+def cut(df: DataFrame, watched: Observation | None = None, *figures: Column) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: recovery never reaches beyond it.
+
+    watched gets aggregates of the rows as they are written.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/recollect-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    (df.observe(watched, *figures) if watched else df).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def values(column: Iterable) -> Iterator:
+    """The values of an Arrow column one at a time, so that a batch's texts aren't all held twice."""
+    return (x.as_py() for x in column)
+
+
 def row_key(doc_id: Column, text: Column) -> Column:
     """Identity of a row: its id and its text. Rows that repeat both count as one document."""
     return F.xxhash64(doc_id, F.coalesce(text, F.lit("")))
 
 
+LINKS = 250_000  #: links of a partition, at least, in the search for components
+
+
 def components(edges: DataFrame, left: str = "a", right: str = "b", rounds: int = 40) -> DataFrame:
     """Smallest reachable id of every id in the links: columns id, component.
 
@@ -46,28 +58,36 @@ def components(edges: DataFrame, left: str = "a", right: str = "b", rounds: int
     so a hub costs one row a task) and one join that adaptive execution can split. The driver sees two numbers
     a round, never ids. Every round is written to the shared folder.
     """
+    watched = Observation()
     links = edges.select(F.col(left).cast("long").alias("u"), F.col(right).cast("long").alias("v")).where("u <> v")
-    links = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = None
+    links = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), watched, F.count("*").alias("n"))
+    seen, size = None, watched.get["n"]
     for _ in range(rounds):
+        # So many links fit a task well; Spark doesn't shuffle where one partition holds them all.
+        links = links.coalesce(-(-size // LINKS) or 1)
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v")))
-        links = cut(small.where("u <> v").distinct())
-        now = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if now == seen:
+        watched = Observation()
+        links = cut(small.where("u <> v").distinct(), watched, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+        now = watched.get
+        if now == seen or not now["n"]:
             break
-        seen = now
+        seen, size = now, now["n"]
     else:
         raise RuntimeError("connected components did not settle")
     roots = links.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return links.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
 
 
-def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """df, to be broadcast if it has at most so many rows (of a few numbers each); else it is joined by a shuffle."""
-    df = cut(df)
-    return F.broadcast(df) if df.count() <= rows else df
+def small(df: DataFrame, most: int = 1_000_000, weight: Column | None = None) -> DataFrame:
+    """df, to be broadcast if it has at most so many rows of a few numbers each; else it is joined by a shuffle.
+
+    weight, where rows hold arrays, is what each row counts.
+    """
+    watched = Observation()
+    df = cut(df, watched, F.coalesce(F.sum(F.lit(1) if weight is None else weight), F.lit(0)).alias("n"))
+    return F.broadcast(df) if watched.get["n"] <= most else df

@@ -1,42 +1,94 @@
-"""Links between similar items that meet in buckets, without listing all pairs of a bucket.
+"""Links between similar items that meet in buckets, without listing all pairs of a large bucket.
 
-In every bucket the smallest id leads, and each member is compared with it: one pair a member, however large the
-bucket. Components of the confirmed links then show which buckets are settled. In the others, members outside the
-leader's component are compared with those of other components. So every pair that shares a bucket was either
-compared or lies in one component already: components are those that comparing all pairs would give.
+In a bucket of many items one leads, and each member is compared with it: one pair a member. The leader is the item
+that shares most with others over all its buckets, so usually the original of a group of copies. Components of the
+confirmed links then show which buckets are settled; the others get another leader from outside the first one's
+component. In what is still open after the last round, members outside the largest leader's component are compared
+with those of other components; in buckets of few items, all that aren't in one component yet. So every pair that
+shares a bucket was either compared or lies in one component already: components are those that comparing all
+pairs would give.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from recollect.llm.common import components, cut
 
 
-def link(items: DataFrame, banded: DataFrame, near: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(links a, b; components id, component) of items (rep and what near needs) in buckets banded (rep, band).
+MANY = 8  #: items from which on a bucket gets a leader
+ROUNDS = 5  #: leaders that a bucket gets at most before the rest is compared member by member
+FEW = 20_000_000  #: comparisons of sketches that are few enough to be made without another leader
+
+
+def link(items: DataFrame, near: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame], narrow: bool = False) -> DataFrame | None:
+    """Components (id, component) of the confirmed links between items, or None without any: rep, bands (the buckets it is in) and what near needs.
 
     near(l, r) is a cheap condition on the aliases of two items that keeps every pair that may be confirmed;
-    confirm takes pairs (a, b) and returns those that are links.
+    confirm takes pairs (a, b) and returns those that are links. Of narrow items, near's columns go along with the
+    buckets; those of others are joined where buckets hold more than one item.
     """
-    leads = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("lead")).where("n > 1").select("band", "lead")
-    shared = cut(banded.join(leads, "band"))
-    star = shared.where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
-    star = star.join(items.alias("l"), F.col("a") == F.col("l.rep")).join(items.alias("r"), F.col("b") == F.col("r.rep")).where(near("l", "r")).select("a", "b")
-    links = cut(confirm(cut(star)))
-    found = cut(components(links))
-
-    labelled = shared.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    main = F.max(F.when(F.col("rep") == F.col("lead"), F.col("component")))
-    open_buckets = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), main.alias("main")).where("lo <> hi and n > 2").select("band", "main")
-    left = cut(labelled.join(open_buckets, "band").join(items, "rep"))
-    rest = left.where("component <> main").alias("l").join(left.where("rep <> lead").alias("r"), "band")
-    rest = rest.where("l.component <> r.component and (r.component = r.main or l.rep < r.rep)").where(near("l", "r"))
-    rest = cut(rest.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct())
-    if rest.isEmpty():
+    attributes = [c for c in items.columns if c not in ("rep", "bands")]
+    banded = items.select("rep", *(attributes if narrow else []), F.explode("bands").alias("band"))
+    sizes = banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
+    watched = Observation()
+    shared = cut(banded.join(sizes, "band"), watched, F.count("*").alias("n"), F.count_if(F.col("members") > MANY).alias("many"))
+    if not watched.get["n"]:
+        return None
+    links, found, open_ = (None, None, None) if not watched.get["many"] else _led(shared.where(F.col("members") > MANY).select("band", "rep", "members"), items, near, confirm)
+
+    rest = labelled(shared.where(F.col("members") <= MANY), found).withColumn("main", F.lit(None).cast("long"))
+    if open_ is not None:
+        rest = rest.unionByName(labelled(shared.join(open_, "band"), found).select(rest.columns))
+    rest = cut(rest if narrow else rest.join(items, "rep"))
+    pairs = rest.where("coalesce(component <> main, true)").alias("l").join(rest.alias("r"), "band")
+    pairs = pairs.where("l.component <> r.component and (r.component = r.main or l.rep < r.rep)").where(near("l", "r"))
+    if not narrow:  # pairs that share several buckets are taken from the first
+        pairs = pairs.where(F.element_at(F.array_intersect("l.bands", "r.bands"), 1) == F.col("l.band"))
+    pairs = pairs.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b"))
+    return _more(links, found, confirm(cut(pairs.distinct() if narrow else pairs)))[1]
+
+
+def labelled(shared: DataFrame, found: DataFrame | None) -> DataFrame:
+    """shared with a column component: the one found for its rep, or the rep itself."""
+    if found is None:
+        return shared.withColumn("component", F.col("rep"))
+    return shared.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+
+def _led(shared: DataFrame, items: DataFrame, near: Callable, confirm: Callable) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(links, components, buckets that are still open with their main component) of buckets of many items."""
+    weights = shared.groupBy("rep").agg(F.sum("members").alias("weight"))
+    shared = cut(shared.join(weights, "rep"))
+    open_, links, found = shared.withColumn("component", F.col("rep")), None, None
+    for _ in range(ROUNDS):
+        # The most central member outside the component of the last leader.
+        outside = open_ if found is None else open_.where("component <> main")
+        leader = F.max(F.struct("weight", (-F.col("rep")).alias("id"), F.col("component").alias("own"))).alias("m")
+        leads = outside.groupBy("band").agg(leader).select("band", (-F.col("m.id")).alias("lead"), "m.own")
+        star = open_.join(leads, "band")
+        star = star.where("component <> own").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
+        star = star.join(items.drop("bands").alias("l"), F.col("a") == F.col("l.rep")).join(items.drop("bands").alias("r"), F.col("b") == F.col("r.rep")).where(near("l", "r")).select("a", "b")
+        links, found = _more(links, found, confirm(cut(star)))
+        known = labelled(shared, found)
+        main = F.max(F.struct("weight", "component")).alias("m")
+        buckets = known.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), main).where("lo <> hi").select("band", F.col("m.component").alias("main"))
+        watched = Observation()
+        cost = F.sum(F.when(F.col("component") != F.col("main"), F.col("members"))).alias("pairs")
+        open_ = cut(known.join(buckets, "band"), watched, cost)
+        if (watched.get["pairs"] or 0) <= FEW:
+            break
+    return links, found, open_.select("band", "main").distinct()
+
+
+def _more(links: DataFrame | None, found: DataFrame | None, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(all links, their components) with new links added; nothing is computed anew where there are none."""
+    watched = Observation()
+    new = cut(new, watched, F.count("*").alias("n"))
+    if links is not None and not watched.get["n"]:
         return links, found
-    links = links.unionByName(confirm(rest))
+    links = new if links is None else links.unionByName(new)
     return links, cut(components(links))

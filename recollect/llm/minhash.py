@@ -1,11 +1,10 @@
 """Near-duplicate documents by MinHash with odd sketches.
 
-Texts with the same shingle set form a class. Class representatives meet in bands of MinHash values; in each band
-bucket the smallest id leads and every member is compared with it, one pair a member. Only buckets whose members
-then still belong to several components are looked at again: members outside the leader's component against those
-of other components. A candidate must pass its odd sketches first: MinHash samples folded into a parity bitmap; two
-bitmaps whose samples differ in D places differ in 2 D bits at most, so that the bound loses a pair at the
-threshold about once in ten million. Every link is confirmed on the full sets.
+Texts with the same shingle set form a class. Class representatives meet in bands of MinHash values and are compared
+as linking.py has it. A candidate must pass its odd sketches first: the set's smallest fingerprint in each of 1024
+bins (a one-permutation MinHash sample; of small sets nearly all elements) toggles a bit of a parity bitmap, and the
+population count of two bitmaps' XOR tells in how many samples the sets differ. Every link is confirmed on the
+full sets.
 """
 
 from __future__ import annotations
@@ -17,30 +16,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import components, cut, small
+from recollect.llm.common import cut, small
+from recollect.llm.linking import labelled, link
 from recollect.llm.words import mix, odd_multipliers, shingle_sets
 
 BANDS, ROWS = 20, 4  #: a pair at 0.8 shares a band with a probability of 0.99997
-SKETCH = 512  #: bits of an odd sketch
-DIFFER = 36  #: places of the 80 samples that may differ; at a similarity of 0.8, 16 do on average
+BINS, SKETCH = 1024, 2048  #: samples and bits of an odd sketch
 _LONGS = SKETCH // 64
 _S = [f"s{i}" for i in range(_LONGS)]
 
 
 def _signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (n x BANDS) and odd sketches (n x longs) of non-empty sets."""
-    k = BANDS * ROWS
-    flat, starts = np.concatenate(sets), np.cumsum([0] + [len(s) for s in sets[:-1]])
-    least = np.empty((len(sets), k), dtype=np.uint64)
+    """Band keys (n x BANDS) and odd sketches (n x longs) of non-empty sets of sorted fingerprints."""
+    k, n = BANDS * ROWS, len(sets)
+    flat, sizes = np.concatenate(sets), np.array([len(s) for s in sets])
+    starts = np.cumsum(sizes) - sizes
+    least = np.empty((n, k), dtype=np.uint64)
     for i, m in enumerate(odd_multipliers(k, 1234)):
         least[:, i] = np.minimum.reduceat((flat ^ m) * m, starts)
     column = np.arange(k, dtype=np.uint64)
     mixed = mix(least + column * np.uint64(0xD6E8FEB86659FD93))
-    keys = mix((mixed.reshape(len(sets), BANDS, ROWS) * odd_multipliers(ROWS, 5)).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
-    bits = (mixed >> np.uint64(20)) % np.uint64(SKETCH)
-    index = bits.astype(np.int64) + np.arange(len(sets))[:, None] * SKETCH
-    parity = (np.bincount(index.ravel(), minlength=len(sets) * SKETCH) & 1).astype(np.uint8)
-    return keys.view(np.int64), np.packbits(parity).view(np.int64).reshape(len(sets), _LONGS)
+    keys = mix((mixed.reshape(n, BANDS, ROWS) * odd_multipliers(ROWS, 5)).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+    # Sets are sorted, so the first fingerprint of a bin is its smallest.
+    bins = (flat // np.uint64((1 << 64) // BINS)).astype(np.int64) + np.repeat(np.arange(n), sizes) * BINS
+    first = np.concatenate([[True], bins[1:] != bins[:-1]])
+    bits = (mix(flat[first]) % np.uint64(SKETCH)).astype(np.int64) + bins[first] // BINS * SKETCH
+    parity = (np.bincount(bits, minlength=n * SKETCH) & 1).astype(np.uint8)
+    return keys.view(np.int64), np.packbits(parity).view(np.int64).reshape(n, _LONGS)
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
@@ -85,9 +87,26 @@ def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     return docs.select("doc_id", "text").join(small(ids.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi").mapInArrow(made, "id long, shingles array<long>")
 
 
-def _near(left: str, right: str) -> F.Column:
-    differing = sum((F.bit_count(F.col(f"{left}.{s}").bitwiseXOR(F.col(f"{right}.{s}"))) for s in _S[1:]), F.bit_count(F.col(f"{left}.s0").bitwiseXOR(F.col(f"{right}.s0"))))
-    return differing <= 2 * DIFFER
+def _near(percent: int):
+    """The condition on two sketches, met by pairs at the threshold but for about one in a million.
+
+    With sizes m and n and similarity s, the sets differ in d = (m + n) (1 - s) / (1 + s) elements at most, and each
+    toggles one bit on average: its own, no bit if an element of its set hides it in its bin, two if it hides one of the
+    other set. How far the count strays from d grows with how full the bins are. However large the sets, at most
+    about (1 - s) BINS samples differ, each with two bits; bits toggled twice vanish, which only lowers the count.
+    """
+    s = percent / 100
+    samples = (1 - s) * BINS + 5 * (s * (1 - s) * BINS) ** 0.5
+    most = SKETCH / 2 * (1 - np.exp(-2 * 2 * samples / SKETCH)) + 20
+
+    def near(l: str, r: str) -> F.Column:
+        toggled = sum((F.bit_count(F.col(f"{l}.{x}").bitwiseXOR(F.col(f"{r}.{x}"))) for x in _S), F.lit(0))
+        both = (F.col(f"{l}.n") + F.col(f"{r}.n")).cast("double")
+        differ, hidden = both * (1 - s) / (1 + s), F.least(both / (2 * BINS), F.lit(1.0))
+        close = F.least(F.col(f"{l}.n"), F.col(f"{r}.n")) * 100 >= F.greatest(F.col(f"{l}.n"), F.col(f"{r}.n")) * percent
+        return close & (toggled <= F.least(differ + 3.5 * F.sqrt(differ * hidden) + 1, F.lit(float(most))))
+
+    return near
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -96,7 +115,7 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) ->
     sets = cut(_sets(docs, ids, shingle))
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     both = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("n"), (F.size("x") + F.size("y")).cast("long").alias("m"))
-    return both.where(F.col("n") * 100 >= (F.col("m") - F.col("n")) * percent).select("a", "b").distinct()
+    return both.where(F.col("n") * 100 >= (F.col("m") - F.col("n")) * percent).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -108,28 +127,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     """
     signed = cut(signatures(docs, shingle))
     known = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = cut(known.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), *(F.first(s).alias(s) for s in _S)))
-    sketches = classes.select("rep", *_S)
-    banded = classes.select("rep", F.explode("bands").alias("band"))
-    leads = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("lead")).where("n > 1").select("band", "lead")
-    shared = cut(banded.join(leads, "band"))
-    star = shared.where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
-    star = star.join(sketches.alias("l"), F.col("a") == F.col("l.rep")).join(sketches.alias("r"), F.col("b") == F.col("r.rep")).where(_near("l", "r")).select("a", "b").distinct()
-    links = cut(_confirmed(docs, cut(star), shingle, percent))
-    found = cut(components(links))
-
-    # What the leaders haven't settled: buckets whose members belong to several components.
-    labelled = shared.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.max(F.when(F.col("rep") == F.col("lead"), F.col("component"))).alias("main")).where("lo <> hi and n > 2").select("band", "main")
-    open_ = cut(labelled.join(mixed, "band").join(sketches, "rep"))
-    rest = open_.where("component <> main").alias("l").join(open_.where("rep <> lead").alias("r"), "band")
-    rest = rest.where("l.component <> r.component and (r.component = r.main or l.rep < r.rep)").where(_near("l", "r")).select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct()
-    rest = cut(rest)
-    if not rest.isEmpty():
-        links = links.unionByName(_confirmed(docs, rest, shingle, percent))
-        found = cut(components(links))
-
-    placed = classes.select("fp", "rep").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    classes = cut(known.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), *(F.first(s).alias(s) for s in _S)))
+    found = link(classes.drop("fp"), _near(percent), lambda pairs: _confirmed(docs, pairs, shingle, percent))
+
+    placed = labelled(classes.select("fp", "rep"), found).select("fp", "component")
     rows = signed.select("doc_id", "n_shingles", "fp").join(placed, "fp", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component")).cast("long")
     return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollect.llm.common import cut, small
-from recollect.llm.words import _power_tables, blocks, mix, odd_multipliers, words
+from recollect.llm.words import power_tables, blocks, mix, odd_multipliers, words
 
 GRAM, AMONG = 8, 16  #: words of a fingerprint, successive fingerprints of which the smallest is selected
 MIN_WORDS = 50
@@ -58,7 +58,7 @@ def places(docs: DataFrame, min_words: int) -> DataFrame:
                 hashes, _, _, first = words(data, offsets)
                 first = np.append(first[:-1], len(hashes))
                 at, text = _selected(hashes, first, need)
-                power, inverse = _power_tables(len(hashes) + 1)
+                power, inverse = power_tables(len(hashes) + 1)
                 sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
                 np.cumsum(hashes * power[: len(hashes)], out=sums[1:])
                 h = mix((sums[at + need] - sums[at]) * inverse[at])
@@ -87,7 +87,7 @@ def _suffixes(docs: DataFrame, kept: DataFrame, width: int, left: int) -> DataFr
                     before = np.ascontiguousarray(seen[:, :left][:, ::-1]).astype(">u4")
                     yield pa.RecordBatch.from_arrays([pa.array([tids[i + j].as_py()] * len(pos), pa.int64()), pa.array(pos.astype(np.int32)), pa.array([x.tobytes() for x in suffix], pa.binary()), pa.array([x.tobytes() for x in before], pa.binary())], names=["tid", "pos", "suffix", "before"])
 
-    kept = small(kept.select(F.col("tid").alias("its_tid"), F.col("rep").alias("its_doc"), "at"), 100_000)
+    kept = small(kept.select(F.col("tid").alias("its_tid"), F.col("rep").alias("its_doc"), "at"), 2_000_000, F.size("at") + 2)
     rows = docs.join(kept, (F.col("tid") == F.col("its_tid")) & F.col("doc_id").eqNullSafe(F.col("its_doc")))
     return rows.select("tid", "text", "at").mapInArrow(made, "tid long, pos int, suffix binary, before binary")
 

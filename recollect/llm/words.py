@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 4 << 20  #: bytes of text handled at once; a longer text makes a block of its own
+BLOCK = 1 << 20  #: bytes of text handled at once; a longer text makes a block of its own
 _P = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _SPACE = np.zeros(256, dtype=bool)
@@ -38,7 +38,7 @@ def odd_multipliers(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(seed * 2 + 1)) | np.uint64(1)
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers, _inverse
     if len(_powers) < n:
         n = max(n, BLOCK + 1)
@@ -70,7 +70,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     after = np.concatenate([space, [True]])
     starts = np.flatnonzero(~after[:-1] & (before[:-1] | edge[:-1]))
     ends = np.flatnonzero(~before[1:] & (after[1:] | edge[1:])) + 1
-    power, inverse = _power_tables(len(data) + 1)
+    power, inverse = power_tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import row_key
+from recollect.llm.common import row_key, values
 
 LEAF = 32_768  #: characters of a leaf
 WINDOW = 8  #: tokens on each side of a join that are encoded again at first
@@ -189,7 +189,7 @@ def encode_documents(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
     def short(batches):
         c = codec(path)
         for batch in batches:
-            ids = [c.encode(t, leaf) for t in batch.column("text").to_pylist()]
+            ids = [c.encode(t, leaf) for t in values(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("text").cast(pa.string()), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], schema=out)
 
     return rows.where(F.length("text") <= leaf).mapInArrow(short, schema).unionByName(_long(rows.where(F.length("text") > leaf), path, leaf, schema))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.llm.bpe import codec
-from recollect.llm.common import cut
+from recollect.llm.common import cut, values
 
 LENGTH = 2048  #: tokens of a sequence
 END = 1  #: id that ends a document
@@ -29,7 +29,7 @@ def tokenised(docs: DataFrame, path: str, end: int = END) -> DataFrame:
         c, part, at = codec(path), TaskContext.get().partitionId(), 0
         tail = np.array([end], dtype="<u4").tobytes()
         for batch in batches:
-            ids = [c.encode(t or "") + tail for t in batch.column("text").to_pylist()]
+            ids = [c.encode(t or "") + tail for t in values(batch.column("text"))]
             n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
             ends = at + np.cumsum(n)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(ids, pa.binary()), pa.array(n), pa.array([part] * len(ids), pa.int32()), pa.array(ends - n)], names=["doc_id", "ids", "n", "part", "at"])

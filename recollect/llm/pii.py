@@ -18,6 +18,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from recollect.llm.common import values
+
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # index of the kind, start, end (code points, end exclusive)
 
@@ -201,7 +203,7 @@ def pii(docs: DataFrame) -> DataFrame:
 
     def found(batches):
         for batch in batches:
-            rows = [spans(t) for t in batch.column("text").to_pylist()]
+            rows = [spans(t) for t in values(batch.column("text"))]
             counts = [pa.array([sum(k == kind for k, _, _ in base) for base, _ in rows], pa.int64()) for kind in range(len(KINDS))]
             digests = [hashlib.sha256(written(base).encode()).hexdigest() for base, _ in rows]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *counts, pa.array(digests, pa.string()), pa.array([written(s) for _, s in rows], pa.string())], names=names)
@@ -229,7 +231,7 @@ def redact(docs: DataFrame) -> DataFrame:
 
     def redacted(batches):
         for batch in batches:
-            texts = [masked(t) for t in batch.column("text").to_pylist()]
+            texts = [masked(t) for t in values(batch.column("text"))]
             new = {"text": pa.array(texts, batch.schema.field("text").type)}
             if "n_chars" in batch.schema.names:
                 new["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(batch.schema.field("n_chars").type)

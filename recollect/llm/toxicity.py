@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recollect.llm.common import values
+
 WINDOW = 128  #: bytes of a window; it ends at the next space, or after twice as many
 LEVEL = 12  #: compression level
 SAMPLE = (2500, 5000)  #: toxic and ordinary documents that training reads at most
@@ -169,11 +171,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def scored(batches):
         for batch in batches:
-            texts = batch.column("text").to_pylist()
             if model.constant is not None:
-                p = np.full(len(texts), model.constant)
+                p = np.full(len(batch), model.constant)
             else:
-                x = np.array([figures(t or "", model.ordinary, model.toxic) for t in texts]).reshape(-1, 3)
+                x = np.array([figures(t or "", model.ordinary, model.toxic) for t in values(batch.column("text"))]).reshape(-1, 3)
                 z = np.c_[(x - np.array(model.mean)) / np.array(model.scale), np.ones(len(x))] @ np.array(model.weights)
                 p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
             kept = [n for n in batch.schema.names if n != "score"]

@@ -103,9 +103,11 @@ def test_repeated_lines_are_found_and_the_first_stays(spark):
 def test_simhash_of_long_stretches_is_that_of_one_sum():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 1 << 63, lines._STRIDE + 1000, dtype=np.int64).astype(np.uint64)
-    found = lines._simhash(h, np.array([0, 50]), np.array([50, len(h)]))
-    bits = np.unpackbits(h[50:].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0)
-    assert found.view(np.uint64)[1] == np.packbits(2 * bits > len(h) - 50).view(">u8")[0]
+    widths = rng.integers(1, 12, len(h))
+    found = lines._simhash(h, widths, np.array([0, 50]), np.array([50, len(h)]))
+    weights = np.where(widths[50:] >= lines.LONG, lines.WEIGHT, 1)
+    bits = (np.unpackbits(h[50:].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1) * weights[:, None]).sum(0)
+    assert found.view(np.uint64)[1] == np.packbits(2 * bits > weights.sum()).view(">u8")[0]
 
 
 def test_repeated_passages_cover_what_repeats(spark, corpus):

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from recollect.llm import bpe, common, lines, minhash, packing, pii, secrets, suffix, topk, toxicity, words
+from recollect.llm import bpe, common, lines, minhash, packing, pii, queries, secrets, suffix, topk, toxicity, words
 from recollect.llm.embed import near_vectors
 from recollect.llm.queries import tokenizer_path
 
@@ -100,6 +100,15 @@ def test_repeated_lines_are_found_and_the_first_stays(spark):
     assert lines.line_report(docs_of(spark, texts)).count() == 6
 
 
+def test_the_lines_query_drops_repeats_of_any_length(spark, tmp_path):
+    texts = ["Les.\nkeep 1\n----\n\n這是一個沒有空格的句子", "les\n\n----\n這是一個沒有空格的句子\n====", None, "new\n----  \n\n"]
+    docs_of(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in queries.op2_lines(spark, str(tmp_path)).collect()}
+    kept = [texts[0], "\n====", "", "new\n\n"]
+    assert [found[i].kept_sha256 for i in range(4)] == [hashlib.sha256(t.encode()).hexdigest() for t in kept]
+    assert [(found[i].n_lines, found[i].n_kept) for i in range(4)] == [(5, 5), (5, 2), (0, 0), (4, 3)]
+
+
 def test_simhash_of_long_stretches_is_that_of_one_sum():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 1 << 63, lines._STRIDE + 1000, dtype=np.int64).astype(np.uint64)

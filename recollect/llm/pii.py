@@ -3,7 +3,8 @@
 Two kinds of spans are found. The base ones are matches of four patterns in the text as it is. The others come from
 transducers that rewrite look-alike characters, spelled digits and at/dot disguises while they keep, for every
 character written, the source characters it stands for; the same patterns are then matched in the rewritten text and
-their spans mapped back. A found span counts if a rewriting lies in it and no base span of its kind overlaps it.
+their spans mapped back. A found span counts if a rewriting lies in it and no base span of its kind contains it; it
+may overlap one that holds only a part of the same identifier.
 """
 
 from __future__ import annotations
@@ -186,8 +187,8 @@ def spans(text: str | None) -> tuple[list[Span], list[Span]]:
         i = bisect_left(edits, start)
         if i == len(edits) or edits[i] >= end:
             continue
-        near = bisect_left(by_kind[kind], (end,)) - 1  # base spans of a kind are apart, so the last before the end tells
-        if near >= 0 and by_kind[kind][near][1] > start:
+        near = bisect_left(by_kind[kind], (start + 1,)) - 1  # base spans of a kind are apart, so the last that starts no later tells
+        if near >= 0 and by_kind[kind][near][1] >= end:
             continue
         more.append((kind, start, end))
     return base, sorted([*base, *more]) if more else base

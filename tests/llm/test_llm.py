@@ -240,6 +240,21 @@ def test_disguises_map_back_to_their_source(text, kind, found):
     assert found not in pii.masked(text)
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("call +49 30 1234 five six seven eight now", "phone", "+49 30 1234 five six seven eight"),
+        ("to ann@mail.example dot com now", "email", "ann@mail.example dot com"),
+        ("to \u0430nn@mail.example.or\u0261 now", "email", "\u0430nn@mail.example.or\u0261"),
+    ],
+)
+def test_partly_disguised_identifiers_are_found_whole(text, kind, found):
+    base, every = pii.spans(text)
+    assert len(base) == 1 and set(base) < set(every)
+    assert [text[a:b] for k, a, b in every if pii.KINDS[k] == kind and (k, a, b) not in base] == [found]
+    assert pii.masked(text) == text.replace(found, f"<{kind.upper()}>")
+
+
 def test_pii_of_odd_rows(spark):
     rows = pii.pii(docs_of(spark, [None, "", "a@b.cd", "a@b.cd"])).collect()
     assert [r.n_email for r in sorted(rows, key=lambda r: r.doc_id)] == [0, 0, 1, 1] and rows[0].spans == ""

@@ -91,6 +91,9 @@ _SPELLED_RUN = re.compile(rf"\b(?:(?P<plus>plus)[\s-]+)?(?:(?:{_NAMES})\b[\s,-]{
 _NAME = re.compile(rf"{_NAMES}")
 _AT = re.compile(r"\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|(?<=[a-z0-9])\s+at\s+(?=[a-z0-9-]+(?:\s*\.\s*|\s+dot\s+|\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*)[a-z0-9])|(?<=[a-z0-9])_at_(?=[a-z0-9])|&#64;|&commat;|%40(?=[a-z0-9])")
 _DOT = re.compile(r"\s*[\[({<]\s*(?:dot|\.|point)\s*[\])}>]\s*|(?<=[a-z0-9])\s+dot\s+(?=[a-z0-9])|(?<=[a-z0-9])_dot_(?=[a-z0-9])|&#46;")
+# Without the white space that _AT and _DOT take before and after it: whatever they match holds a match of these.
+_AT_WORD = re.compile(r"\sat\s+[a-z0-9-]+(?:\s*[.\[({<]|\s+dot\s)")
+_DOT_WORD = re.compile(r"\sdot\s")
 _BRACKET = re.compile(r"[\[({<]\s*(?:at|@|dot|\.|point)\s*[\])}>]")
 
 
@@ -158,12 +161,10 @@ def disguised(text: str) -> bool:
     """Whether any transducer has something to rewrite; only a way to skip texts early."""
     if not text.isascii() and any(_plain(c) != c for c in set(text) if c > "\x7f"):
         return True
-    low = text.lower()
-    if "&#" in low or "%40" in low or "&commat" in low or "_at_" in low or "_dot_" in low or "dot" in low and re.search(r"\sdot\s", low):
-        return True
-    if re.search(r"\sat\s+[a-z0-9-]+\s*\.\s*[a-z0-9]", low) if " at " in low else False:
+    low = _lower(text)
+    if "&#" in low or "%40" in low or "&commat" in low or "_at_" in low or "_dot_" in low:
         return True
-    return bool(_BRACKET.search(low) or _SPELLED_RUN.search(low))
+    return bool("dot" in low and _DOT_WORD.search(low) or _AT_WORD.search(low) or _BRACKET.search(low) or _SPELLED_RUN.search(low))
 
 
 def spans(text: str | None) -> tuple[list[Span], list[Span]]:

@@ -255,6 +255,24 @@ def test_partly_disguised_identifiers_are_found_whole(text, kind, found):
     assert pii.masked(text) == text.replace(found, f"<{kind.upper()}>")
 
 
+@pytest.mark.parametrize("text", ["write to ann at\nmail.example.org", "write to ann\tat\tmail.example.org", "write to ann\n at  mail.example.org", "write to ann\u00a0at mail.example.org"])
+def test_white_space_around_at(text):
+    assert [(pii.KINDS[k], text[a:b]) for k, a, b in pii.spans(text)[1]] == [("email", text[9:])]
+
+
+def test_no_text_that_transducers_rewrite_is_skipped():
+    rng = random.Random(5)
+    parts = ["ann", "at", "AT", "dot", "mail", "org", "one", "two", "six", "plus", "[", "]", "(", ")", "<", ".", "@", "point", "_at_", "_dot_", "&#64;", "%40", "&#46;", "&commat;", " ", " ", "\n", "\t", "\r\n", "\u2028", "-", "\u0130", "\u0430", "7"]
+    for _ in range(30_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(14)))
+        tape = pii.Tape(text)
+        tape.rewrite(pii._characters(tape.text))
+        tape.rewrite(pii._digits(pii._lower(tape.text)))
+        for pattern, new in ((pii._AT, "@"), (pii._DOT, ".")):
+            tape.rewrite([(m.start(), m.end(), new) for m in pattern.finditer(pii._lower(tape.text))])
+        assert not tape.edits or pii.disguised(text), text
+
+
 def test_pii_of_odd_rows(spark):
     rows = pii.pii(docs_of(spark, [None, "", "a@b.cd", "a@b.cd"])).collect()
     assert [r.n_email for r in sorted(rows, key=lambda r: r.doc_id)] == [0, 0, 1, 1] and rows[0].spans == ""

@@ -22,7 +22,7 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recollect.llm.lines import line_report
 
-    return line_report(read(spark, sf_dir, "documents"), min_words=1)
+    return line_report(read(spark, sf_dir, "documents"), min_words=1, grams=True)
 
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,6 +109,19 @@ def test_the_lines_query_drops_repeats_of_any_length(spark, tmp_path):
     assert [(found[i].n_lines, found[i].n_kept) for i in range(4)] == [(5, 5), (5, 2), (0, 0), (4, 3)]
 
 
+def test_the_lines_query_finds_lines_of_edit_similarity(spark, tmp_path):
+    rng, texts = random.Random(8), []
+    for n, changed in [(10, 1), (20, 1), (20, 2), (40, 4), (5, 1)] * 20:
+        a = prose(rng, n).split(" ")
+        b = list(a)
+        for i in rng.sample(range(n), changed):
+            b[i] = "".join(rng.choice("xyzw") for _ in a[i])
+        texts.append(" ".join(a) + "\n" + " ".join(b))
+    docs_of(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op2_lines(spark, str(tmp_path)).collect()
+    assert len(rows) == 100 and sum(r.n_kept == 1 for r in rows) >= 98
+
+
 def test_simhash_of_long_stretches_is_that_of_one_sum():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 1 << 63, lines._STRIDE + 1000, dtype=np.int64).astype(np.uint64)

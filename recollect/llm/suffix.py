@@ -8,7 +8,9 @@ words; the words that then remain of it, 35 of 50, are the least common prefix t
 2. These suffixes, as the fingerprints of their next 50 words, are range-partitioned and sorted over the cluster.
 3. Each is compared with its neighbour; matches are extended left word by word. Pairs over a partition border are
    compared in a last step on two rows a partition.
-4. The matched stretches of a text are merged, and those of min_words words or more reported.
+4. The neighbour need not be the one with the longest left match, so the windows of min_words words around each place
+   that begin up to 15 words before it are counted by fingerprint too: those that repeat are stretches as well.
+5. The stretches of a text are merged, and those of min_words words or more reported.
 
 Texts that occur several times are handled once and reported as repeated from end to end.
 """
@@ -151,12 +153,34 @@ def _matches(suffixes: DataFrame, width: int, left: int, need: int) -> DataFrame
     return found.where("edge is null").unionByName(borders).select("tid", "from", "to")
 
 
+def _windows(suffixes: DataFrame, width: int, left: int) -> DataFrame:
+    """tid, from, to: windows of width words that hold a place among their first words and occur elsewhere too."""
+
+    def made(batches):
+        for batch in batches:
+            seen = np.concatenate([_wide(batch.column("before"), left)[:, ::-1], _wide(batch.column("suffix"), width)], axis=1)
+            power, inverse = power_tables(left + width + 1)
+            sums = np.zeros((len(seen), left + width + 1), dtype=np.uint64)
+            np.cumsum(seen.astype(np.uint64) * power[: left + width], axis=1, out=sums[:, 1:])
+            beyond = np.zeros((len(seen), left + width + 1), dtype=np.int32)
+            np.cumsum(seen == 0, axis=1, out=beyond[:, 1:])
+            for begin in range(1, left + 1):
+                good = np.flatnonzero(beyond[:, begin + width] == beyond[:, begin])
+                h = mix((sums[good, begin + width] - sums[good, begin]) * inverse[begin]).view(np.int64)
+                rows = batch.take(pa.array(good))
+                yield pa.RecordBatch.from_arrays([rows.column("tid"), pa.array((rows.column("pos").to_numpy() - (left - begin)).astype(np.int32)), pa.array(h)], names=["tid", "from", "h"])
+
+    all_ = suffixes.mapInArrow(made, "tid long, `from` int, h long")
+    repeated = all_.groupBy("h").agg(F.min("tid").alias("t0"), F.max("tid").alias("t1"), F.min("from").alias("p0"), F.max("from").alias("p1")).where("t0 <> t1 or p0 <> p1").select("h")
+    return all_.join(repeated, "h", "left_semi").select("tid", "from", (F.col("from") + width).cast("int").alias("to")).distinct()
+
+
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, n_words, n_spans, repeated_words, spans of every row.
 
     Spans are start:end in words (runs without space and \\x09-\\x0D, A-Z lower-cased; end exclusive), comma-joined:
     passages of min_words words or more that occur elsewhere too, in the same text or another. Every such passage is
-    among them up to its left edge, which is the one shared with a neighbour in sorted order. Null and empty texts
+    among them from its first word to its last. Null and empty texts
     have no words; rows that repeat a text, with the same id or not, are copies of each other.
     """
     need, width, left = min_words - AMONG + 1, min_words, AMONG
@@ -169,7 +193,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     kept = at.join(repeated, "h", "left_semi").groupBy("tid").agg(F.collect_set("pos").alias("at"))
     texts = found.where("pos < 0").groupBy("tid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     texts = cut(texts)
-    matches = _matches(cut(_suffixes(rows, kept.join(texts, "tid"), width, left)), width, left, need)
+    suffixes = cut(_suffixes(rows, kept.join(texts, "tid"), width, left))
+    matches = _matches(suffixes, width, left, need).unionByName(_windows(suffixes, width, left))
 
     def merged(batches):
         for batch in batches:

@@ -145,6 +145,19 @@ def test_repeated_passages_cover_what_repeats(spark, corpus):
     assert found[unique.index("")].n_words == 0 and found[3].n_spans == 1
 
 
+def test_passages_whose_tail_a_third_text_shares(spark):
+    rng, texts, want = random.Random(11), [], set()
+    for n in [50, 50, 50, 52, 55, 60, 64] * 12:
+        w = prose(rng, n + 8).split(" ")
+        at, i = rng.randrange(9, 15), len(texts)
+        texts += [prose(rng, 20) + " " + " ".join(w[:n]) + " " + prose(rng, 30), prose(rng, 30) + " " + " ".join(w[:n]) + " " + prose(rng, 20)]
+        # Others share the tail and differ to the left of it or inside, one word further right than the pair.
+        texts += [prose(rng, 25) + " " + " ".join(w[at:n]) + " " + texts[i].split(" ")[20 + n] + " " + prose(rng, 25) for _ in range(3)]
+        want |= {i, i + 1}
+    found = {r.doc_id for r in suffix.repeated_passages(docs_of(spark, texts), 50).collect() if r.n_spans}
+    assert want <= found
+
+
 def test_top_k_is_that_of_all_products(spark):
     rng = np.random.default_rng(5)
     x = np.round(rng.standard_normal((300, 16)), 1)

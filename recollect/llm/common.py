@@ -27,15 +27,63 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Spark removes a query's shuffle files when the query ends, instead of when the driver's garbage collector gets to them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, watched: Observation | None = None, *figures: Column) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: recovery never reaches beyond it.
 
-    watched gets aggregates of the rows as they are written.
+    watched gets aggregates of the rows as they are written. What nothing reads any more is removed by release().
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/recollect-{uuid.uuid4().hex}"
-    (df.observe(watched, *figures) if watched else df).write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    usual = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        (df.observe(watched, *figures) if watched else df).write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if usual is None else spark.conf.set(CLEANUP, usual)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.written_to = path
+    return found
+
+
+def release(*frames: DataFrame | None) -> None:
+    """Remove what cut() wrote for these frames, once all that was read from them is written itself."""
+    for df in frames:
+        if path := getattr(df, "written_to", None):
+            spark = df.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            del df.written_to
+
+
+def private(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+SIEVE = 1 << 24  #: bits of a sieve: 262,144 rows of two numbers, whatever is in it
+
+
+def sieved(df: DataFrame, key: Column, keys: DataFrame, column: str, name: str) -> DataFrame:
+    """df with a boolean column that is true wherever key is among the keys, and rarely elsewhere.
+
+    The keys are folded into a bitmap of a fixed size, which is broadcast; an exact join is left to the caller, who
+    thus shuffles few of the rows that have no partner.
+    """
+    at = lambda c: F.xxhash64(c).bitwiseAND(F.lit(SIEVE - 1).cast("long"))
+    word, bits = private(df, "sieve_word"), private(df, "sieve_bits")
+    folded = keys.select(at(F.col(column)).alias("h")).groupBy(F.shiftright("h", 6).alias(word)).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias(bits))
+    looked = df.withColumn(private(df, "sieve_at"), at(key))
+    place = looked.columns[-1]
+    looked = looked.join(F.broadcast(folded), F.shiftright(F.col(place), 6) == F.col(word), "left")
+    bit = F.expr(f"shiftrightunsigned(coalesce(`{bits}`, 0L), cast(`{place}` & 63 as int)) & 1L") == 1
+    return looked.withColumn(name, bit).drop(place, word, bits)
 
 
 def values(column: Iterable) -> Iterator:
@@ -51,7 +99,7 @@ def row_key(doc_id: Column, text: Column) -> Column:
 LINKS = 250_000  #: links of a partition, at least, in the search for components
 
 
-def components(edges: DataFrame, left: str = "a", right: str = "b", rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, left: str = "a", right: str = "b", rounds: int = 100) -> DataFrame:
     """Smallest reachable id of every id in the links: columns id, component.
 
     Alternates the large-star and small-star steps; each is one grouped minimum (combined before the shuffle,
@@ -61,7 +109,7 @@ def components(edges: DataFrame, left: str = "a", right: str = "b", rounds: int
     watched = Observation()
     links = edges.select(F.col(left).cast("long").alias("u"), F.col(right).cast("long").alias("v")).where("u <> v")
     links = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), watched, F.count("*").alias("n"))
-    seen, size = None, watched.get["n"]
+    written, seen, size = links, None, watched.get["n"]
     for _ in range(rounds):
         # So many links fit a task well; Spark doesn't shuffle where one partition holds them all.
         links = links.coalesce(-(-size // LINKS) or 1)
@@ -72,15 +120,18 @@ def components(edges: DataFrame, left: str = "a", right: str = "b", rounds: int
         small = large.join(low, "u")
         small = small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v")))
         watched = Observation()
-        links = cut(small.where("u <> v").distinct(), watched, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
-        now = watched.get
+        former, links = written, cut(small.where("u <> v").distinct(), watched, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+        release(former)
+        written, now = links, watched.get
         if now == seen or not now["n"]:
             break
         seen, size = now, now["n"]
     else:
         raise RuntimeError("connected components did not settle")
     roots = links.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    return links.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
+    found = cut(links.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots))
+    release(written)
+    return found
 
 
 def small(df: DataFrame, most: int = 1_000_000, weight: Column | None = None) -> DataFrame:

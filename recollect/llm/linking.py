@@ -7,6 +7,9 @@ component. In what is still open after the last round, members outside the large
 with those of other components; in buckets of few items, all that aren't in one component yet. So every pair that
 shares a bucket was either compared or lies in one component already: components are those that comparing all
 pairs would give.
+
+Components grow by what is new: links found later join the components found so far, and only those that they touch
+are worked on again. Tables of a round are removed when the next one is written.
 """
 
 from __future__ import annotations
@@ -16,40 +19,60 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from recollect.llm.common import components, cut
-
+from recollect.llm.common import components, cut, release
 
 MANY = 8  #: items from which on a bucket gets a leader
 ROUNDS = 5  #: leaders that a bucket gets at most before the rest is compared member by member
 FEW = 20_000_000  #: comparisons of sketches that are few enough to be made without another leader
 
 
-def link(items: DataFrame, near: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame], narrow: bool = False) -> DataFrame | None:
-    """Components (id, component) of the confirmed links between items, or None without any: rep, bands (the buckets it is in) and what near needs.
+def in_buckets(items: DataFrame) -> DataFrame:
+    """band, rep of items (rep, bands) whose bucket holds another item too.
+
+    Buckets are counted first (combined before the shuffle), and the join that follows can be split where one is large.
+    """
+    banded = items.select("rep", F.explode("bands").alias("band"))
+    repeated = cut(banded.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("band"))
+    shared = cut(banded.join(repeated, "band").select("band", "rep"))
+    release(repeated)
+    return shared
+
+
+def link(shared: DataFrame, items: DataFrame, near: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+    """Components (id, component) of the confirmed links between items, or None without any.
 
+    shared has the buckets (band, rep, each once) that hold two items or more; items has what near needs by rep.
     near(l, r) is a cheap condition on the aliases of two items that keeps every pair that may be confirmed;
-    confirm takes pairs (a, b) and returns those that are links. Of narrow items, near's columns go along with the
-    buckets; those of others are joined where buckets hold more than one item.
+    confirm takes pairs (a, b) and returns those that are links.
     """
-    attributes = [c for c in items.columns if c not in ("rep", "bands")]
-    banded = items.select("rep", *(attributes if narrow else []), F.explode("bands").alias("band"))
-    sizes = banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
+    sizes = shared.groupBy("band").agg(F.count("*").alias("members"))
     watched = Observation()
-    shared = cut(banded.join(sizes, "band"), watched, F.count("*").alias("n"), F.count_if(F.col("members") > MANY).alias("many"))
+    sized = cut(shared.join(sizes, "band"), watched, F.count("*").alias("n"), F.count_if(F.col("members") > MANY).alias("many"))
     if not watched.get["n"]:
+        release(sized)
         return None
-    links, found, open_ = (None, None, None) if not watched.get["many"] else _led(shared.where(F.col("members") > MANY).select("band", "rep", "members"), items, near, confirm)
+    found, open_ = None, None
+    if watched.get["many"]:
+        found, open_ = _led(sized.where(F.col("members") > MANY), items, near, confirm)
 
-    rest = labelled(shared.where(F.col("members") <= MANY), found).withColumn("main", F.lit(None).cast("long"))
+    rest = labelled(sized.where(F.col("members") <= MANY).select("band", "rep"), found).withColumn("main", F.lit(None).cast("long"))
     if open_ is not None:
         rest = rest.unionByName(labelled(shared.join(open_, "band"), found).select(rest.columns))
-    rest = cut(rest if narrow else rest.join(items, "rep"))
-    pairs = rest.where("coalesce(component <> main, true)").alias("l").join(rest.alias("r"), "band")
-    pairs = pairs.where("l.component <> r.component and (r.component = r.main or l.rep < r.rep)").where(near("l", "r"))
-    if not narrow:  # pairs that share several buckets are taken from the first
-        pairs = pairs.where(F.element_at(F.array_intersect("l.bands", "r.bands"), 1) == F.col("l.band"))
-    pairs = pairs.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b"))
-    return _more(links, found, confirm(cut(pairs.distinct() if narrow else pairs)))[1]
+    rest = cut(rest)
+    l, r = rest.where("coalesce(component <> main, true)").alias("l"), rest.alias("r")
+    pairs = l.join(r, "band").where("l.component <> r.component and (r.component = r.main or l.rep < r.rep)")
+    pairs = pairs.select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).distinct()
+    pairs = cut(_nearby(pairs, items, near))
+    release(rest, sized, open_)
+    found = _more(found, confirm(pairs))
+    release(pairs)
+    return found
+
+
+def _nearby(pairs: DataFrame, items: DataFrame, near: Callable[[str, str], Column]) -> DataFrame:
+    """The pairs (a, b) that meet the cheap condition."""
+    both = pairs.join(items.alias("l"), F.col("a") == F.col("l.rep")).join(items.alias("r"), F.col("b") == F.col("r.rep"))
+    return both.where(near("l", "r")).select("a", "b")
 
 
 def labelled(shared: DataFrame, found: DataFrame | None) -> DataFrame:
@@ -59,36 +82,55 @@ def labelled(shared: DataFrame, found: DataFrame | None) -> DataFrame:
     return shared.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
 
-def _led(shared: DataFrame, items: DataFrame, near: Callable, confirm: Callable) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """(links, components, buckets that are still open with their main component) of buckets of many items."""
-    weights = shared.groupBy("rep").agg(F.sum("members").alias("weight"))
-    shared = cut(shared.join(weights, "rep"))
-    open_, links, found = shared.withColumn("component", F.col("rep")), None, None
+def _led(sized: DataFrame, items: DataFrame, near: Callable, confirm: Callable) -> tuple[DataFrame | None, DataFrame]:
+    """(components, buckets that are still open with their main component) of buckets of many items."""
+    weights = sized.groupBy("rep").agg(F.sum("members").alias("weight"))
+    known = cut(sized.join(weights, "rep"))
+    open_, found = known.withColumn("component", F.col("rep")), None
     for _ in range(ROUNDS):
         # The most central member outside the component of the last leader.
         outside = open_ if found is None else open_.where("component <> main")
         leader = F.max(F.struct("weight", (-F.col("rep")).alias("id"), F.col("component").alias("own"))).alias("m")
         leads = outside.groupBy("band").agg(leader).select("band", (-F.col("m.id")).alias("lead"), "m.own")
-        star = open_.join(leads, "band")
-        star = star.where("component <> own").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
-        star = star.join(items.drop("bands").alias("l"), F.col("a") == F.col("l.rep")).join(items.drop("bands").alias("r"), F.col("b") == F.col("r.rep")).where(near("l", "r")).select("a", "b")
-        links, found = _more(links, found, confirm(cut(star)))
-        known = labelled(shared, found)
+        star = open_.join(leads, "band").where("component <> own")
+        star = cut(_nearby(star.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct(), items, near))
+        found = _more(found, confirm(star))
+        release(star)
+        placed = labelled(known, found)
         main = F.max(F.struct("weight", "component")).alias("m")
-        buckets = known.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), main).where("lo <> hi").select("band", F.col("m.component").alias("main"))
+        buckets = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), main).where("lo <> hi").select("band", F.col("m.component").alias("main"))
         watched = Observation()
         cost = F.sum(F.when(F.col("component") != F.col("main"), F.col("members"))).alias("pairs")
-        open_ = cut(known.join(buckets, "band"), watched, cost)
+        former, open_ = open_, cut(placed.join(buckets, "band"), watched, cost)
+        release(former)
         if (watched.get["pairs"] or 0) <= FEW:
             break
-    return links, found, open_.select("band", "main").distinct()
+    left = cut(open_.select("band", "main").distinct())
+    release(known, open_)
+    return found, left
 
 
-def _more(links: DataFrame | None, found: DataFrame | None, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(all links, their components) with new links added; nothing is computed anew where there are none."""
+def _more(found: DataFrame | None, new: DataFrame) -> DataFrame | None:
+    """The components found, with new links (a, b) added; nothing is computed anew where they join nothing."""
+    between = new if found is None else _ends(new, found)
     watched = Observation()
-    new = cut(new, watched, F.count("*").alias("n"))
-    if links is not None and not watched.get["n"]:
-        return links, found
-    links = new if links is None else links.unionByName(new)
-    return links, cut(components(links))
+    between = cut(between, watched, F.count("*").alias("n"))
+    if not watched.get["n"]:
+        release(between)
+        return found
+    joined = components(between)
+    release(between)
+    if found is None:
+        return joined
+    moved = found.join(joined.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left")
+    moved = moved.select("id", F.coalesce("to", "component").alias("component"))
+    grown = cut(moved.unionByName(joined.join(found.select("id"), "id", "left_anti")))
+    release(found, joined)
+    return grown
+
+
+def _ends(new: DataFrame, found: DataFrame) -> DataFrame:
+    """The links between components that new links make: (a, b), each once."""
+    a, b = (found.select(F.col("id").alias(x), F.col("component").alias(f"own_{x}")) for x in "ab")
+    ends = new.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("own_a", "a").alias("a"), F.coalesce("own_b", "b").alias("b"))
+    return ends.where("a <> b").distinct()

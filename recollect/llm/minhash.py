@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import cut, small
-from recollect.llm.linking import labelled, link
+from recollect.llm.common import cut, private, release, sieved
+from recollect.llm.linking import in_buckets, labelled, link
 from recollect.llm.words import mix, odd_multipliers, shingle_sets
 
 BANDS, ROWS = 20, 4  #: a pair at 0.8 shares a band with a probability of 0.99997
@@ -84,7 +84,8 @@ def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
                 flat = np.concatenate([*sets, np.zeros(0, dtype=np.uint64)]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([found.slice(i, 512), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "shingles"])
 
-    return docs.select("doc_id", "text").join(small(ids.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi").mapInArrow(made, "id long, shingles array<long>")
+    rows = sieved(docs.select("doc_id", "text"), F.col("doc_id").cast("long"), ids, "id", "wanted").where("wanted")
+    return rows.join(ids, F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "text").mapInArrow(made, "id long, shingles array<long>")
 
 
 def _near(percent: int):
@@ -111,11 +112,13 @@ def _near(percent: int):
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    ids = cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
     sets = cut(_sets(docs, ids, shingle))
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     both = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("n"), (F.size("x") + F.size("y")).cast("long").alias("m"))
-    return both.where(F.col("n") * 100 >= (F.col("m") - F.col("n")) * percent).select("a", "b")
+    links = cut(both.where(F.col("n") * 100 >= (F.col("m") - F.col("n")) * percent).select("a", "b"))
+    release(ids, sets)
+    return links
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -128,15 +131,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     signed = cut(signatures(docs, shingle))
     known = signed.where("n_shingles > 0 and doc_id is not null")
     classes = cut(known.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), *(F.first(s).alias(s) for s in _S)))
-    found = link(classes.drop("fp"), _near(percent), lambda pairs: _confirmed(docs, pairs, shingle, percent))
-
-    placed = labelled(classes.select("fp", "rep"), found).select("fp", "component")
-    rows = signed.select("doc_id", "n_shingles", "fp").join(placed, "fp", "left")
+    shared = in_buckets(classes.select("rep", "bands"))
+    found = link(shared, classes.select("rep", "n", *_S), _near(percent), lambda pairs: _confirmed(docs, pairs, shingle, percent))
+    release(shared)
+
+    # Classes and rows without their sketches: little is left when the result is read.
+    placed = cut(labelled(classes.select("fp", "rep"), found).select("fp", "component"))
+    kept = cut(signed.select("doc_id", "n_shingles", "fp"))
+    release(signed, classes, found)
+    rows = kept.join(placed, "fp", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component")).cast("long")
     return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document (the smallest id) of each group of near duplicates."""
-    gone = near_duplicates(docs, shingle, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    gone = cut(near_duplicates(docs, shingle, percent).where("not kept").select(F.col("doc_id").alias("id")).distinct())
+    mark = private(docs, "gone")
+    rows = sieved(docs, F.col("doc_id").cast("long"), gone, "id", mark)
+    hit = rows.where(F.col(mark)).join(gone.withColumnRenamed("id", mark + "_id"), F.col("doc_id") == F.col(mark + "_id"), "left_anti")
+    return rows.where(~F.col(mark)).unionByName(hit).select(*docs.columns)

@@ -132,13 +132,3 @@ def components(edges: DataFrame, left: str = "a", right: str = "b", rounds: int
     found = cut(links.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots))
     release(written)
     return found
-
-
-def small(df: DataFrame, most: int = 1_000_000, weight: Column | None = None) -> DataFrame:
-    """df, to be broadcast if it has at most so many rows of a few numbers each; else it is joined by a shuffle.
-
-    weight, where rows hold arrays, is what each row counts.
-    """
-    watched = Observation()
-    df = cut(df, watched, F.coalesce(F.sum(F.lit(1) if weight is None else weight), F.lit(0)).alias("n"))
-    return F.broadcast(df) if watched.get["n"] <= most else df

@@ -1,218 +1,281 @@
 """Repeated passages by a sparse suffix array over words.
 
-Suffixes are kept only where content selects them: at the smallest fingerprint of 8 words among each 16 successive
-ones, so equal passages select equal places. A passage of min_words words holds such a place among its first 16
-words; the words that then remain of it, 35 of 50, are the least common prefix that counts.
-
-1. Places whose next 35 words (as a fingerprint) occur at one other place at least are the suffixes to sort.
-2. These suffixes, as the fingerprints of their next 50 words, are range-partitioned and sorted over the cluster.
-3. Each is compared with its neighbour; matches are extended left word by word. Pairs over a partition border are
-   compared in a last step on two rows a partition.
-4. The neighbour need not be the one with the longest left match, so the windows of min_words words around each place
-   that begin up to 15 words before it are counted by fingerprint too: those that repeat are stretches as well.
-5. The stretches of a text are merged, and those of min_words words or more reported.
-
-Texts that occur several times are handled once and reported as repeated from end to end.
+Suffixes are kept only where content selects them: each window of min_words words is given to the place of the
+smallest fingerprint of 8 words among the 16 that begin first in it. Equal windows thus select the same place. The
+suffix of a place begins with 35 words (of 50) that all its windows hold; to the left of it, up to 15 words more.
+
+1. The suffixes, as fingerprints of their first 35 words and of all that their windows hold, are dealt out by the
+   first and sorted, so equal ones are neighbours. Two neighbours equal in both have all their windows in common.
+2. Runs of neighbours that begin alike but differ in what surrounds it (to the left or right) are extended to both
+   sides: one member of each kind has all its windows of min_words words compared, a window for each number of words to
+   the left. Comparing with the next neighbour alone would miss partners that differ from it to the left.
+3. The stretches of a text are merged. Every window belongs to one place, so a passage of min_words words or more is
+   reported if and only if it repeats, from its first word to its last.
+
+A task tells which of its suffixes (or windows) are equal within a stretch of text; only the first of them goes to the
+partition of its fingerprint, so passages that very many texts share don't fill one partition. Texts that occur
+several times are handled once and reported as repeated from end to end.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import cut, small
-from recollect.llm.words import power_tables, blocks, mix, odd_multipliers, words
+from recollect.llm.common import cut, release, sieved
+from recollect.llm.words import blocks, mix, odd_multipliers, power_tables, words
 
 GRAM, AMONG = 8, 16  #: words of a fingerprint, successive fingerprints of which the smallest is selected
 MIN_WORDS = 50
-
-
-def _selected(hashes: np.ndarray, first: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
-    """(selected word positions, the text of each) that have at least need words before their text ends."""
-    n = len(hashes) - GRAM + 1
-    if n < AMONG:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    grams = np.zeros(n, dtype=np.uint64)
-    for j, m in enumerate(odd_multipliers(GRAM, 31)):
-        grams += hashes[j : j + n] * m
-    grams = mix(grams)
-    starts = np.arange(n - AMONG + 1)
-    text = np.searchsorted(first, starts, side="right") - 1
-    inside = starts + AMONG + GRAM - 1 <= first[text + 1]
-    least = np.lib.stride_tricks.sliding_window_view(grams, AMONG).argmin(axis=1)
-    places = np.unique((starts + least)[inside])
-    text = np.searchsorted(first, places, side="right") - 1
-    good = places + need <= first[text + 1]
-    return places[good], text[good]
-
-
-def places(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, tid (fingerprint of the text), pos, h (of the next words); a row with pos -1 for each document, h its number of words."""
+_HELD = 1 << 16  #: rows of one fingerprint that are held until its next ones come
+_ALONE, _FIRST, _FURTHER = 0, 1, 2  #: whether equals were met within a stretch of text
+_DOC, _WHOLE, _OPEN = 0, 1, 2  #: rows of the sorted suffixes: a document, a stretch that repeats, a place to be extended
+
+
+class _Stretch:
+    """The words of a block of texts, with fingerprints of any of their runs."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.hashes, _, _, first = words(data, offsets)
+        self.first = np.append(first[:-1], len(self.hashes))
+        power, self._inverse = power_tables(len(self.hashes) + 1)
+        self._sums = np.zeros(len(self.hashes) + 1, dtype=np.uint64)
+        np.cumsum(self.hashes * power[: len(self.hashes)], out=self._sums[1:])
+
+    def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self._sums[end] - self._sums[begin]) * self._inverse[begin] + (end - begin).astype(np.uint64)).view(np.int64)
+
+    def places(self, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, first window, number of windows, place) of the selected places, in words of the block."""
+        n = len(self.hashes) - min_words + 1
+        none = np.zeros(0, dtype=np.int64)
+        if n < 1:
+            return none, none, none, none
+        grams = np.zeros(len(self.hashes) - GRAM + 1, dtype=np.uint64)
+        for j, m in enumerate(odd_multipliers(GRAM, 31)):
+            grams += self.hashes[j : j + len(grams)] * m
+        grams = mix(grams)
+        starts = np.arange(n)
+        text = np.searchsorted(self.first, starts, side="right") - 1
+        inside = starts + min_words <= self.first[text + 1]
+        place = starts + np.lib.stride_tricks.sliding_window_view(grams, AMONG)[:n].argmin(axis=1)
+        starts, text, place = starts[inside], text[inside], place[inside]
+        if not len(starts):
+            return none, none, none, none
+        new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (text[1:] != text[:-1])]))
+        return text[new], starts[new], np.diff(np.append(new, len(starts))), place[new]
+
+
+def _met_here(key: np.ndarray, tid: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, each place once; whether others have the same key) of a block."""
+    order = np.lexsort((at, tid, key))
+    key, tid, at = key[order], tid[order], at[order]
+    again = np.concatenate([[False], (key[1:] == key[:-1]) & (tid[1:] == tid[:-1]) & (at[1:] == at[:-1])])[: len(key)]
+    order, key = order[~again], key[~again]
+    new = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
+    more = np.concatenate([~new[1:], [False]])[: len(key)]
+    return order, np.where(new, np.where(more, _FIRST, _ALONE), _FURTHER).astype(np.int8)
+
+
+def _suffixes(rows: DataFrame, min_words: int) -> DataFrame:
+    """h, big, tid, at, local of every place: at is the first window times 256 plus the number of windows; -1 less the words for a document's own row, big its id."""
     need = min_words - AMONG + 1
 
-    def found(batches):
+    def made(batches):
         for batch in batches:
-            ids, tids = batch.column("doc_id").cast(pa.int64()), batch.column("tid")
+            ids, tids = batch.column("doc_id"), batch.column("tid").to_numpy()
             for i, data, offsets in blocks(batch.column("text")):
-                hashes, _, _, first = words(data, offsets)
-                first = np.append(first[:-1], len(hashes))
-                at, text = _selected(hashes, first, need)
-                power, inverse = power_tables(len(hashes) + 1)
-                sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
-                np.cumsum(hashes * power[: len(hashes)], out=sums[1:])
-                h = mix((sums[at + need] - sums[at]) * inverse[at])
-                rows = pa.array(np.concatenate([np.arange(len(offsets) - 1), text]) + i)
-                pos = np.concatenate([np.full(len(offsets) - 1, -1), at - first[text]]).astype(np.int32)
-                h = np.concatenate([np.diff(first), h.view(np.int64)])
-                yield pa.RecordBatch.from_arrays([ids.take(rows), tids.take(rows), pa.array(pos), pa.array(h)], names=["doc_id", "tid", "pos", "h"])
-
-    return docs.mapInArrow(found, "doc_id long, tid long, pos int, h long")
-
-
-def _suffixes(docs: DataFrame, kept: DataFrame, width: int, left: int) -> DataFrame:
-    """tid, pos, suffix and before: big-endian 32-bit fingerprints of the words from pos on and, backwards, before it; 0 beyond the text."""
+                seen = _Stretch(data, offsets)
+                text, lo, n, place = seen.places(min_words)
+                h, big = seen.of(place, place + need), seen.of(lo, lo + n - 1 + min_words)
+                tid, at = tids[text + i], (lo - seen.first[text]) << 8 | n
+                keep, local = _met_here(big, tid, at)
+                size = len(offsets) - 1
+                own = pa.array(tids[i : i + size])
+                yield pa.RecordBatch.from_arrays([own, ids.slice(i, size), own, pa.array(-1 - np.diff(seen.first)), pa.array(np.full(size, _FURTHER, dtype=np.int8))], names=["h", "big", "tid", "at", "local"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[keep], big[keep], tid[keep], at[keep], local)], names=["h", "big", "tid", "at", "local"])
+
+    return rows.mapInArrow(made, "h long, big long, tid long, at long, local byte")
+
+
+def _runs(min_words: int):
+    """A pass over sorted suffixes that tells documents, stretches that repeat and places to be extended (kind, tid, x, y)."""
+
+    def rows(kind: int, tid, x, y) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(tid), kind, dtype=np.int8)), pa.array(tid), pa.array(x), pa.array(y)], names=["kind", "tid", "x", "y"])
+
+    def whole(tid, at) -> pa.RecordBatch:
+        lo, n = at >> 8, at & 255
+        return rows(_WHOLE, tid, lo, lo + n - 1 + min_words)
+
+    def told(h, big, tid, at, local, known: bool) -> Iterator[pa.RecordBatch]:
+        """known: the first fingerprint's run has had another kind before."""
+        if not len(h):
+            return
+        kind = np.concatenate([[True], (h[1:] != h[:-1]) | (big[1:] != big[:-1])])
+        start = np.flatnonzero(kind)
+        of = np.cumsum(kind) - 1
+        place = np.concatenate([[True], (of[1:] != of[:-1]) | (tid[1:] != tid[:-1]) | (at[1:] != at[:-1])])
+        equal = (np.add.reduceat(place.astype(np.int64), start) > 1) | (np.maximum.reduceat(local, start) > 0)
+        repeats = np.flatnonzero(equal[of] & place)
+        yield whole(tid[repeats], at[repeats])
+        run = np.concatenate([[True], h[start][1:] != h[start][:-1]])
+        first = np.flatnonzero(run)
+        several = np.diff(np.append(first, len(start))) > 1
+        several[0] |= known
+        opened = start[several[np.cumsum(run) - 1]]
+        yield rows(_OPEN, tid[opened], at[opened], equal[of[opened]].astype(np.int64))
+
+    def passed(batches):
+        held, known = [np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.int64, np.int8)], False
+        for batch in batches:
+            doc = np.asarray(batch.column("at")) < 0
+            if doc.any():
+                docs = batch.filter(pa.array(doc))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(docs), _DOC, dtype=np.int8)), docs.column("tid"), pa.array(-1 - docs.column("at").to_numpy()), docs.column("big")], names=["kind", "tid", "x", "y"])
+            batch = batch.filter(pa.array(~doc))
+            h, big, tid, at, local = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("h", "big", "tid", "at", "local"))
+            away = local == _FURTHER
+            if away.any():
+                yield whole(tid[away], at[away])
+            held = [np.concatenate([a, b[~away]]) for a, b in zip(held, (h, big, tid, at, local), strict=True)]
+            if not len(held[0]):
+                continue
+            cut_at = int(np.searchsorted(held[0], held[0][-1]))
+            if cut_at:
+                yield from told(*(x[:cut_at] for x in held), known)
+                held, known = [x[cut_at:] for x in held], False
+            if len(held[0]) > _HELD:  # a long run goes on: all kinds but the last are told, of the last one place stays
+                last = len(held[1]) - 1 - int(np.argmax((held[1] != held[1][-1])[::-1])) if (held[1] != held[1][-1]).any() else -1
+                if last >= 0:
+                    known = True
+                    yield from told(*(x[: last + 1] for x in held), True)
+                    held = [x[last + 1 :] for x in held]
+                if len(held[0]) > _HELD:
+                    yield whole(held[2], held[3])
+                    held = [x[:1] for x in held]
+                    held[4] = np.full(1, _FIRST, dtype=np.int8)
+        yield from told(*held, known)
+
+    return passed
+
+
+def _windows(texts: DataFrame, min_words: int) -> DataFrame:
+    """w, tid, at, local of the windows of the places that are extended: at is twice the window's first word, plus 1 if it is known to repeat."""
 
     def made(batches):
         for batch in batches:
-            tids, at = batch.column("tid"), batch.column("at").to_pylist()
+            tids, places = batch.column("tid").to_numpy(), batch.column("at")
             for i, data, offsets in blocks(batch.column("text")):
-                hashes, _, _, first = words(data, offsets)
-                short = ((hashes >> np.uint64(32)) | np.uint64(1)).astype(np.uint32)
-                for j in range(len(offsets) - 1):
-                    pos = np.unique(np.array(at[i + j], dtype=np.int64))
-                    own = np.concatenate([np.zeros(left, dtype=np.uint32), short[first[j] : first[j + 1]], np.zeros(width, dtype=np.uint32)])
-                    seen = np.lib.stride_tricks.sliding_window_view(own, left + width)[pos]
-                    suffix = np.ascontiguousarray(seen[:, left:]).astype(">u4")
-                    before = np.ascontiguousarray(seen[:, :left][:, ::-1]).astype(">u4")
-                    yield pa.RecordBatch.from_arrays([pa.array([tids[i + j].as_py()] * len(pos), pa.int64()), pa.array(pos.astype(np.int32)), pa.array([x.tobytes() for x in suffix], pa.binary()), pa.array([x.tobytes() for x in before], pa.binary())], names=["tid", "pos", "suffix", "before"])
-
-    kept = small(kept.select(F.col("tid").alias("its_tid"), F.col("rep").alias("its_doc"), "at"), 2_000_000, F.size("at") + 2)
-    rows = docs.join(kept, (F.col("tid") == F.col("its_tid")) & F.col("doc_id").eqNullSafe(F.col("its_doc")))
-    return rows.select("tid", "text", "at").mapInArrow(made, "tid long, pos int, suffix binary, before binary")
-
-
-def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Length of the common prefix of each row of x and y; zeros never match."""
-    differ = np.concatenate([(x != y) | (x == 0), np.ones((len(x), 1), dtype=bool)], axis=1)
-    return differ.argmax(axis=1)
-
-
-_MATCH = pa.schema([("tid", pa.int64()), ("from", pa.int32()), ("to", pa.int32()), ("edge", pa.int32()), ("pos", pa.int32()), ("suffix", pa.binary()), ("before", pa.binary())])
-_MATCH_SQL = "tid long, `from` int, `to` int, edge int, pos int, suffix binary, before binary"
-
-
-def _neighbours(tid: np.ndarray, pos: np.ndarray, suffix: np.ndarray, before: np.ndarray, need: int) -> pa.RecordBatch:
-    """The stretches that each two successive suffixes have in common, for both."""
-    right, left = _common(suffix[:-1], suffix[1:]), _common(before[:-1], before[1:])
-    good = np.flatnonzero((right >= need) & ((tid[:-1] != tid[1:]) | (pos[:-1] != pos[1:])))
-    both = np.concatenate([good, good + 1])
-    right, left = np.tile(right[good], 2), np.tile(left[good], 2)
-    n, none = len(both), pa.nulls(len(both), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(tid[both]), pa.array((pos[both] - left).astype(np.int32)), pa.array((pos[both] + right).astype(np.int32)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), none, none], schema=_MATCH)
-
+                seen = _Stretch(data, offsets)
+                own = places.slice(i, len(offsets) - 1)
+                packed = own.flatten().to_numpy(zero_copy_only=False)
+                text = np.repeat(np.arange(len(own)), np.asarray(own.value_lengths()))
+                settled, n, lo = packed & 1, packed >> 1 & 255, packed >> 9
+                which = np.repeat(np.arange(len(packed)), n)
+                begin = lo[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+                start = begin + seen.first[text[which]]
+                w, tid, at = seen.of(start, start + min_words), tids[text[which] + i], begin << 1 | settled[which]
+                keep, local = _met_here(w, tid, at)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w[keep], tid[keep], at[keep], local)], names=["w", "tid", "at", "local"])
+
+    return texts.mapInArrow(made, "w long, tid long, at long, local byte")
+
+
+def _same_windows(min_words: int):
+    """A pass over sorted windows that tells those that occur at another place too (tid, x, y)."""
+
+    def stretches(tid, at) -> pa.RecordBatch:
+        new = (at & 1) == 0
+        return pa.RecordBatch.from_arrays([pa.array(tid[new]), pa.array(at[new] >> 1), pa.array((at[new] >> 1) + min_words)], names=["tid", "x", "y"])
+
+    def told(w, tid, at, local):
+        if not len(w):
+            return
+        start = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+        of = np.cumsum(np.concatenate([[True], w[1:] != w[:-1]])) - 1
+        place = np.concatenate([[True], (of[1:] != of[:-1]) | (tid[1:] != tid[:-1]) | (at[1:] >> 1 != at[:-1] >> 1)])
+        equal = (np.add.reduceat(place.astype(np.int64), start) > 1) | (np.maximum.reduceat(local, start) > 0)
+        yield stretches(tid[equal[of]], at[equal[of]])
+
+    def passed(batches):
+        held = [np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.int8)]
+        for batch in batches:
+            w, tid, at, local = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("w", "tid", "at", "local"))
+            away = local == _FURTHER
+            if away.any():
+                yield stretches(tid[away], at[away])
+            held = [np.concatenate([a, b[~away]]) for a, b in zip(held, (w, tid, at, local), strict=True)]
+            if not len(held[0]):
+                continue
+            cut_at = int(np.searchsorted(held[0], held[0][-1]))
+            yield from told(*(x[:cut_at] for x in held))
+            held = [x[cut_at:] for x in held]
+            if len(held[0]) > _HELD and ((held[1] != held[1][0]) | (held[2] >> 1 != held[2][0] >> 1) | (held[3] > 0)).any():
+                yield stretches(held[1], held[2])
+                held = [x[:1] for x in held]
+                held[3] = np.full(1, _FIRST, dtype=np.int8)
+        yield from told(*held)
 
-def _wide(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=">u4").reshape(len(column), width).astype(np.uint32)
+    return passed
 
 
-def _matches(suffixes: DataFrame, width: int, left: int, need: int) -> DataFrame:
-    """tid, from, to: stretches shared by neighbours in the sorted order."""
+def _merged(min_words: int):
+    """A pass that makes spans (from, to) of the stretches of each text, packed as from * 2^32 + to."""
+    kind = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
 
-    def compared(batches):
-        part, last, first = TaskContext.get().partitionId(), None, None
+    def merged(batches):
         for batch in batches:
-            if not len(batch):
-                continue
-            rows = [batch.column("tid").to_numpy(), batch.column("pos").to_numpy(), _wide(batch.column("suffix"), width), _wide(batch.column("before"), left)]
-            if last is not None:
-                rows = [np.concatenate([a, b]) for a, b in zip(last, rows, strict=True)]
-            first = first or [r[:1] for r in rows]
-            yield _neighbours(*rows, need)
-            last = [r[-1:] for r in rows]
-        if last is not None:
-            edge = [np.concatenate([a, b]) for a, b in zip(first, last, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(edge[0]), pa.nulls(2, pa.int32()), pa.nulls(2, pa.int32()), pa.array([2 * part, 2 * part + 1], pa.int32()), pa.array(edge[1]), *(pa.array([r.astype(">u4").tobytes() for r in e], pa.binary()) for e in edge[2:])], schema=_MATCH)
-
-    def over_borders(table: pa.Table) -> pa.Table:
-        table = table.sort_by("edge")
-        if len(table) < 2:
-            return _MATCH.empty_table()
-        rows = [table.column("tid").to_numpy(), table.column("pos").to_numpy(), _wide(table.column("suffix"), width), _wide(table.column("before"), left)]
-        return pa.Table.from_batches([_neighbours(*rows, need)])
-
-    # The last key splits suffixes that many texts share over several partitions.
-    order = ["suffix", F.xxhash64("tid", "pos")]
-    n = max(int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = suffixes.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    found = cut(ordered.mapInArrow(compared, _MATCH_SQL))
-    # Two rows a partition, whatever the number of suffixes.
-    borders = found.where("edge is not null").withColumn("all", F.lit(0)).groupBy("all").applyInArrow(over_borders, _MATCH_SQL)
-    return found.where("edge is null").unionByName(borders).select("tid", "from", "to")
-
-
-def _windows(suffixes: DataFrame, width: int, left: int) -> DataFrame:
-    """tid, from, to: windows of width words that hold a place among their first words and occur elsewhere too."""
+            out = []
+            for packed in batch.column("stretches"):
+                x = np.unique(packed.values.to_numpy(zero_copy_only=False))
+                begin, end = x >> 32, np.maximum.accumulate(x & 0xFFFFFFFF)
+                new = np.flatnonzero(np.concatenate([[True], begin[1:] > end[:-1]]))
+                last = np.append(new[1:], len(x)) - 1
+                out.append([{"from": a, "to": b} for a, b in zip(begin[new].tolist(), end[last].tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column("tid"), pa.array(out, kind)], names=["tid", "spans"])
 
-    def made(batches):
-        for batch in batches:
-            seen = np.concatenate([_wide(batch.column("before"), left)[:, ::-1], _wide(batch.column("suffix"), width)], axis=1)
-            power, inverse = power_tables(left + width + 1)
-            sums = np.zeros((len(seen), left + width + 1), dtype=np.uint64)
-            np.cumsum(seen.astype(np.uint64) * power[: left + width], axis=1, out=sums[:, 1:])
-            beyond = np.zeros((len(seen), left + width + 1), dtype=np.int32)
-            np.cumsum(seen == 0, axis=1, out=beyond[:, 1:])
-            for begin in range(1, left + 1):
-                good = np.flatnonzero(beyond[:, begin + width] == beyond[:, begin])
-                h = mix((sums[good, begin + width] - sums[good, begin]) * inverse[begin]).view(np.int64)
-                rows = batch.take(pa.array(good))
-                yield pa.RecordBatch.from_arrays([rows.column("tid"), pa.array((rows.column("pos").to_numpy() - (left - begin)).astype(np.int32)), pa.array(h)], names=["tid", "from", "h"])
-
-    all_ = suffixes.mapInArrow(made, "tid long, `from` int, h long")
-    repeated = all_.groupBy("h").agg(F.min("tid").alias("t0"), F.max("tid").alias("t1"), F.min("from").alias("p0"), F.max("from").alias("p1")).where("t0 <> t1 or p0 <> p1").select("h")
-    return all_.join(repeated, "h", "left_semi").select("tid", "from", (F.col("from") + width).cast("int").alias("to")).distinct()
+    return merged
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, n_words, n_spans, repeated_words, spans of every row.
 
     Spans are start:end in words (runs without space and \\x09-\\x0D, A-Z lower-cased; end exclusive), comma-joined:
-    passages of min_words words or more that occur elsewhere too, in the same text or another. Every such passage is
-    among them from its first word to its last. Null and empty texts
-    have no words; rows that repeat a text, with the same id or not, are copies of each other.
+    all passages of min_words words or more that occur elsewhere too, in the same text or another, joined where they
+    touch. Null and empty texts have no words; rows that repeat a text, with the same id or not, are copies of each other.
     """
-    need, width, left = min_words - AMONG + 1, min_words, AMONG
-    if need < GRAM:
+    if min_words - AMONG + 1 < GRAM:
         raise ValueError(f"min_words must be {GRAM + AMONG - 1} at least")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tid", F.xxhash64("text"))
-    found = cut(places(rows, min_words))
-    at = found.where("pos >= 0")
-    repeated = at.groupBy("h").agg(F.min("tid").alias("t0"), F.max("tid").alias("t1"), F.min("pos").alias("p0"), F.max("pos").alias("p1")).where("t0 <> t1 or p0 <> p1").select("h")
-    kept = at.join(repeated, "h", "left_semi").groupBy("tid").agg(F.collect_set("pos").alias("at"))
-    texts = found.where("pos < 0").groupBy("tid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    texts = cut(texts)
-    suffixes = cut(_suffixes(rows, kept.join(texts, "tid"), width, left))
-    matches = _matches(suffixes, width, left, need).unionByName(_windows(suffixes, width, left))
-
-    def merged(batches):
-        for batch in batches:
-            out = []
-            for stretches in batch.column("stretches").to_pylist():
-                spans: list[list[int]] = []
-                for x in sorted((s["from"], s["to"]) for s in stretches):
-                    if spans and x[0] <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], x[1])
-                    else:
-                        spans.append(list(x))
-                out.append([{"from": a, "to": b} for a, b in spans if b - a >= min_words])
-            kind = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column("tid"), pa.array(out, kind)], names=["tid", "spans"])
-
-    spans = matches.groupBy("tid").agg(F.collect_set(F.struct("from", "to")).alias("stretches")).mapInArrow(merged, "tid long, spans array<struct<`from`:int,`to`:int>>")
-    texts = texts.select("tid", "copies").join(spans, "tid", "left")
-    result = found.where("pos < 0").select("doc_id", "tid", F.col("h").alias("n_words")).join(texts, "tid")
+    suffixes = _suffixes(rows, min_words)
+    # Rows that were settled in their task go to any partition.
+    dealt = suffixes.repartition(F.when(F.col("local") == _FURTHER, F.xxhash64("tid", "at")).otherwise(F.col("h"))).sortWithinPartitions("h", "big", "tid", "at")
+    found = cut(dealt.mapInArrow(_runs(min_words), "kind byte, tid long, x long, y long"))
+    of_docs = found.where(F.col("kind") == _DOC).select(F.col("y").alias("doc_id"), "tid", F.col("x").alias("n_words"))
+    texts = cut(of_docs.groupBy("tid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+
+    packed = F.shiftleft("x", 1).bitwiseOR(F.col("y"))
+    opened = found.where(F.col("kind") == _OPEN).groupBy("tid").agg(F.collect_list(packed).alias("at"))
+    opened = cut(opened.join(texts, "tid").select(F.col("tid").alias("its_tid"), "rep", "at"))
+    holding = sieved(rows, F.col("tid"), opened, "its_tid", "held").where("held")
+    holding = holding.join(opened, (F.col("tid") == F.col("its_tid")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("tid", "text", "at")
+    windows = _windows(holding, min_words)
+    dealt = windows.repartition(F.when(F.col("local") == _FURTHER, F.xxhash64("tid", "at")).otherwise(F.col("w"))).sortWithinPartitions("w", "tid", "at")
+    extended = cut(dealt.mapInArrow(_same_windows(min_words), "tid long, x long, y long"))
+    release(opened)
+
+    stretches = found.where(F.col("kind") == _WHOLE).select("tid", "x", "y").unionByName(extended)
+    stretches = stretches.groupBy("tid").agg(F.collect_list(F.shiftleft("x", 32).bitwiseOR(F.col("y"))).alias("stretches"))
+    spans = cut(stretches.mapInArrow(_merged(min_words), "tid long, spans array<struct<`from`:int,`to`:int>>"))
+    of_docs = cut(of_docs)
+    release(found, extended)
+
+    result = of_docs.join(texts.select("tid", "copies").join(spans, "tid", "left"), "tid")
     whole = F.array(F.struct(F.lit(0).alias("from"), F.col("n_words").cast("int").alias("to")))
     none = F.array().cast("array<struct<from:int,to:int>>")
     spans = F.when((F.col("copies") > 1) & (F.col("n_words") >= min_words), whole).otherwise(F.coalesce("spans", none))

@@ -201,30 +201,61 @@ def test_the_lines_query_against_brute_force(spark, tmp_path):
         assert found[i].kept_sha256 == hashlib.sha256(kept.encode()).hexdigest(), (i, t, kept)
 
 
-def test_repeated_passages_cover_what_repeats(spark, corpus):
-    unique = [t for t in corpus if not isinstance(t, tuple)]
-    w = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) for t in unique]
+def passages(texts, n=50):
+    """Spans of every text by comparing all windows of n words."""
+    w = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)})) for t in texts]
     seen: dict = {}
     for i, x in enumerate(w):
-        for j in range(len(x) - 49):
-            seen.setdefault(tuple(x[j : j + 50]), set()).add((i, j))
-    repeating = {i for v in seen.values() if len(v) > 1 for i, _ in v}
-    found = {r.doc_id: r for r in suffix.repeated_passages(docs_of(spark, unique), 50).collect()}
-    assert {i for i, r in found.items() if r.n_spans} == repeating
-    assert found[unique.index("")].n_words == 0 and found[3].n_spans == 1
+        for j in range(len(x) - n + 1):
+            seen.setdefault(tuple(x[j : j + n]), []).append((i, j))
+    out = [[] for _ in texts]
+    for i, j in sorted(p for v in seen.values() if len(v) > 1 for p in v):
+        if out[i] and j <= out[i][-1][1]:
+            out[i][-1][1] = j + n
+        else:
+            out[i].append([j, j + n])
+    return [",".join(f"{a}:{b}" for a, b in x) for x in out]
+
+
+def told_passages(spark, texts, n=50):
+    found = {r.doc_id: r for r in suffix.repeated_passages(docs_of(spark, texts).repartition(3), n).collect()}
+    assert [found[i].n_spans for i in range(len(texts))] == [len(found[i].spans.split(",")) if found[i].spans else 0 for i in range(len(texts))]
+    return [found[i].spans for i in range(len(texts))]
+
+
+def test_repeated_passages_are_those_of_all_windows(spark, corpus):
+    unique = [t for t in corpus if not isinstance(t, tuple)]
+    assert told_passages(spark, unique) == passages(unique)
 
 
 def test_passages_whose_tail_a_third_text_shares(spark):
-    rng, texts, want = random.Random(11), [], set()
+    rng, texts = random.Random(11), []
     for n in [50, 50, 50, 52, 55, 60, 64] * 12:
         w = prose(rng, n + 8).split(" ")
         at, i = rng.randrange(9, 15), len(texts)
         texts += [prose(rng, 20) + " " + " ".join(w[:n]) + " " + prose(rng, 30), prose(rng, 30) + " " + " ".join(w[:n]) + " " + prose(rng, 20)]
         # Others share the tail and differ to the left of it or inside, one word further right than the pair.
         texts += [prose(rng, 25) + " " + " ".join(w[at:n]) + " " + texts[i].split(" ")[20 + n] + " " + prose(rng, 25) for _ in range(3)]
-        want |= {i, i + 1}
-    found = {r.doc_id for r in suffix.repeated_passages(docs_of(spark, texts), 50).collect() if r.n_spans}
-    assert want <= found
+    assert told_passages(spark, texts) == passages(texts)
+
+
+def test_passages_of_quotations_edits_and_repeats_within_a_text(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "_HELD", 7)
+    rng = random.Random(23)
+    sources = [prose(rng, 160).split(" ") for _ in range(5)]
+    texts = []
+    for _ in range(120):
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            s = list(rng.choice(sources))
+            a = rng.randrange(0, 100)
+            s = s[a : a + rng.choice([30, 49, 50, 51, 60, 90, 160])]
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                s[rng.randrange(len(s))] = "e" + str(rng.random())
+            parts.append(" ".join(s) + " " + prose(rng, rng.randrange(3)))
+        texts.append("\n".join(parts))
+    texts += [" ".join(["same"] * 300), " ".join(["same"] * 120), texts[5], None]
+    assert told_passages(spark, texts) == passages(texts)
 
 
 def test_top_k_is_that_of_all_products(spark):

@@ -24,7 +24,7 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}+"
 # Weak parts: identifiers of temporary or other keys and of clients, opaque strings, endpoints.
 WEAK_ID = r"(?<![A-Z0-9])A(?:SIA|ROA|IDA|GPA)[A-Z0-9]{16,}+|(?i:(?<![a-z0-9])(?:client|account|access_?key|user)_?(?:id|name)?[\"']?\x20{0,4}[:=]\x20{0,4}[\"']?[A-Za-z0-9._@-]{4,64})"
-WEAK_SECRET = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{32,128}+={0,2}(?![A-Za-z0-9+/=_-])"
+WEAK_SECRET = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/=_-])"
 WEAK_ENDPOINT = r"(?i:https?|jdbc|amqp|ftp|mongodb|postgres(?:ql)?|redis|mysql)://[^\s\"'<>]{4,}+|(?<![A-Za-z0-9.-])(?:[a-z0-9-]{1,63}\.){1,8}(?:amazonaws\.com|windows\.net|googleapis\.com)"
 BASE = ("assign", "access", "hex")
 WEAK = ("weak_id", "weak_secret", "endpoint")
@@ -77,10 +77,14 @@ def positions(found: DataFrame) -> DataFrame:
 def linked(spans: DataFrame) -> DataFrame:
     """The weak candidates among spans that complementary parts complete."""
     part = spans.withColumn("role", F.when(F.col("kind").isin(1, 3), "id").when(F.col("kind") == 5, "endpoint").otherwise("secret"))
-    # A candidate probes every bucket that its reach touches and a part lies in that of its start, so the interval
-    # join is an equi-join on buckets, which no document of many parts makes quadratic.
-    weak = part.where("kind >= 3").withColumn("bucket", F.explode(F.sequence(F.floor((F.col("start") - NEAR) / NEAR) - 1, F.floor((F.col("end") + NEAR) / NEAR))))
-    l, r = weak.alias("l"), part.where("role <> 'endpoint'").withColumn("bucket", F.floor(F.col("start") / NEAR)).alias("r")
+    # Of two parts that are near, one begins where the other's reach ends at most: a candidate probes the buckets before
+    # its start and behind its end, and a part lies in those of its own start and end. So the interval join is an
+    # equi-join on buckets, which no document of many parts makes quadratic, and the interval condition alone decides.
+    bucket = lambda c: F.floor(c / NEAR).cast("long")
+    start, end = F.col("start"), F.col("end")
+    probed = F.array(bucket(start) - 1, bucket(start), bucket(end), bucket(end) + 1)
+    weak = part.where("kind >= 3").withColumn("bucket", F.explode(F.array_distinct(probed)))
+    l, r = weak.alias("l"), part.where("role <> 'endpoint'").withColumn("bucket", F.explode(F.array_distinct(F.array(bucket(start), bucket(end))))).alias("r")
     near = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.text_id") == F.col("r.text_id")) & (F.col("l.bucket") == F.col("r.bucket"))
     near &= (F.col("l.role") != F.col("r.role")) & (F.col("r.start") <= F.col("l.end") + NEAR) & (F.col("r.end") >= F.col("l.start") - NEAR)
     near &= (F.col("r.start") >= F.col("l.end")) | (F.col("r.end") <= F.col("l.start"))

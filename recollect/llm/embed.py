@@ -1,10 +1,11 @@
 """Near-duplicate vectors by iterative quantisation and multi-index Hamming tables.
 
-On a bounded sample a rotation is learnt that makes the signs of the rotated vectors balanced, tight binary codes
-(two rotations, two codes of 64 bits). Each code's four 16-bit parts are keys of as many hash tables; a vector
-probes each table with its own key and those one bit away, so pairs meet if any of eight parts differs in one bit at
-most. A pair is taken from the first table it meets in, passes if its codes differ in few bits, and is then
-compared by the cosine of the original vectors.
+On a bounded sample rotations are learnt that make the signs of the rotated vectors balanced, tight binary codes of 64
+bits. The parts of each code are keys of as many hash tables; a vector probes each table with its own key and those one
+bit away, so pairs meet if any part differs in one bit at most. Keys grow with the number of vectors (16 bits up to a
+quarter of a million, then 21, then 32), so that chance meetings stay few for each vector, and the number of tables
+grows with them, so that pairs at the threshold are found as before. Pairs whose codes differ in few bits are then compared by
+the cosine of the original vectors.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from recollect.llm.common import components, cut
 from recollect.llm.vectors import dimension, matrix, packed, unpacked, usable
 
 SAMPLE = 4096  #: vectors that the rotation is learnt from at most
-BITS, PART, CODES = 64, 16, 2
-DIFFER = 44  #: bits of the 128 in which a candidate's codes may differ; a pair at 0.9 differs in about 18
+BITS = 64  #: of a code
+DIFFER = 22  #: bits of each 64 in which a candidate's codes may differ; a pair at 0.9 differs in about 9
+MISSED = 0.06  #: share of the pairs at the threshold that may meet in no table
 
 
 def learn(sample: np.ndarray, seed: int, rounds: int = 40) -> tuple[np.ndarray, np.ndarray]:
@@ -43,6 +45,19 @@ def learn(sample: np.ndarray, seed: int, rounds: int = 40) -> tuple[np.ndarray,
     return mean, np.concatenate(out, axis=1)[:, :BITS]
 
 
+def tables(n: int, threshold: float) -> tuple[int, int]:
+    """(bits of a key, codes) for n vectors.
+
+    A bit of two vectors at the threshold agrees with a probability of 1 - angle / pi at least, and a table brings
+    them together if one bit of the key differs at most.
+    """
+    parts = 4 if n <= 1 << 18 else 3 if n <= 1 << 24 else 2
+    part = BITS // parts
+    same = 1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi
+    met = same**part + part * same ** (part - 1) * (1 - same)
+    return part, max(2, int(np.ceil(np.log(MISSED) / np.log(1 - min(met, 0.999)) / parts)))
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
@@ -75,26 +90,26 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
         return rows.select("vec_id", none.alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     sample = usable_rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow()
     sample = _unit(_scaled(matrix(sample.column("embedding").combine_chunks(), d)))
-    models = [learn(sample, seed) for seed in range(CODES)]
+    part, codes = tables(usable_rows.count(), threshold)
+    models = [learn(sample, seed) for seed in range(codes)]
 
     def coded(batches):
         for batch in batches:
             x = _scaled(matrix(batch.column("embedding"), d))
-            codes = _codes(x, models) if len(x) else [np.zeros(0, dtype=np.int64)] * CODES
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([hashlib.blake2b(r.tobytes(), digest_size=16).digest() for r in x + 0.0], pa.binary()), packed(x), *(pa.array(c) for c in codes)], names=["vec_id", "fp", "v", *(f"c{i}" for i in range(CODES))])
+            coded_ = _codes(x, models) if len(x) else [np.zeros(0, dtype=np.int64)] * codes
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([hashlib.blake2b(r.tobytes(), digest_size=16).digest() for r in x + 0.0], pa.binary()), packed(x), *(pa.array(c) for c in coded_)], names=["vec_id", "fp", "v", *(f"c{i}" for i in range(codes))])
 
-    signed = cut(usable_rows.mapInArrow(coded, "vec_id long, fp binary, v binary, " + ", ".join(f"c{i} long" for i in range(CODES))))
-    classes = cut(signed.groupBy("fp").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v"), *(F.first(f"c{i}").alias(f"c{i}") for i in range(CODES))))
+    signed = cut(usable_rows.mapInArrow(coded, "vec_id long, fp binary, v binary, " + ", ".join(f"c{i} long" for i in range(codes))))
+    classes = cut(signed.groupBy("fp").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v"), *(F.first(f"c{i}").alias(f"c{i}") for i in range(codes))))
 
-    tables = [(i, s) for i in range(CODES) for s in range(0, BITS, PART)]
-    part = lambda c, s: F.shiftrightunsigned(c, s).bitwiseAND(F.lit((1 << PART) - 1).cast("long"))
-    keyed = classes.select("rep", *(f"c{i}" for i in range(CODES)), F.posexplode(F.array(*(part(F.col(f"c{i}"), s) for i, s in tables))).alias("t", "key"))
-    probes = keyed.withColumn("key", F.explode(F.array(F.col("key"), *(F.col("key").bitwiseXOR(F.lit(1 << b).cast("long")) for b in range(PART)))))
+    cuts = [(i, s) for i in range(codes) for s in range(0, BITS - part + 1, part)]
+    key = lambda i, s: F.shiftrightunsigned(f"c{i}", s).bitwiseAND(F.lit((1 << part) - 1).cast("long"))
+    keyed = classes.select("rep", *(f"c{i}" for i in range(codes)), F.posexplode(F.array(*(key(i, s) for i, s in cuts))).alias("t", "key"))
+    probes = keyed.withColumn("key", F.explode(F.array(F.col("key"), *(F.col("key").bitwiseXOR(F.lit(1 << b).cast("long")) for b in range(part)))))
     l, r = keyed.alias("l"), probes.alias("r")
-    xor = [F.col(f"l.c{i}").bitwiseXOR(F.col(f"r.c{i}")) for i in range(CODES)]
-    first = F.coalesce(*(F.when(F.bit_count(part(xor[i], s)) <= 1, F.lit(t)) for t, (i, s) in enumerate(tables)))
-    pairs = l.join(r, (F.col("l.t") == F.col("r.t")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.rep") < F.col("r.rep")) & (sum(map(F.bit_count, xor[1:]), F.bit_count(xor[0])) <= DIFFER) & (first == F.col("l.t")))
-    pairs = pairs.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b"))
+    differ = sum((F.bit_count(F.col(f"l.c{i}").bitwiseXOR(F.col(f"r.c{i}"))) for i in range(codes)), F.lit(0))
+    pairs = l.join(r, (F.col("l.t") == F.col("r.t")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.rep") < F.col("r.rep")) & (differ <= DIFFER * codes))
+    pairs = pairs.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct()
 
     def compared(batches):
         for batch in batches:
@@ -110,6 +125,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     linked = ends.join(copies.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("near"))
     found = components(links).withColumnRenamed("id", "rep")
+    # A class's row is small from here on.
     placed = classes.select("fp", "rep", "copies").join(linked, "rep", "left").join(found, "rep", "left")
     placed = placed.select("fp", (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     done = signed.select("vec_id", "fp").join(placed, "fp").select("vec_id", "n_links", "component_id")

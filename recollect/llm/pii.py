@@ -89,7 +89,10 @@ _SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four"
 _NAMES = "|".join(_SPELLED)
 _SPELLED_RUN = re.compile(rf"\b(?:(?P<plus>plus)[\s-]+)?(?:(?:{_NAMES})\b[\s,-]{{1,3}}){{2,}}(?:{_NAMES})\b")
 _NAME = re.compile(rf"{_NAMES}")
-_AT = re.compile(r"\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|(?<=[a-z0-9])\s+at\s+(?=[a-z0-9-]+(?:\s*\.\s*|\s+dot\s+|\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*)[a-z0-9])|(?<=[a-z0-9])_at_(?=[a-z0-9])|&#64;|&commat;|%40(?=[a-z0-9])")
+_AT = re.compile(r"\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|(?<=[a-z0-9])(?P<plain>\s+at\s+)(?=[a-z0-9-]+(?:(?P<dot>\s*\.\s*)|\s+dot\s+|\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*)[a-z0-9])|(?<=[a-z0-9])_at_(?=[a-z0-9])|&#64;|&commat;|%40(?=[a-z0-9])")
+# "at" before a plain domain is prose ("we met at example.com") unless the words before it speak of an address.
+_CUE = re.compile(r"\b(?:e-?mails?|mail(?:to)?|write|contact|reach|address|send|ping|cc|bcc)\b[\s:,;-]*(?:(?:to|is|me|us|him|her|them|via|the|my|our|address)\b[\s:,;-]*){0,3}\Z")
+_NO_NAME = frozenset("i me you he him she her it us we they them this that is are was were be been look met all or and not only".split())
 _DOT = re.compile(r"\s*[\[({<]\s*(?:dot|\.|point)\s*[\])}>]\s*|(?<=[a-z0-9])\s+dot\s+(?=[a-z0-9])|(?<=[a-z0-9])_dot_(?=[a-z0-9])|&#46;")
 # Without the white space that _AT and _DOT take before and after it: whatever they match holds a match of these.
 _AT_WORD = re.compile(r"\sat\s+[a-z0-9-]+(?:\s*[.\[({<]|\s+dot\s)")
@@ -157,8 +160,26 @@ def _lower(text: str) -> str:
     return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
 
 
+def _ats(text: str) -> list[tuple[int, int, str]]:
+    """What stands for @ in a text in lower case."""
+    out = []
+    for m in _AT.finditer(text):
+        if m["plain"] and m["dot"]:
+            start = m.start()
+            while start and text[start - 1] in _LOCAL_CHARS:
+                start -= 1
+            if text[start : m.start()] in _NO_NAME or not _CUE.search(text, max(0, start - 60), start):
+                continue
+        out.append((m.start(), m.end(), "@"))
+    return out
+
+
+def _dots(text: str) -> list[tuple[int, int, str]]:
+    return [(m.start(), m.end(), ".") for m in _DOT.finditer(text)]
+
+
 def disguised(text: str) -> bool:
-    """Whether any transducer has something to rewrite; only a way to skip texts early."""
+    """Whether any transducer may have something to rewrite: never false where one has."""
     if not text.isascii() and any(_plain(c) != c for c in set(text) if c > "\x7f"):
         return True
     low = _lower(text)
@@ -176,8 +197,8 @@ def spans(text: str | None) -> tuple[list[Span], list[Span]]:
     tape = Tape(text)
     tape.rewrite(_characters(tape.text))
     tape.rewrite(_digits(_lower(tape.text)))
-    for pattern, new in ((_AT, "@"), (_DOT, ".")):
-        tape.rewrite([(m.start(), m.end(), new) for m in pattern.finditer(_lower(tape.text))])
+    for found in (_ats, _dots):
+        tape.rewrite(found(_lower(tape.text)))
     edits = sorted(tape.edits)
     by_kind = [[(a, b) for k, a, b in base if k == kind] for kind in range(len(KINDS))]
     more = []
@@ -200,7 +221,10 @@ def written(found: list[Span]) -> str:
 
 
 def pii(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans of every row; a null text is empty."""
+    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans of every row; a null text is empty.
+
+    Rows that repeat an id or a text are each told. Time and memory grow in proportion to a text's length.
+    """
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
 
     def found(batches):

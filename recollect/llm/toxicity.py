@@ -1,13 +1,14 @@
 """Toxicity by compression distance: two zstandard dictionaries, one of toxic and one of ordinary text.
 
-Training (bounded samples, see the parameters): word beginnings that are far more frequent among toxic than among
-ordinary documents make the content of the toxic dictionary, the most frequent ordinary ones that of the ordinary
-dictionary; the toxic one holds the ordinary content too, so that the two differ on toxic wording alone. Near copies
-in the sample count once: a document whose rarer words were mostly seen before is left out.
+Training reads the whole texts of a bounded sample of labelled rows (see SAMPLE): word beginnings that are far more
+frequent among toxic than among ordinary documents make the content of the toxic dictionary, the most frequent
+ordinary ones that of the ordinary dictionary; the toxic one holds the ordinary content too, so that the two differ on
+toxic wording alone. Near copies in the sample count once: a document whose rarer words were mostly seen before is
+left out. zstandard's own trainer, on the same documents' windows, tells the two less well (a test compares them).
 
 Scoring covers whole texts: every window of about 128 bytes is compressed with either dictionary, and the bytes
 that the toxic one saves are summed up in three figures whose weights (a logistic fit on sampled documents that the
-dictionaries haven't seen) calibrate the score. Labels, lang, source and doc_id are never inputs of a score.
+dictionaries haven't seen, whole as well) calibrate the score. Labels, lang, source and doc_id are never inputs of a score.
 """
 
 from __future__ import annotations
@@ -22,12 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import values
+from recollect.llm.common import cut, private, release, values
 
 WINDOW = 128  #: bytes of a window; it ends at the next space, or after twice as many
 LEVEL = 12  #: compression level
 SAMPLE = (2500, 5000)  #: toxic and ordinary documents that training reads at most
-EXCERPT = 8_000  #: characters of each that training reads at most; scoring reads whole texts
 ORDINARY = 300  #: characters of frequent ordinary content
 PART = 5  #: characters of an inner part of a fragment
 TOXIC = 8_000  #: bytes of toxic content at most
@@ -77,33 +77,34 @@ def figures(text: str, ordinary: bytes, toxic: bytes) -> tuple[float, float, flo
     return min(float(d.max()), 16.0), float(np.log1p(8 * d.mean())), float((d >= 2).mean() ** 0.5)
 
 
-def _novel(texts: list[str]) -> list[str]:
+def words_of(text: str) -> set[str]:
+    return set(re.findall(r"[^\W\d_]+", text.lower()))
+
+
+def novel(docs: list[set[str]]) -> list[int]:
+    """Which documents, by their words, aren't near copies of earlier ones."""
     seen: set[str] = set()
     out = []
-    for t in texts:
-        words = {w for w in t.lower().split() if len(w) >= 8}
-        if not words or len(words & seen) <= 0.5 * len(words):
-            out.append(t)
-        seen |= words
+    for i, found in enumerate(docs):
+        rare = {w for w in found if len(w) >= 8}
+        if not rare or len(rare & seen) <= 0.5 * len(rare):
+            out.append(i)
+        seen |= rare
     return out
 
 
-def _words(text: str) -> list[str]:
-    return re.findall(r"[^\W\d_]+", text.lower())
-
-
-def _beginnings(texts: list[str], among: Counter | None = None) -> Counter:
+def _beginnings(docs: list[set[str]], among: Counter | None = None) -> Counter:
     """Documents of each word beginning of 4 to 11 characters, its space included."""
     n: Counter = Counter()
-    for t in texts:
-        found = {(" " + w)[:k] for w in set(_words(t)) for k in range(4, min(len(w) + 1, 11) + 1)}
-        n.update(found if among is None else (x for x in found if x in among))
+    for found in docs:
+        parts = {(" " + w)[:k] for w in found for k in range(4, min(len(w) + 1, 11) + 1)}
+        n.update(parts if among is None else (x for x in parts if x in among))
     return n
 
 
-def _alike(fragments: list[str], ordinary: list[str]) -> list[str]:
+def _alike(fragments: list[str], ordinary: list[set[str]]) -> list[str]:
     """Ordinary words that hold the inner parts of toxic fragments: in both dictionaries, they make those parts tell nothing."""
-    n = Counter(" " + w for t in ordinary for w in set(_words(t)))
+    n = Counter(" " + w for found in ordinary for w in found)
     parts = {g[i : i + PART] for g in fragments for i in range(1, len(g) - PART + 1)}
     best: dict[str, str] = {}
     for w in sorted(n, key=lambda w: (-n[w], w)):
@@ -112,12 +113,8 @@ def _alike(fragments: list[str], ordinary: list[str]) -> list[str]:
     return sorted({w for part, w in best.items() if n[w] > 1})
 
 
-def train(toxic: list[str], ordinary: list[str]) -> Model:
-    toxic, ordinary = _novel(toxic), _novel(ordinary)
-    if len(toxic) < 3 or len(ordinary) < 3:
-        return Model(b"", b"", (), (), (), constant=0.0)
-    held = lambda x: (x[2::3], [t for i, t in enumerate(x) if i % 3 != 2])
-    (fit_toxic, toxic), (fit_ordinary, ordinary) = held(toxic), held(ordinary)
+def dictionaries(toxic: list[set[str]], ordinary: list[set[str]]) -> tuple[bytes, bytes]:
+    """(ordinary, toxic) dictionary content from the words of documents."""
     n1, least = _beginnings(toxic), max(4, 0.006 * len(toxic))
     n1 = Counter({g: n for g, n in n1.items() if n >= least})
     n0 = _beginnings(ordinary, n1)
@@ -127,16 +124,18 @@ def train(toxic: list[str], ordinary: list[str]) -> Model:
         if n > 6 * usual and n - usual > 6 * usual**0.5:
             chosen[g] = (n - usual) / usual**0.5
     kept: list[str] = []
-    for g in sorted(chosen, key=len, reverse=True):  # a beginning of one that is as frequent says nothing new
+    for g in sorted(chosen, key=lambda g: (-len(g), g)):  # a beginning of one that is as frequent says nothing new
         if not any(k.startswith(g) and n1[k] >= 0.8 * n1[g] for k in kept):
             kept.append(g)
     kept.sort(key=lambda g: (chosen[g], g))
-    common = _beginnings(ordinary[:500])
-    frequent = sorted(sorted(common, key=lambda g: (-common[g] * len(g), g))[:80], key=lambda g: common[g])
+    common = _beginnings(ordinary)
+    frequent = sorted(sorted(common, key=lambda g: (-common[g] * len(g), g))[:80], key=lambda g: (common[g], g))
     base = ("".join(_alike(kept, ordinary)) + "".join(frequent)[-ORDINARY:]).encode()
-    contents = base, "".join(kept).encode()[-TOXIC:] + base
-    x = np.array([figures(t, *contents) for t in [*fit_toxic, *fit_ordinary]])
-    y = np.array([1.0] * len(fit_toxic) + [0.0] * len(fit_ordinary))
+    return base, "".join(kept).encode()[-TOXIC:] + base
+
+
+def calibrated(contents: tuple[bytes, bytes], x: np.ndarray, y: np.ndarray) -> Model:
+    """The model whose weights tell toxic (y 1) from ordinary documents (y 0) by their figures x."""
     mean, scale = x.mean(0), x.std(0) + 1e-6
     z = np.c_[(x - mean) / scale, np.ones(len(x))]
     w = np.zeros(z.shape[1])
@@ -147,8 +146,8 @@ def train(toxic: list[str], ordinary: list[str]) -> Model:
     return Model(*contents, tuple(w), tuple(mean), tuple(scale))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> Model:
-    """Train on a bounded sample of labelled rows outside the held-out fold, ordered by a hash of their id.
+def sampled(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> DataFrame:
+    """doc_id, toxic, text: a bounded sample of labelled rows outside the held-out fold, by a hash of their id.
 
     Rows with a null id, text or label teach nothing; an id labelled both ways counts as toxic.
     """
@@ -157,17 +156,56 @@ def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) ->
     picked = [known.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(n) for y, n in ((1, sample[0]), (0, sample[1]))]
     # At most sum(sample) rows of two numbers: bounded whatever the table.
     picked = F.broadcast(picked[0].unionByName(picked[1]))
-    rows = docs.select("doc_id", "text").where("text is not null").join(picked, "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.substring("text", 1, EXCERPT)).alias("text"))
-    found = sorted(rows.collect(), key=lambda r: r.doc_id)
-    return train([r.text for r in found if r.toxic == 1], [r.text for r in found if r.toxic == 0])
+    return docs.select("doc_id", "text").where("text is not null").join(picked, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> Model:
+    """Train on a bounded sample of labelled rows. Whole texts are read, in tasks; the driver gets the distinct words of
+    each sampled document, and three figures of those that calibrate."""
+    rows = cut(sampled(docs, labels, sample).repartition(16))
+
+    def told(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("toxic"), pa.array([sorted(words_of(t)) for t in values(batch.column("text"))], pa.list_(pa.string()))], names=["doc_id", "toxic", "words"])
+
+    found = rows.mapInArrow(told, "doc_id long, toxic int, words array<string>").toArrow().sort_by("doc_id")
+    one: dict[str, str] = {}  # each word is held once
+    parts: dict[int, tuple[list[int], list[set[str]]]] = {0: ([], []), 1: ([], [])}
+    for i, y, w in zip(*(values(found.column(n)) for n in found.column_names), strict=True):
+        parts[y][0].append(i)
+        parts[y][1].append({one.setdefault(x, x) for x in w})
+    del found
+    learn, held = {}, {}
+    for y, (ids, sets) in parts.items():
+        kept = novel(sets)
+        learn[y], held[y] = [sets[k] for j, k in enumerate(kept) if j % 3 != 2], [ids[k] for k in kept[2::3]]
+    if not held[0] or not held[1]:
+        release(rows)
+        return Model(b"", b"", (), (), (), constant=0.0)
+    contents = dictionaries(learn[1], learn[0])
+
+    def measured(batches):
+        for batch in batches:
+            x = np.array([figures(t, *contents) for t in values(batch.column("text"))]).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(np.ascontiguousarray(x[:, j])) for j in range(3))], names=["doc_id", "a", "b", "c"])
+
+    told_by = rows.sparkSession.createDataFrame([(i,) for y in held for i in held[y]], "doc_id long")
+    by_id = {r[0]: r[1:] for r in rows.join(F.broadcast(told_by), "doc_id").select("doc_id", "text").mapInArrow(measured, "doc_id long, a double, b double, c double").collect()}
+    release(rows)
+    every = [*held[1], *held[0]]
+    return calibrated(contents, np.array([by_id[i] for i in every]), np.array([1.0] * len(held[1]) + [0.0] * len(held[0])))
 
 
 def held_out(doc_id: str) -> F.Column:
     return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column score (0 to 1, higher: likelier toxic). Null and empty texts get the score of no evidence."""
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs with a column, called name, of scores (0 to 1, higher: likelier toxic).
+
+    Null and empty texts get the score of no evidence; rows that repeat a text get the same score, whatever their id
+    (null too). docs must not have a column of that name.
+    """
 
     def scored(batches):
         for batch in batches:
@@ -177,20 +215,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 x = np.array([figures(t or "", model.ordinary, model.toxic) for t in values(batch.column("text"))]).reshape(-1, 3)
                 z = np.c_[(x - np.array(model.mean)) / np.array(model.scale), np.ones(len(x))] @ np.array(model.weights)
                 p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-            kept = [n for n in batch.schema.names if n != "score"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(p, pa.float64())], names=[*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, name])
 
-    fields = [f for f in docs.schema if f.name != "score"]
-    schema = docs.select(*(f.name for f in fields)).schema.add("score", "double")
-    return docs.select(*(f.name for f in fields)).mapInArrow(scored, schema)
+    return docs.mapInArrow(scored, docs.select("*").schema.add(name, "double"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row; see the module for the method."""
+    """doc_id, held_out, score, predicted for every row; see the module for the method. A null id is in no fold."""
     scored = score(docs.select("doc_id", "text"), fit(docs, labels))
     return scored.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that aren't predicted toxic, with their columns."""
-    return score(docs, fit(docs, labels)).where("score < 0.5").select(*docs.columns)
+    """The rows of docs that aren't predicted toxic, with all their columns as they were."""
+    name = private(docs, "score")
+    return score(docs, fit(docs, labels), name).where(F.col(name) < 0.5).select(*docs.columns)

@@ -8,9 +8,10 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from recollect.llm import bpe, common, lines, minhash, packing, pii, queries, secrets, suffix, topk, toxicity, words
-from recollect.llm.embed import near_vectors
+from recollect.llm.embed import near_vectors, tables
 from recollect.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -288,6 +289,28 @@ def test_near_vectors_are_those_of_all_pairs(spark):
     assert all(found[i].n_links == 0 and found[i].kept for i in (900, 901, 902, 903))
 
 
+def test_the_share_of_near_vectors_that_are_found(spark):
+    """Pairs at a cosine of 0.90 to 0.92 among unrelated vectors."""
+    rng = np.random.default_rng(21)
+    base = rng.standard_normal((1500, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.standard_normal((1500, 64))
+    side -= (side * base).sum(1, keepdims=True) * base
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    c = rng.uniform(0.9005, 0.92, (1500, 1))
+    x = np.concatenate([base, c * base + np.sqrt(1 - c * c) * side])
+    rows = near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    found = {r.vec_id: r.n_links for r in rows}
+    share = sum(found[i] > 0 for i in range(1500)) / 1500
+    print("found", share)
+    assert share >= 0.9
+
+
+def test_keys_and_tables_grow_with_the_number_of_vectors():
+    sizes = [tables(n, 0.9) for n in (1000, 1 << 20, 1 << 30)]
+    assert sizes[0] == (16, 2) and [p for p, _ in sizes] == [16, 21, 32] and sizes[0][1] < sizes[1][1] < sizes[2][1]
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     from tokenizers import Tokenizer
@@ -386,6 +409,16 @@ def test_white_space_around_at(text):
     assert [(pii.KINDS[k], text[a:b]) for k, a, b in pii.spans(text)[1]] == [("email", text[9:])]
 
 
+@pytest.mark.parametrize("text", ["We met at example.com yesterday", "look at foo.bar now", "arrive at noon.then go", "contact us at example.com", "it is sold at shop.example.org", "one at a time. two at most.then"])
+def test_prose_with_at_is_no_address(text):
+    assert pii.spans(text) == ([], []) and pii.masked(text) == text
+
+
+@pytest.mark.parametrize("text", ["my email is joe at example.com ok", "E-mail: joe at example.com", "please send it: joe [at] example.com", "joe at example dot com"])
+def test_addresses_with_at(text):
+    assert [text[a:b] for k, a, b in pii.spans(text)[1] if pii.KINDS[k] == "email" and text[a:b].startswith("joe")]
+
+
 def test_no_text_that_transducers_rewrite_is_skipped():
     rng = random.Random(5)
     parts = ["ann", "at", "AT", "dot", "mail", "org", "one", "two", "six", "plus", "[", "]", "(", ")", "<", ".", "@", "point", "_at_", "_dot_", "&#64;", "%40", "&#46;", "&commat;", " ", " ", "\n", "\t", "\r\n", "\u2028", "-", "\u0130", "\u0430", "7"]
@@ -425,15 +458,108 @@ def test_secrets_against_the_patterns(spark, corpus):
     assert "weak_secret" in found[3].spans and "endpoint" in found[3].spans
 
 
+SF = "/root/testdata/sf0.1"
+
+
 def test_toxicity_on_the_held_out_fold(spark):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     rows = toxicity.toxicity(docs, labels).join(labels, "doc_id").where("held_out").collect()
     toxic = [r for r in rows if r.toxic == 1]
     clean = [r for r in rows if r.toxic == 0]
+    print("caught", sum(r.predicted for r in toxic) / len(toxic), "of clean", sum(r.predicted for r in clean) / len(clean))
     assert sum(r.predicted for r in toxic) >= 0.75 * len(toxic)
     assert sum(r.predicted for r in clean) <= 0.035 * len(clean)
 
 
+def area(scores, y):
+    order = np.argsort(scores, kind="stable")
+    rank = np.empty(len(order))
+    rank[order] = np.arange(1, len(order) + 1)
+    y = np.array(y)
+    return (rank[y == 1].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (1 - y).sum())
+
+
+def test_dictionaries_tell_better_than_those_of_zstandards_trainer(spark):
+    """Both on whole windows of the same rows, by the area under the curve on the held-out fold."""
+    import zstandard
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.sampled(docs, labels).collect()
+    texts = {y: [r.text for r in sorted(rows, key=lambda r: r.doc_id) if r.toxic == y] for y in (0, 1)}
+    held = docs.join(labels, "doc_id").where(toxicity.held_out("doc_id") & F.col("toxic").isNotNull()).orderBy(F.xxhash64("doc_id")).limit(400).collect()
+    own = toxicity.dictionaries(*([toxicity.words_of(t) for t in texts[y]] for y in (1, 0)))
+    trained = [zstandard.train_dictionary(8_000, [w for t in texts[y] for w in toxicity.windows(t)]).as_bytes() for y in (0, 1)]
+    areas = [area([toxicity.figures(r.text or "", *d)[0] for r in held], [r.toxic for r in held]) for d in (own, trained)]
+    print("area under the curve: ours, trainer's", areas)
+    assert areas[0] > areas[1]
+
+
+def test_scores_are_those_of_windows_compressed_one_by_one(spark):
+    """Each score from its definition: lengths under either dictionary, three figures, logistic weights."""
+    import zstandard
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    some = docs.orderBy(F.xxhash64("doc_id")).limit(60)
+    found = {r.doc_id: r.score for r in toxicity.score(some.select("doc_id", "text"), model).collect()}
+
+    def length(window, content):
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        p = zstandard.ZstdCompressionParameters.from_level(toxicity.LEVEL, source_size=toxicity.WINDOW + 16, dict_size=len(content), write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+        d.precompute_compress(compression_params=p)
+        return len(zstandard.ZstdCompressor(dict_data=d, compression_params=p).compress(window))
+
+    for r in some.collect():
+        text = (r.text or "").lower().encode()
+        cuts, at = [], 0
+        while at < len(text):
+            end = text.find(b" ", at + 128, at + 256)
+            end = end if end >= 0 else min(len(text), at + 256)
+            cuts.append(text[at:end])
+            at = end
+        saved = [max(0, length(w, model.ordinary) - length(w, model.toxic)) for w in cuts]
+        x = [min(max(saved), 16), np.log1p(8 * np.mean(saved)), np.mean([s >= 2 for s in saved]) ** 0.5] if saved else [0, 0, 0]
+        z = sum(w * (v - m) / s for w, v, m, s in zip(model.weights, x, model.mean, model.scale, strict=False)) + model.weights[3]
+        assert found[r.doc_id] == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_toxic_wording_beyond_any_prefix_and_columns_that_stay(spark):
+    rng = random.Random(2)
+    rows, marks = [], []
+    for i in range(240):
+        # Words of their own tell documents apart; long texts are toxic at their end only, beyond 12,000 characters.
+        text = " ".join("".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randrange(2, 6))) for _ in range(2000 if i % 4 == 0 else 60))
+        toxic = int(i % 3 == 0)
+        rows.append((i, text + (" you horribleperson and vileworm " + prose(rng, 5) if toxic else ""), 0.25, 7))
+        marks.append((i, 1, toxic))
+    schema = "doc_id long, text string, score double, predicted int"
+    rows += [(None, "you horribleperson and vileworm", 0.5, 8), (900, None, 0.5, 9), (901, "", 0.5, 9), (902, "x " * 400_000 + "horribleperson vileworm", 0.5, 9), (2, rows[2][1], 0.25, 7)]
+    docs, labels = spark.createDataFrame(rows, schema), spark.createDataFrame(marks + [(None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
+    kept = toxicity.drop_toxic(docs, labels).collect()
+    told = {r.doc_id for r in kept if r.doc_id is not None and r.doc_id < 900}
+    assert {i for i, _, t in marks if not t} <= told and sum(i in told for i, _, t in marks if t) <= 4
+    assert all(tuple(r) in set(rows) for r in kept) and {900, 901} <= {r.doc_id for r in kept}
+    assert [r.doc_id for r in kept].count(2) == 2 and None not in {r.doc_id for r in kept}
+    assert toxicity.drop_toxic(docs.limit(0), labels).count() == 0 and toxicity.toxicity(docs, labels).count() == len(rows)
+
+
+def test_parts_of_credentials_of_any_length_and_distance(spark):
+    secret = "Ab1" * 60
+    texts = [
+        f"client_id=alpha_one {secret} end",  # 180 characters: no upper bound
+        "client_id=alpha_one k3yk3yk3yk3yk3yk3yk3y end",  # 21 characters
+        "token=" + "Zq9" * 700 + " client_id=alpha_one",  # a base secret of 2,100 characters that ends right before
+        "client_id=alpha_one " + "w " * 260 + secret,  # too far
+    ]
+    found = {r.doc_id: r for r in secrets.secrets(docs_of(spark, texts)).collect()}
+    assert [found[i].n_linked for i in range(4)] == [2, 2, 1, 0]
+    for i, t in enumerate(texts[:3]):
+        kinds = {s.split(":")[0]: t[int(s.split(":")[1]) : int(s.split(":")[2])] for s in found[i].spans.split(",")}
+        assert kinds["weak_id"] == "client_id=alpha_one"
+    very_long = docs_of(spark, ["id " * 300_000 + f"client_id=alpha_one {secret}"])
+    assert secrets.secrets(very_long).first().n_linked == 2
+
+
 def test_toxicity_without_labels(spark):
     docs = docs_of(spark, ["a", None, ""])
     rows = toxicity.toxicity(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()

@@ -133,6 +133,16 @@ def edits(a, b):
     return int(row[-1])
 
 
+def test_edit_distances_within_a_bound():
+    rng = random.Random(1)
+    for _ in range(4000):
+        a, b = ("".join(rng.choice("abé ") for _ in range(rng.randrange(14))) for _ in range(2))
+        if rng.random() < 0.5:
+            b = a[: rng.randrange(len(a) + 1)] + rng.choice(["", "x", "ab"]) + a[rng.randrange(len(a) + 1) :]
+        most = rng.randrange(8)
+        assert lines.within(a, b, most) == (edits(a, b) <= most), (a, b, most)
+
+
 def form(line):
     lowered = line.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", "abcdefghijklmnopqrstuvwxyz000000000"))
     return re.sub(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", " ", lowered).strip(" ")

@@ -20,9 +20,9 @@ def rrf(lanes: dict[str, DataFrame], weights: dict[str, float] | None = None, id
 
 
 def normalised(fused: DataFrame) -> DataFrame:
-    """score divided by the largest, which is one row."""
-    most = fused.agg(F.max("score").alias("_most"))
-    return fused.join(F.broadcast(most)).withColumn("score", F.when(F.col("_most") > 0, F.col("score") / F.col("_most")).otherwise(F.col("score"))).drop("_most")
+    """score divided by the largest: a window over the lanes' rows, of which there are few."""
+    most = F.max("score").over(Window.partitionBy(F.lit(0)))
+    return fused.withColumn("score", F.when(most > 0, F.col("score") / most).otherwise(F.col("score")))
 
 
 def drifted(score: F.Column, access: F.Column, n: F.Column) -> F.Column:
@@ -39,12 +39,16 @@ def calibrated(cosine: F.Column) -> F.Column:
 
 
 def prefilter(ranked: DataFrame, limit: int, budget: int) -> DataFrame:
-    """Of ranked rows (rank, score, lexical, realm, kind) those worth rescoring, at most budget."""
-    best = ranked.agg(F.max("score").alias("_most"))
-    head = ranked.where("rank <= 5").select("realm", "kind").distinct().withColumn("_like", F.lit(True))
-    rows = ranked.join(F.broadcast(best)).join(F.broadcast(head), ["realm", "kind"], "left")
-    keep = (F.col("rank") <= limit) | F.col("lexical") | ((F.col("score") >= F.col("_most") / 2) & F.coalesce("_like", F.lit(False)))
-    return rows.where(keep).withColumn("place", F.row_number().over(Window.orderBy("rank")).cast("long")).where(F.col("place") <= budget).drop("_most", "_like")
+    """Of ranked rows (rank, score, lexical, near, realm, kind) those worth rescoring, at most budget.
+
+    near says that a row is a neighbour of one of the first three. Windows are over one query's rows.
+    """
+    every = Window.partitionBy(F.lit(0))
+    head = F.collect_set(F.when(F.col("rank") <= 5, F.struct("realm", "kind"))).over(every)
+    like = F.array_contains(head, F.struct("realm", "kind"))
+    keep = (F.col("rank") <= limit) | F.col("lexical") | F.col("near") | ((F.col("score") >= F.max("score").over(every) / 2) & like)
+    rows = ranked.withColumn("_keep", keep).where("_keep").drop("_keep")
+    return rows.withColumn("place", F.row_number().over(Window.orderBy("rank")).cast("long")).where(F.col("place") <= budget)
 
 
 def diversify(ranked: DataFrame, n: int, balance: float = 0.7) -> DataFrame:

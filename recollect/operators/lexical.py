@@ -1,45 +1,113 @@
-"""Keyword retrieval: BM25 over a query's terms and term overlap."""
+"""Keyword retrieval: an index of postings written once, BM25 from the postings of a query's terms, term overlap.
+
+The index lies in the shared folder: postings (term, memory_id, tf, len), partitioned by a hash of the term, and one
+row of statistics. A query reads the partitions of its terms only; texts are tokenised when the index is written, not when
+it is asked. The index of a table is written again when the table's files change.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.functions.text import lex_tokens, python_lex_tokens, python_words, words
+from recollect.operators.graph import shared_folder
 
 K1, B = 1.2, 0.75
+BUCKETS = 64  #: partitions of the postings
+
+
+@dataclass(frozen=True)
+class Index:
+    postings: DataFrame  #: bucket, term, memory_id, tf, len
+    stats: DataFrame  #: one row: n, avg_len
+    id_: str
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.crc32(term), F.lit(BUCKETS)).cast("int")
+
+
+def _signature(docs: DataFrame) -> tuple:
+    """What tells one state of the table's files from another."""
+    files = docs.select("_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_size").distinct()
+    return tuple(files.agg(F.count("*"), F.max("file_modification_time").cast("string"), F.sum("file_size"), F.sum(F.crc32("file_path"))).first())
+
+
+def index(docs: DataFrame, id_: str = "memory_id", text: str = "content", table: DataFrame | None = None) -> Index:
+    """The index of docs; table, whose files docs come from, tells whether one that was written before still holds."""
+    spark = docs.sparkSession
+    known = spark.__dict__.setdefault("_recollect_indexes", {})
+    key = None if table is None else (id_, text, _signature(table))
+    if key is not None and key in known:
+        return known[key]
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, terms, tfs, lens = [], [], [], []
+            for i, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = Counter(w or ())
+                ids += [i] * len(found)
+                terms += found.keys()
+                tfs += found.values()
+                lens += [len(w or ())] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(terms, pa.string()), pa.array(tfs, pa.int64()), pa.array(lens, pa.int64())], names=[id_, "term", "tf", "len"])
+
+    path = f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}"
+    # A row holds all of a text's words, so they are counted where they are; only the counts are dealt out by term.
+    rows = docs.select(F.col(id_).cast("long").alias(id_), words(F.col(text)).alias("w")).mapInArrow(counted, f"{id_} long, term string, tf long, len long")
+    rows = rows.withColumn("bucket", _bucket(F.col("term")))
+    # A frequent term's postings are dealt over several tasks.
+    rows.repartition("bucket", F.pmod(F.col(id_), F.lit(4))).sortWithinPartitions("term").write.partitionBy("bucket").parquet(f"{path}/postings")
+    postings = spark.read.schema(f"{id_} long, term string, tf long, len long, bucket int").parquet(f"{path}/postings")
+    lengths = postings.groupBy(id_).agg(F.max("len").alias("len"))
+    # Texts without a word have no postings, but count.
+    total = docs.agg(F.count("*").alias("n"))
+    stats = total.crossJoin(lengths.agg(F.coalesce(F.sum("len"), F.lit(0)).alias("words"))).select("n", (F.col("words") / F.greatest(F.col("n"), F.lit(1))).alias("avg_len"))
+    stats.write.parquet(f"{path}/stats")
+    made = Index(postings, spark.read.schema("n long, avg_len double").parquet(f"{path}/stats"), id_)
+    if key is not None:
+        known[key] = made
+    return made
+
+
+def bm25_all(found: Index, queries: dict[str, str]) -> DataFrame:
+    """query, id, score of every document that holds a term of a query, for all queries in one pass over their terms' postings."""
+    wanted = [(q, t) for q, text in queries.items() for t in sorted(set(python_words(text)))]
+    spark = found.postings.sparkSession
+    asked = spark.createDataFrame(wanted or [("", "")], "query string, term string")
+    terms = sorted({t for _, t in wanted})
+    if not terms:
+        return found.postings.select(F.lit("").alias("query"), found.id_, F.lit(0.0).alias("score")).where(F.lit(False))
+    buckets = sorted({_python_bucket(t) for t in terms})
+    hits = found.postings.where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
+    # As many rows as the queries have terms.
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    rows = hits.join(F.broadcast(df), "term").join(F.broadcast(found.stats)).join(F.broadcast(asked), "term")
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    return rows.groupBy("query", found.id_).agg(F.round(F.sum(part), 6).alias("score"))
 
 
-def _count(term: str) -> Column:
-    return F.size(F.filter("w", lambda x: x == F.lit(term)))
-
-
-def bm25(docs: DataFrame, query: str, id_: str = "memory_id", text: str = "content") -> DataFrame:
-    """id, score of every document that holds a query term.
+def _python_bucket(term: str) -> int:
+    import zlib
 
-    One pass gives each document's length and term frequencies; the corpus statistics (documents, mean length, one
-    document frequency for each query term) are one row of scalars, joined to every candidate.
-    """
-    terms = sorted(set(python_words(query)))
-    if not terms:
-        return docs.select(F.col(id_), F.lit(0.0).alias("score")).where(F.lit(False))
-    tokens = docs.select(F.col(id_), words(F.col(text)).alias("w")).select(id_, F.size("w").alias("len"), *(_count(t).alias(f"tf{i}") for i, t in enumerate(terms)))
-    stats = tokens.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))))
+    return zlib.crc32(term.encode()) % BUCKETS
 
-    def part(i: int) -> Column:
-        idf = F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
-        return F.when(F.col(f"tf{i}") == 0, 0.0).otherwise(idf * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("len") / F.col("avg_len"))))
 
-    score = sum((part(i) for i in range(1, len(terms))), part(0))
-    hit = F.greatest(*(F.col(f"tf{i}") for i in range(len(terms))), F.lit(0)) > 0
-    # stats is one row by construction.
-    return tokens.where(hit).join(F.broadcast(stats)).select(id_, F.round(score, 6).alias("score"))
+def bm25(found: Index, query: str) -> DataFrame:
+    """id, score of every document that holds a query term."""
+    return bm25_all(found, {"": query}).select(found.id_, "score")
 
 
 def top(scored: DataFrame, n: int, id_: str = "memory_id") -> DataFrame:
     """The n best, ties by id, with their rank; only these n rows meet in one place."""
-    from pyspark.sql import Window
-
     best = scored.orderBy(F.desc("score"), id_).limit(n)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), id_)).cast("long"))
 
@@ -52,7 +120,6 @@ def term_overlap(text: Column, query: str) -> Column:
     return F.size(F.array_intersect(lex_tokens(text), F.array(*map(F.lit, tokens)))) / F.lit(float(len(tokens)))
 
 
-def postings(docs: DataFrame, id_: str = "memory_id", text: str = "content") -> DataFrame:
-    """term, df, cf: document and collection frequency of every word; combined before the shuffle."""
-    per_doc = docs.select(id_, F.explode(words(F.col(text))).alias("term")).groupBy(id_, "term").agg(F.count("*").alias("tf"))
-    return per_doc.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+def frequencies(found: Index) -> DataFrame:
+    """term, df, cf: document and collection frequency of every word."""
+    return found.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))

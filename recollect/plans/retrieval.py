@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from recollect.functions import text as T
 from recollect.operators import fusion, lexical, vector
+from recollect.operators import recall as recalls
 from recollect.plans.registry import query
 from recollect.sources.tables import memories, table, turns, vectors
 
@@ -20,6 +21,10 @@ _LEX = f"""list_filter(list_distinct(list_concat(regexp_extract_all(lower(text),
   lambda t: length(t) >= 3 and not list_contains([{_STOP}], t))"""
 
 
+def _index(spark: SparkSession, sf_dir: str) -> lexical.Index:
+    return lexical.index(memories(spark, sf_dir), table=table(spark, sf_dir, "documents"))
+
+
 def bm25_sql(question: str) -> str:
     terms = ",".join(f"'{t}'" for t in sorted(set(T.python_words(question))))
     return f"""select doc_id memory_id, round(sum(ln(1+(n-df+0.5)/(df+0.5))*tf*2.2/(tf+1.2*(0.25+0.75*len/a))),6) score from (
@@ -81,13 +86,13 @@ def entity_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select term, count(*) df, sum(tf)::bigint cf from (select doc_id, term, count(*) tf from (select doc_id, unnest(regexp_extract_all(lower(text),'[a-z0-9]+')) term from documents) group by all) group by term")
 def postings_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document and collection frequency of every term."""
-    return lexical.postings(memories(spark, sf_dir))
+    return lexical.frequencies(_index(spark, sf_dir))
 
 
 @query(top_sql(bm25_sql(QUESTION), 20))
-def keyword_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 20 best memories by BM25."""
-    return lexical.top(lexical.bm25(memories(spark, sf_dir), QUESTION), 20)
+def keyword_bm25(spark: SparkSession, sf_dir: str, question: str = QUESTION, limit: int = 20) -> DataFrame:
+    """The best memories by BM25."""
+    return lexical.top(lexical.bm25(_index(spark, sf_dir), question), limit)
 
 
 @query(f"select doc_id memory_id, round(len(list_filter({_LEX}, lambda t: list_contains(['apache','license','token','version'], t))) / 4.0::double, 6) score from documents where len(list_filter({_LEX}, lambda t: list_contains(['apache','license','token','version'], t))) > 0")
@@ -146,11 +151,10 @@ def embed_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("realm").agg(F.count("*").alias("n"), F.count("vec_id").alias("embedded")).withColumn("coverage", F.round(F.col("embedded") / F.col("n"), 6))
 
 
-def _lanes(spark: SparkSession, sf_dir: str, depth: int = DEPTH) -> dict[str, DataFrame]:
-    mem = memories(spark, sf_dir)
-    semantic = vector.knn(vectors(spark, sf_dir), PROBE).withColumnRenamed("vec_id", "memory_id")
-    semantic = semantic.join(mem.select("memory_id"), "memory_id", "left_semi")
-    return {"keyword": lexical.top(lexical.bm25(mem, QUESTION), depth), "semantic": lexical.top(semantic, depth)}
+def _lanes(spark: SparkSession, sf_dir: str, depth: int = DEPTH, question: str = QUESTION, probe: int = PROBE) -> dict[str, DataFrame]:
+    semantic = vector.knn(vectors(spark, sf_dir), probe).withColumnRenamed("vec_id", "memory_id")
+    semantic = semantic.join(memories(spark, sf_dir).select("memory_id"), "memory_id", "left_semi")
+    return {"keyword": lexical.top(lexical.bm25(_index(spark, sf_dir), question), depth), "semantic": lexical.top(semantic, depth)}
 
 
 _SEMANTIC = f"select vec_id memory_id, score from ({knn_sql()}) where vec_id in (select doc_id from documents)"
@@ -183,6 +187,89 @@ def recall_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.top(scored, 10)
 
 
+_TAGS = {"flagged": "toxic = 1", "good": "quality = 1"}
+_ATOM_LIST = "list_distinct(list_concat(" + ", ".join(f"regexp_extract_all(text, '{p}')" for p in recalls.ATOMS) + "))"
+
+
+def _overlap_sql(question: str) -> str:
+    terms = "[" + ",".join(f"'{t}'" for t in T.python_lex_tokens(question)) + "]"
+    return f"len(list_filter({_LEX}, lambda t: list_contains({terms}, t))) / {float(len(T.python_lex_tokens(question)))}::double"
+
+
+def recall_sql(question: str, probe: int, limit: int, tag: str | None, window: tuple[int, int] | None) -> str:
+    asked = recalls.Asked(question, limit, window, tag)
+    keyword = top_sql(bm25_sql(question), asked.depth)
+    semantic = top_sql(f"select vec_id memory_id, score from ({knn_sql(probe)}) where vec_id in (select doc_id from documents)", asked.depth)
+    seen = f"where created >= {window[0]} and created < {window[1]}" if window else ""
+    tagged = f"select * from h0 where memory_id in (select doc_id from labels where {_TAGS[tag]}) union all select * from (select m.memory_id, content, realm, kind, status, access, 1.0::double score, 0.0::double boost from m join labels l on l.doc_id = m.memory_id where {_TAGS[tag]} and not exists (select 1 from h0 where memory_id in (select doc_id from labels where {_TAGS[tag]})) order by m.memory_id limit {limit})" if tag else "select * from h0"
+    return f"""with fused as (select memory_id, round(sum(w / (60 + rank)), 9) score from (select memory_id, rank, 1.0::double w from ({keyword}) union all select memory_id, rank, 2.0 from ({semantic})) group by memory_id),
+    best as (select memory_id, row_number() over (order by score desc, memory_id) i from fused qualify i <= {recalls.ANCHORS}),
+    atoms as (select doc_id memory_id, unnest({_ATOM_LIST}) atom from documents), n as (select count(*) n from documents),
+    own as (select a.memory_id anchor, i, atom from atoms a join best b on a.memory_id = b.memory_id), df as (select atom, count(*) df from atoms group by atom),
+    w0 as (select anchor, i, p.memory_id, n, sum(ln(n / df::double)) w from atoms p join own on own.atom = p.atom and p.memory_id <> anchor join df on df.atom = p.atom, n group by all),
+    w as (select * from w0 qualify row_number() over (partition by anchor order by w desc, memory_id) <= {recalls.PARTNERS}),
+    partners as (select memory_id, sum(1 / (61.0::double + i)) added, max(least(1.0, w / ln(n + 1))) boost from w group by memory_id),
+    both_ as (select coalesce(f.memory_id, p.memory_id) memory_id, coalesce(score, 0) + coalesce(added, 0) score, coalesce(boost, 0) boost from fused f full join partners p on f.memory_id = p.memory_id),
+    created as (select (props->>'$.k')::bigint memory_id, min(epoch_us(ts)) created from events group by all),
+    last_ as (select md5(text) h, max(doc_id) newest from documents group by all),
+    m as (select d.doc_id memory_id, text content, source realm, lang kind, e.label access, case when newest <> d.doc_id then 'superseded' when l.quality = 0 then 'archived' else 'active' end status from documents d join last_ on h = md5(text) left join labels l on l.doc_id = d.doc_id left join embeddings e on e.vec_id = d.doc_id left join created c on c.memory_id = d.doc_id {seen}),
+    h0 as (select m.memory_id, content, realm, kind, status, access, score / (select max(score) from both_) score, boost from both_ join m on m.memory_id = both_.memory_id where length(content) > 0 and not starts_with(content, '[gap]')),
+    h as ({tagged}),
+    s as (select h.* exclude (score), {_overlap_sql(question).replace('lower(text)', 'lower(content)')} overlap, case when n >= 5 then score * (1 - 0.25 * least(1.0, coalesce(access, 0) / 10.0)) * (1 + least(0.3, sqrt(ln(n + 1) / (coalesce(access, 0) + 1)))) else score end d, count(*) over () hits from h, n),
+    r as (select *, round(case when hits > 1 then d + 0.8 * overlap + 0.4 * boost else d end, 6) fin from s),
+    k as (select *, row_number() over (order by fin desc, memory_id) place, max(fin) over () most from r),
+    kk as (select *, row_number() over (order by place) taken from k where place <= {limit} or overlap >= 0.5 or boost > 0 or (fin >= most / 2 and (realm, kind) in (select (realm, kind) from k where place <= 5)))
+    select memory_id, fin score, row_number() over (order by fin desc, status = 'archived', place) as rank from kk where taken <= {max(asked.budget, limit)} and status <> 'superseded' qualify rank <= {limit}"""
+
+
+def _remembered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Memories with their status, how often they were recalled, and when they were first spoken of."""
+    mem = memories(spark, sf_dir)
+    newest = Window.partitionBy(F.md5("content"))
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("memory_id"), "quality")
+    access = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("memory_id"), F.col("label").alias("access"))
+    events = table(spark, sf_dir, "events").groupBy(F.get_json_object("props", "$.k").cast("long").alias("memory_id")).agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("created"))
+    mem = mem.withColumn("newest", F.max("memory_id").over(newest)).join(labels, "memory_id", "left").join(access, "memory_id", "left").join(events, "memory_id", "left")
+    status = F.when(F.col("newest") != F.col("memory_id"), "superseded").when(F.col("quality") == 0, "archived").otherwise("active")
+    return mem.select("memory_id", "kind", "realm", "content", status.alias("status"), "access", "created")
+
+
+def _recall(spark: SparkSession, sf_dir: str, question: str = QUESTION, probe: int = PROBE, limit: int = 10, tag: str | None = None, window: tuple[int, int] | None = None) -> DataFrame:
+    asked = recalls.Asked(question, limit, window, tag)
+    lanes = _lanes(spark, sf_dir, asked.depth, question, probe)
+    # The question as it is counts twice.
+    parts = [(lanes["semantic"], 2.0), (lanes["keyword"], 1.0)] if recalls.multi_lane(question) else [(lanes["semantic"], 1.0)]
+    tagged = None if tag is None else table(spark, sf_dir, "labels").where(_TAGS[tag]).select(F.col("doc_id").alias("memory_id")).distinct()
+    return recalls.recall(asked, _remembered(spark, sf_dir), parts, tagged)
+
+
+WINDOW = 1704067200000000, 1705276800000000  #: 1 to 15 January 2024
+
+
+@query(recall_sql(QUESTION, PROBE, 10, None, None))
+def recall(spark: SparkSession, sf_dir: str, **params: object) -> DataFrame:
+    """The whole recall of a question (parameters: question, probe, limit, tag, window)."""
+    return _recall(spark, sf_dir, **params)
+
+
+@query(recall_sql(QUESTION, PROBE, 10, "good", None))
+def recall_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall among the memories that carry a tag."""
+    return _recall(spark, sf_dir, tag="good")
+
+
+@query(recall_sql("Zzyzx-unheard of", PROBE, 5, "flagged", (0, 1)))
+def recall_window_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall within a window that no hit lies in."""
+    return _recall(spark, sf_dir, question="Zzyzx-unheard of", limit=5, tag="flagged", window=(0, 1))
+
+
+@query(recall_sql(QUESTION, PROBE, 10, None, WINDOW))
+def recall_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall among memories of a time window."""
+    return _recall(spark, sf_dir, window=WINDOW)
+
+
 _ACCESS = "(select vec_id memory_id, label access from embeddings)"
 
 
@@ -217,8 +304,8 @@ def abstain_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword hits worth rescoring."""
     mem = memories(spark, sf_dir)
-    ranked = mem.join(F.broadcast(lexical.top(lexical.bm25(mem, QUESTION), DEPTH)), "memory_id")
-    ranked = ranked.withColumn("lexical", lexical.term_overlap(F.col("content"), QUESTION) >= 0.5).select("memory_id", "rank", "score", "realm", "kind", "lexical")
+    ranked = mem.join(F.broadcast(lexical.top(lexical.bm25(_index(spark, sf_dir), QUESTION), DEPTH)), "memory_id")
+    ranked = ranked.withColumn("lexical", lexical.term_overlap(F.col("content"), QUESTION) >= 0.5).select("memory_id", "rank", "score", "realm", "kind", "lexical", F.lit(False).alias("near"))
     return fusion.prefilter(ranked, 10, 24).select("memory_id", "rank", "place")
 
 
@@ -226,7 +313,7 @@ def prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def session_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence of each realm's memories combined by noisy-or."""
     mem = memories(spark, sf_dir)
-    hits = lexical.bm25(mem, QUESTION).join(mem.select("memory_id", "realm"), "memory_id")
+    hits = lexical.bm25(_index(spark, sf_dir), QUESTION).join(mem.select("memory_id", "realm"), "memory_id")
     p = F.least(F.col("score") / 10, F.lit(0.99))
     return hits.groupBy("realm").agg(F.round(1 - F.exp(F.sum(F.log(1 - p))), 6).alias("score"), F.count("*").alias("evidence"), F.max("score").alias("best"))
 
@@ -237,11 +324,9 @@ _FIVE = {"who": "apache", "what": "license", "when": "version", "where": "token"
 @query("select memory_id, max(score) score, string_agg(dim, ',' order by dim) dims from (" + " union all ".join(f"select memory_id, score, '{d}' dim from ({top_sql(bm25_sql(q), 20)})" for d, q in _FIVE.items()) + ") group by memory_id")
 def five_w(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best score over the who, what, when, where and why searches, and which of them hit."""
-    mem = memories(spark, sf_dir)
-    rows = None
-    for dim, q in _FIVE.items():
-        hit = lexical.top(lexical.bm25(mem, q), 20).withColumn("dim", F.lit(dim))
-        rows = hit if rows is None else rows.unionByName(hit)
+    hits = lexical.bm25_all(_index(spark, sf_dir), _FIVE).withColumnRenamed("query", "dim")
+    best = Window.partitionBy("dim").orderBy(F.desc("score"), "memory_id")
+    rows = hits.withColumn("place", F.row_number().over(best)).where("place <= 20")
     return rows.groupBy("memory_id").agg(F.max("score").alias("score"), F.array_join(F.array_sort(F.collect_list("dim")), ",").alias("dims"))
 
 
@@ -249,7 +334,7 @@ def five_w(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mmr_diversify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 most relevant and different of the keyword lane's hits."""
     mem = memories(spark, sf_dir)
-    hits = mem.join(F.broadcast(lexical.top(lexical.bm25(mem, QUESTION), DEPTH)), "memory_id")
+    hits = mem.join(F.broadcast(lexical.top(lexical.bm25(_index(spark, sf_dir), QUESTION), DEPTH)), "memory_id")
     return fusion.diversify(hits.select(F.lit(QUESTION).alias("query"), "memory_id", "score", T.lex_tokens("content").alias("tokens")), 10).select("memory_id", "place")
 
 
@@ -257,7 +342,7 @@ def mmr_diversify(spark: SparkSession, sf_dir: str) -> DataFrame:
 def budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword hits, best first, while their tokens fit a budget."""
     mem = memories(spark, sf_dir)
-    hits = mem.join(F.broadcast(lexical.top(lexical.bm25(mem, QUESTION), DEPTH)), "memory_id").select("memory_id", "score", T.token_estimate(F.col("content")).alias("tokens"))
+    hits = mem.join(F.broadcast(lexical.top(lexical.bm25(_index(spark, sf_dir), QUESTION), DEPTH)), "memory_id").select("memory_id", "score", T.token_estimate(F.col("content")).alias("tokens"))
     # A window over one lane's rows.
     w = Window.orderBy(F.desc("score"), "memory_id").rowsBetween(Window.unboundedPreceding, 0)
     return hits.withColumn("spent", F.sum("tokens").over(w)).where("spent <= 4000").select("memory_id", "score", "spent")

@@ -19,9 +19,9 @@ def test_speech_act_takes_the_first_that_matches(spark):
 
 def test_bm25_of_nothing(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "")], "memory_id long, content string")
-    assert lexical.bm25(docs, "?!").count() == 0
-    assert lexical.bm25(docs, "zzz").count() == 0
-    assert [r.memory_id for r in lexical.bm25(docs, "B").collect()] == [1]
+    assert lexical.bm25(lexical.index(docs), "?!").count() == 0
+    assert lexical.bm25(lexical.index(docs), "zzz").count() == 0
+    assert [r.memory_id for r in lexical.bm25(lexical.index(docs), "B").collect()] == [1]
 
 
 def test_cosine_of_odd_vectors_is_zero(spark):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recollect.functions.text import token_estimate
+from recollect.operators.threads import THREAD_STOP, fingerprints, match
 from recollect.operators import tape as ops
 from recollect.plans.registry import query
 from recollect.sources.tables import memories, table, tape, turns
@@ -37,27 +38,51 @@ def causal_pmi(spark: SparkSession, sf_dir: str) -> DataFrame:
 _C3 = f"(select *, row_number() over ({_W}) place, concat_ws('>', lag(tool, 3) over ({_W}), lag(tool, 2) over ({_W}), lag(tool) over ({_W})) context from {_TAPE})"
 
 
-@query(f"select context, count(*) n, sum(failed)::bigint fails, round(sum(failed) / count(*)::double, 6) fail_ratio from {_C3} where place > 3 group by context having sum(failed) >= 3 and sum(failed) / count(*)::double > 0.22")
-def failure_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contexts of three tools after which failures are frequent."""
+def _failing_sql(ratio: float) -> str:
+    return f"select context, count(*) n, sum(failed)::bigint fails, round(sum(failed) / count(*)::double, 6) fail_ratio from {_C3} where place > 3 group by context having sum(failed) >= 3 and sum(failed) / count(*)::double > {ratio}"
+
+
+def _failing(spark: SparkSession, sf_dir: str, ratio: float, least: int = 3) -> DataFrame:
     by = ops.contexts(tape(spark, sf_dir), 3).groupBy("context").agg(F.count("*").alias("n"), F.sum("failed").alias("fails"))
-    return by.withColumn("fail_ratio", F.round(F.col("fails") / F.col("n"), 6)).where("fails >= 3 and fails / n > 0.22")
+    return by.withColumn("fail_ratio", F.round(F.col("fails") / F.col("n"), 6)).where((F.col("fails") >= least) & (F.col("fails") / F.col("n") > ratio))
+
+
+@query(_failing_sql(0.6))
+def failure_pattern(spark: SparkSession, sf_dir: str, ratio: float = 0.6) -> DataFrame:
+    """Contexts of three tools after which failures are frequent."""
+    return _failing(spark, sf_dir, ratio)
+
+
+@query(_failing_sql(0.22))
+def failure_pattern_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same at a lower bound, which a tape of chance reaches."""
+    return _failing(spark, sf_dir, 0.22)
 
 
 _C2 = f"(select *, row_number() over ({_W}) place, concat_ws('>', lag(tool, 2) over ({_W}), lag(tool) over ({_W})) context from {_TAPE})"
-_CF = f"(select context, entity, count(*) n, sum(failed)::bigint fails from {_C2} where place > 2 group by all)"
 
 
-@query(f"select a.context, a.entity taken, b.entity alternative, round(a.fails / a.n::double - b.fails / b.n::double, 6) delta from {_CF} a join {_CF} b on a.context = b.context and a.entity <> b.entity where a.n >= 5 and b.n >= 5 and a.fails / a.n::double > b.fails / b.n::double qualify row_number() over (partition by a.context, a.entity order by delta desc, b.entity) = 1")
-def counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each context and entity, the sibling that fails least."""
-    by = ops.contexts(tape(spark, sf_dir), 2).groupBy("context", "entity").agg(F.count("*").alias("n"), F.sum("failed").alias("fails")).where("n >= 5")
-    rate = by.select("context", "entity", (F.col("fails") / F.col("n")).alias("rate"))
-    # A context has as many siblings as there are entities; the best one is the lowest rate, by id among equals.
-    pairs = rate.alias("a").join(rate.alias("b"), F.expr("a.context = b.context and a.entity <> b.entity and a.rate > b.rate"))
-    rows = pairs.select("a.context", F.col("a.entity").alias("taken"), F.col("b.entity").alias("alternative"), F.round(F.col("a.rate") - F.col("b.rate"), 6).alias("delta"))
-    w = Window.partitionBy("context", "taken").orderBy(F.desc("delta"), "alternative")
-    return rows.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
+def _counterfactual_sql(n: int, support: int) -> str:
+    context = ", ".join(f"lag(tool, {i}) over ({_W})" for i in range(n, 0, -1))
+    by = f"select context, entity, count(*) n, sum(failed)::bigint fails from (select *, row_number() over ({_W}) place, concat_ws('>', {context}) context from {_TAPE}) where place > {n} group by all having count(*) >= {support}"
+    best = f"select *, row_number() over (partition by context order by fails / n::double, {_wilson_sql('(n - fails)', 'n', 1.645)} desc, entity) r from ({by})"
+    return f"with b as ({best}) select a.context, a.entity taken, c.entity alternative, round(a.fails / a.n::double - c.fails / c.n::double, 6) delta from b a join b c on a.context = c.context and c.r = 1 where a.fails / a.n::double > c.fails / c.n::double"
+
+
+def _counterfactual(spark: SparkSession, sf_dir: str, n: int, support: int) -> DataFrame:
+    return ops.best_sibling(ops.contexts(tape(spark, sf_dir), n), support)
+
+
+@query(_counterfactual_sql(4, 5))
+def counterfactual(spark: SparkSession, sf_dir: str, n: int = 4, support: int = 5) -> DataFrame:
+    """For each context of four tools and entity, the sibling that fails least (ties by Wilson's bound, then by id)."""
+    return _counterfactual(spark, sf_dir, n, support)
+
+
+@query(_counterfactual_sql(2, 5))
+def counterfactual_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same after two tools, which a short tape repeats."""
+    return _counterfactual(spark, sf_dir, 2, 5)
 
 
 @query(f"select before, tool, count(*) support, round(avg(1 - 2 * failed), 6) avg_outcome, min(event_id) first_event, max(event_id) last_event from {_BI} where before is not null group by all having count(*) >= 5")
@@ -80,11 +105,21 @@ def td_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.credit(tape(spark, sf_dir))
 
 
-@query(f"select entity, n, successes, round({_wilson_sql('successes', 'n', 1.96)}, 6) score from (select a.entity, count(*) n, sum(1 - b.failed)::bigint successes from {_TAPE} a join {_TAPE} b on a.session = b.session and b.ts >= a.ts and b.ts <= a.ts + interval 6 hour and b.tool in ('purchase', 'error') where a.tool = 'view' group by a.entity)".replace("select entity, n,", "select entity item, n,", 1))
-def outcome_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcomes within six hours of each view of an entity, with Wilson's lower bound."""
+_OUT = f"(select *, case tool when 'purchase' then 0 when 'error' then 1 end exit_code, tool = 'click' and cost > 95 flagged from {_TAPE} where tool in ('purchase', 'error', 'click'))"
+
+
+@query(
+    f"""with v as (select a.event_id, a.entity, count(b.event_id) filter (b.exit_code is not null) known, coalesce(max(b.exit_code), 0) worst, coalesce(bool_or(b.flagged), false) flagged
+    from (select * from {_TAPE} where tool = 'view') a left join {_OUT} b on a.session = b.session and b.ts >= a.ts and b.ts <= a.ts + interval 6 hour group by a.event_id, a.entity),
+    c as (select entity item, count(*) injections, count(*) filter (known + flagged::int > 0 and worst = 0 and not flagged) successes, count(*) filter (worst > 0 or flagged) failures from v group by entity)
+    select item, injections, successes, failures, round(greatest(0.0, {_wilson_sql('successes', '(successes + failures)', 1.96)}), 6) score from c"""
+)
+def outcome_credit(spark: SparkSession, sf_dir: str, hours: int = 6) -> DataFrame:
+    """One verdict for each injection (view) of an item from the outcomes within some hours: purchases exit with 0, errors with 1, clicks without a code."""
     t = tape(spark, sf_dir)
-    return ops.outcomes(t.where("tool = 'view'").withColumn("item", F.col("entity")), t.where("tool in ('purchase', 'error')"), 6 * 3600)
+    known = F.when(F.col("tool") == "purchase", 0).when(F.col("tool") == "error", 1)
+    outcomes = t.where("tool in ('purchase', 'error', 'click')").select("session", "ts", known.alias("exit_code"), ((F.col("tool") == "click") & (F.col("cost") > 95)).alias("flagged"))
+    return ops.outcomes(t.where("tool = 'view'").withColumn("item", F.col("entity")), outcomes, hours * 3600)
 
 
 @query(f"select tool, round(2 + sum(1 - failed), 6)::double alpha, round(2 + sum(failed), 6)::double beta, round((2 + sum(1 - failed)) / (4.0 + count(*)), 6) mean from {_TAPE} group by tool")
@@ -101,13 +136,14 @@ def regret_utility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("event_id", F.round(F.when(F.col("failed") == 1, -1.0).otherwise(1.0) - 0.001 * F.col("cost") - 0.00001 * F.col("entity"), 6).alias("utility"))
 
 
-@query(f"with c as (select context, count(*) n, avg(failed) f from {_C2} where place > 2 group by context), b as (select avg(failed) f from {_TAPE}) select context, n, round(b.f - c.f, 6) lift from c, b where n >= 20 and b.f - c.f > 0.01")
-def policy_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"with c as (select context, count(*) n, avg(failed) f from {_C2} where place > 2 group by context), b as (select avg(failed) f from {_TAPE}) select context, n, round(b.f - c.f, 6) lift from c, b where n >= 20 and b.f - c.f > 0.15")
+def policy_promotion(spark: SparkSession, sf_dir: str, lift: float = 0.15, least: int = 20) -> DataFrame:
     """Contexts with enough events that fail less than the tape on the whole."""
     t = tape(spark, sf_dir)
     base = t.agg(F.avg("failed").alias("base"))
-    by = ops.contexts(t, 2).groupBy("context").agg(F.count("*").alias("n"), F.avg("failed").alias("f")).where("n >= 20")
-    return by.join(F.broadcast(base)).where("base - f > 0.01").select("context", "n", F.round(F.col("base") - F.col("f"), 6).alias("lift"))
+    by = ops.contexts(t, 2).groupBy("context").agg(F.count("*").alias("n"), F.avg("failed").alias("f")).where(F.col("n") >= least)
+    # One row.
+    return by.join(F.broadcast(base)).where(F.col("base") - F.col("f") > lift).select("context", "n", F.round(F.col("base") - F.col("f"), 6).alias("lift"))
 
 
 @query(f"select before, tool, round(avg(refuted), 6) ratio, case when avg(refuted) > 0.4 then 'refuted' when avg(refuted) < 0.2 then 'standing' else 'open' end state from (select before, tool, failed refuted from {_BI} where before is not null) group by all")
@@ -117,18 +153,18 @@ def refutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.select("before", "tool", F.round("r", 6).alias("ratio"), F.when(F.col("r") > 0.4, "refuted").when(F.col("r") < 0.2, "standing").otherwise("open").alias("state"))
 
 
-@query(f"select event_id, round(-ln(n / sum_n::double), 6) surprisal from (select b.event_id, b.before, b.tool from {_BI} b where before is not null) join (select before, tool, n, sum(n) over (partition by before) sum_n from (select before, tool, count(*) n from {_BI} where before is not null group by all)) using (before, tool) where -ln(n / sum_n::double) > 1.6")
-def surprisal_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"select event_id, round(-ln(n / sum_n::double), 6) surprisal from (select b.event_id, b.before, b.tool from {_BI} b where before is not null) join (select before, tool, n, sum(n) over (partition by before) sum_n from (select before, tool, count(*) n from {_BI} where before is not null group by all)) using (before, tool) where -ln(n / sum_n::double) > 2.0")
+def surprisal_gate(spark: SparkSession, sf_dir: str, nats: float = 2.0) -> DataFrame:
     """Events whose tool is surprising after the one before."""
     b = ops.bigrams(tape(spark, sf_dir)).where("before is not null").select("event_id", "before", "tool")
     counts = b.groupBy("before", "tool").agg(F.count("*").alias("n"))
     p = counts.select("before", "tool", (-F.log(F.col("n") / F.sum("n").over(Window.partitionBy("before")))).alias("s"))
-    # One row for each pair of tools.
-    return b.join(F.broadcast(p), ["before", "tool"]).where("s > 1.6").select("event_id", F.round("s", 6).alias("surprisal"))
+    # One row for each pair of tools; Spark broadcasts them where they are few.
+    return b.join(p, ["before", "tool"]).where(F.col("s") > nats).select("event_id", F.round("s", 6).alias("surprisal"))
 
 
 @query(f"select session, count(*) episodes, max(n) longest from (select session, episode, count(*) n from (select *, sum(new) over ({_W} rows unbounded preceding) episode from (select *, case when lag(ts) over ({_W}) is null or ts - lag(ts) over ({_W}) > interval 12 hour then 1 else 0 end new from {_TAPE})) group by all) group by session")
-def saddle_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pause_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Episodes of each session: stretches without a pause of more than twelve hours."""
     gap = ops.micros(F.col("ts")) - ops.micros(F.lag("ts").over(ops.order()))
     t = tape(spark, sf_dir).withColumn("new", F.when(gap.isNull() | (gap > 12 * 3600 * 1_000_000), 1).otherwise(0))
@@ -138,12 +174,51 @@ def saddle_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"select session, md5(string_agg(tool, '>' order by ts, event_id)) fingerprint, count(*) n from {_TAPE} group by session")
-def thread_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tool_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of each session's sequence of tools."""
     tools = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "tool"))), lambda s: s["tool"])
     return tape(spark, sf_dir).groupBy("session").agg(F.md5(F.array_join(tools, ">")).alias("fingerprint"), F.count("*").alias("n"))
 
 
+_RETRY = f"""with b as (select *, row_number() over ({_W}) place from {_TAPE}),
+    a as (select *, place - lag(place) over (partition by session, entity order by place) gap, lag(tool) over (partition by session, entity order by place) last_ from b),
+    i as (select *, sum(case when gap is null or gap > 8 or last_ = 'purchase' then 1 else 0 end) over (partition by session, entity order by place rows unbounded preceding) island from a)
+    select session, entity, min(place) opened, count(*) filter (tool = 'error') fails, bool_or(tool = 'purchase') escaped, count(*) filter (tool = 'view') injections
+    from i group by session, entity, island having count(*) filter (tool = 'error') >= {{least}}"""
+
+
+@query(_RETRY.replace("{least}", "3"))
+def saddle_episodes(spark: SparkSession, sf_dir: str, least: int = 3, reach: int = 8) -> DataFrame:
+    """Retry loops: the same command (entity) failing again within eight events of the session, until it succeeds (purchase)."""
+    return ops.retries(tape(spark, sf_dir), least, reach)
+
+
+@query(_RETRY.replace("{least}", "1"))
+def saddle_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from one failure on, which a tape of chance has."""
+    return ops.retries(tape(spark, sf_dir), 1, 8)
+
+
+_TERMS = """(select session, turn, unnest(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z][a-z0-9_-]{2,}')), lambda w: not list_contains([""" + ",".join(f"'{w}'" for w in THREAD_STOP) + """], w))) term from (select conv_id session, turn, text from conversations where role = 'user'))"""
+_PRINT = f"(select session, term, df / sum(df) over (partition by session) * (ln((n + 1) / (df + 1)::double) + 1) weight from (select session, term, count(*)::double df from {_TERMS} group by all) join (select conv_id session, count(*) n from conversations where role = 'user' group by all) using (session))"
+
+
+def _prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(turns(spark, sf_dir).where("role = 'user'"))
+
+
+@query(f"select session, term, round(weight, 6) weight from {_PRINT}")
+def thread_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted terms of each session's user turns."""
+    return _prints(spark, sf_dir).select("session", "term", F.round("weight", 6).alias("weight"))
+
+
+@query(f"with p as (select * from {_PRINT}), l as (select session, sqrt(sum(weight * weight)) norm from p group by session), d as (select b.session, sum(a.weight * b.weight) dot from p a join p b using (term) where a.session = 0 and b.session <> 0 group by b.session) select d.session, round(dot / l.norm / q.norm, 6) score, case when dot / l.norm / q.norm >= 0.55 then 'strong' when dot / l.norm / q.norm >= 0.30 then 'weak' else 'none' end match from d join l using (session), (select norm from l where session = 0) q")
+def thread_match(spark: SparkSession, sf_dir: str, session: int = 0) -> DataFrame:
+    """How much each other thread is like one: sparse cosine of their fingerprints."""
+    return match(_prints(spark, sf_dir), session)
+
+
 @query("select conv_id session, count(*) n, sum(length(text))::bigint chars, count(*) filter (role = 'user') asked, max(turn) last_turn from conversations group by conv_id")
 def read_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of each session's transcript."""

@@ -45,17 +45,28 @@ def bfs(edges: DataFrame, start: str, hops: int = 3, direction: str = "both", pr
     return seen
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 20) -> DataFrame:
-    """node, score: PageRank of undirected edges; the mass of nodes without edges does not arise, as each edge goes both ways."""
+def shortest(edges: DataFrame, start: str, end: str, hops: int = 4) -> DataFrame:
+    """node, hop of all nodes on a shortest undirected connection, which has twice so many hops at most."""
+    there, back = (settled(bfs(edges, node, hops)) for node in (start, end))
+    both = there.join(back.withColumnRenamed("hop", "left"), "node").withColumn("all", F.col("hop") + F.col("left"))
+    least = both.agg(F.min("all").alias("least"))
+    return both.join(F.broadcast(least)).where(F.col("all") == F.col("least")).select("node", "hop")
+
+
+def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 20, seed: str | None = None) -> DataFrame:
+    """node, score: PageRank of undirected edges, restarting anywhere or at a seed.
+
+    The mass of nodes without edges does not arise, as each edge goes both ways."""
     both = edges.select(F.col("subject").alias("a"), F.col("object").alias("b")).unionByName(edges.select(F.col("object").alias("a"), F.col("subject").alias("b"))).distinct()
     out = both.groupBy("a").agg(F.count("*").alias("degree"))
     links = settled(both.join(out, "a"))
     nodes = settled(out.select(F.col("a").alias("node")))
     n = nodes.count()
-    ranks = nodes.withColumn("score", F.lit(1.0 / n if n else 0.0))
+    own = (lambda all_, one: F.lit(all_)) if seed is None else (lambda all_, one: F.when(F.col("node") == seed, one).otherwise(0.0))
+    ranks = nodes.withColumn("score", own(1.0 / n if n else 0.0, 1.0))
     for _ in range(iterations):
         got = links.join(ranks, F.col("a") == F.col("node")).groupBy(F.col("b").alias("node")).agg(F.sum(F.col("score") / F.col("degree")).alias("s"))
-        ranks = settled(got.select("node", (F.lit((1 - damping) / max(1, n)) + damping * F.col("s")).alias("score")))
+        ranks = settled(got.select("node", (own((1 - damping) / max(1, n), 1 - damping) + damping * F.col("s")).alias("score")))
     return ranks
 
 

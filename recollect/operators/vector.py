@@ -20,16 +20,56 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return F.when((F.size(a) != F.size(b)) | (F.size(a) <= 0) | (n == 0), 0.0).otherwise(dot(a, b) / n)
 
 
-def knn(vectors: DataFrame, query_id: int) -> DataFrame:
-    """vec_id, score of every vector but the query's, whose one row is broadcast."""
+def knn(vectors: DataFrame, query_id: int, *carried: str) -> DataFrame:
+    """vec_id, score and the carried columns of every vector but the query's, whose one row is broadcast."""
     q = vectors.where(F.col("vec_id") == query_id).select(F.col("embedding").alias("q")).limit(1)
-    return vectors.where(F.col("vec_id") != query_id).join(F.broadcast(q)).select("vec_id", F.round(cosine("embedding", "q"), 6).alias("score"))
+    return vectors.where(F.col("vec_id") != query_id).join(F.broadcast(q)).select("vec_id", F.round(cosine("embedding", "q"), 6).alias("score"), *carried)
+
+
+def near_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
+    """a, b, score of pairs whose two largest components are the same ones and whose cosine is the threshold or more."""
+    keyed = vectors.select("vec_id", "embedding", F.slice(_largest(F.col("embedding")), 1, 2).alias("head"))
+    keyed = keyed.withColumn("head", F.array_sort(F.transform("head", lambda s: s["i"])))
+    l, r = keyed.alias("l"), keyed.alias("r")
+    pairs = l.join(r, (F.col("l.head") == F.col("r.head")) & (F.col("l.vec_id") < F.col("r.vec_id")))
+    scored = pairs.select(F.col("l.vec_id").alias("a"), F.col("r.vec_id").alias("b"), cosine("l.embedding", "r.embedding").alias("s"))
+    return scored.where(F.col("s") >= threshold).select("a", "b", F.round("s", 6).alias("score"))
+
+
+def sketch(v: Column | str, dims: int = 32) -> Column:
+    """struct(scale, codes): successive components averaged to so many dimensions, in steps of the largest over 127."""
+    v = F.col(v) if isinstance(v, str) else v
+    width = F.size(v) / dims
+    pooled = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.aggregate(F.slice(v, (i * width).cast("int") + 1, width.cast("int")), F.lit(0.0), lambda a, x: a + x) / width)
+    scale = F.array_max(F.transform(pooled, F.abs)) / 127
+    codes = F.transform(pooled, lambda x: F.when(scale == 0, 0).otherwise(F.greatest(F.lit(-127), F.least(F.lit(127), F.round(x / scale)))).cast("int"))
+    return F.struct(scale.alias("scale"), codes.alias("codes"))
+
+
+def hopfield(vectors: DataFrame, probe: int, beta: float, steps: int) -> DataFrame:
+    """dim, value of a state that moves, step by step, to the mean of all vectors weighted by softmax of their likeness.
+
+    The state is one row; a step is one pass over the vectors, combined before the shuffle.
+    """
+    state = vectors.where(F.col("vec_id") == probe).select(F.col("embedding").alias("s")).limit(1)
+    for _ in range(steps):
+        weighed = vectors.join(F.broadcast(state)).select("embedding", F.exp(beta * (cosine("embedding", "s") - 1)).alias("w"))
+        dims = weighed.select("w", F.posexplode("embedding").alias("dim", "x")).groupBy("dim").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("v"))
+        own = F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda x: x["v"])
+        mean = dims.agg(own.alias("m"))
+        state = mean.select(F.transform("m", lambda x: x / norm(F.col("m"))).alias("s"))
+    return state.select(F.posexplode("s").alias("dim", "value")).select("dim", F.round("value", 5).alias("value"))
+
+
+def _largest(v: Column) -> Column:
+    """Components by absolute value, largest first; ties go to the smaller index."""
+    return F.array_sort(F.transform(v, lambda x, i: F.struct((-F.round(F.abs(x), 9)).alias("m"), i.alias("i"))))
 
 
 def sparse_code(v: Column | str, share: float = 0.05) -> Column:
     """Indices (from 0, sorted) of the components of largest absolute value; ties go to the smaller index."""
     v = F.col(v) if isinstance(v, str) else v
-    ranked = F.array_sort(F.transform(v, lambda x, i: F.struct((-F.round(F.abs(x), 9)).alias("m"), i.alias("i"))))
+    ranked = _largest(v)
     n = F.greatest(F.floor(F.size(v) * F.lit(share)), F.lit(1)).cast("int")
     return F.array_sort(F.transform(F.slice(ranked, 1, n), lambda s: s["i"]))
 

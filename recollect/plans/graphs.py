@@ -80,12 +80,6 @@ def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.pagerank(triplets(spark, sf_dir), iterations=8).select("node", F.round("score", 8).alias("score"))
 
 
-@query()
-def label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Communities of the graph by label propagation."""
-    return graph.label_propagation(triplets(spark, sf_dir))
-
-
 @query(f"select t.object answer, t.predicate, t.weight from {_T} t where t.subject = 'customer:2' and t.predicate in (select predicate from {_T} where subject = 'customer:1' and object = (select 'nation:' || c_nationkey from customer where c_custkey = 1))")
 def analogy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """customer:1 is to its nation as customer:2 is to what?"""

@@ -76,13 +76,6 @@ def expand_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns(spark, sf_dir).where("role = 'user'").select("session", "turn", T.expand(F.col("text")).alias("lex"))
 
 
-@query("select w entity, count(*) n, count(distinct doc_id) memories from (select doc_id, unnest(list_filter(list_distinct(regexp_extract_all(text, '(?:^|[^A-Za-z0-9_])([A-Z][a-z]+)\\b', 1)), lambda w: not list_contains([" + ",".join(f"'{w}'" for w in T.QUESTION_WORDS) + "], w))) w from documents where regexp_full_match(text, '[\\x00-\\x7f]*')) group by w")
-def entity_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Memories in ASCII that name each entity."""
-    rows = memories(spark, sf_dir).where(F.col("content").rlike(r"\A[\x00-\x7f]*\z")).select("memory_id", F.explode(T.entities(F.col("content"))).alias("entity"))
-    return rows.groupBy("entity").agg(F.count("*").alias("n"), F.countDistinct("memory_id").alias("memories"))
-
-
 @query("select term, count(*) df, sum(tf)::bigint cf from (select doc_id, term, count(*) tf from (select doc_id, unnest(regexp_extract_all(lower(text),'[a-z0-9]+')) term from documents) group by all) group by term")
 def postings_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document and collection frequency of every term."""
@@ -140,7 +133,7 @@ def theme_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 def behavioral_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and best similarity to the probe of each class."""
     v = vectors(spark, sf_dir)
-    scored = vector.knn(v, PROBE).join(v.select("vec_id", "label"), "vec_id")
+    scored = vector.knn(v, PROBE, "label")
     return scored.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("score"), 3).alias("mean_score"), F.max("score").alias("best"))
 
 
@@ -293,13 +286,6 @@ def _with_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     return access.join(F.broadcast(fusion.rrf(_lanes(spark, sf_dir))), "memory_id").join(F.broadcast(n))
 
 
-@query(f"select round(max(1 / (1 + exp(-(3.27 * score - 0.85)))), 6) max_rel, case when count(*) = 0 then 'empty' when max(1 / (1 + exp(-(3.27 * score - 0.85)))) < 0.45 then 'weak' else 'ok' end status from ({top_sql(knn_sql(), 10, 'vec_id')})")
-def abstain_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the best hits are good enough to answer with."""
-    best = lexical.top(vector.knn(vectors(spark, sf_dir), PROBE), 10, "vec_id").agg(F.max(fusion.calibrated(F.col("score"))).alias("m"), F.count("*").alias("n"))
-    return best.select(F.round("m", 6).alias("max_rel"), F.when(F.col("n") == 0, "empty").when(F.col("m") < 0.45, "weak").otherwise("ok").alias("status"))
-
-
 @query(f"with r as ({top_sql(bm25_sql(QUESTION), DEPTH)}), x as (select r.*, d.source realm, d.lang kind, len(list_filter({_LEX}, lambda t: list_contains(['apache','license','token','version'], t))) >= 2 lexical from r join documents d on d.doc_id = memory_id), h as (select distinct realm, kind from x where rank <= 5) select memory_id, rank, row_number() over (order by rank) place from x where rank <= 10 or lexical or (score >= (select max(score) from x) / 2 and (realm, kind) in (select (realm, kind) from h)) qualify place <= 24")
 def prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword hits worth rescoring."""
@@ -352,6 +338,6 @@ def budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def score_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entropy of the similarity scores in each class."""
     v = vectors(spark, sf_dir)
-    scored = vector.knn(v, PROBE).join(v.select("vec_id", "label"), "vec_id").where("score > 0")
+    scored = vector.knn(v, PROBE, "label").where("score > 0")
     p = scored.withColumn("p", F.col("score") / F.sum("score").over(Window.partitionBy("label")))
     return p.groupBy("label").agg(F.count("*").alias("n"), F.round(-F.sum(F.col("p") * F.log2("p")), 6).alias("entropy"))

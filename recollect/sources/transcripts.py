@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _BLOCKS = "array<struct<type:string,text:string>>"
@@ -11,10 +11,16 @@ _BLOCKS = "array<struct<type:string,text:string>>"
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     """path, line, type, role, text of every turn; lines that aren't JSON are dropped, reminders of the system stripped.
 
-    Lines are numbered in each file by their place in it.
+    Lines are numbered in each file by their place in it. Files are read in splits: a line's number is its place in
+    its split and the lines of the splits before, of which there is one row each.
     """
-    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
-    return parse(rows)
+    rows = spark.read.option("lineSep", "\n").text(path)
+    rows = rows.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    splits = rows.groupBy("path", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("block")) - F.col("n")
+    splits = splits.select("path", "block", "first", before.alias("before"))
+    rows = rows.join(F.broadcast(splits), ["path", "block"])
+    return parse(rows.select("path", (F.col("at") - F.col("first") + F.col("before")).cast("int").alias("line"), "value"))
 
 
 def parse(rows: DataFrame) -> DataFrame:

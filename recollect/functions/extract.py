@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,17 +16,20 @@ VALUE = rf"(?:^|[^A-Za-z0-9_])(?i:({'|'.join(ANCHORS)}))[ :=#]{{1,3}}(v?[0-9][0-
 
 
 def chunks(text: str, size: int = 2000, overlap: int = 200) -> list[tuple[int, int]]:
-    """(start, end) of chunks of at most size characters, broken at a blank line in their second half where there is one."""
-    out, at = [], 0
-    while at < len(text):
-        end = min(at + size, len(text))
-        if end < len(text) and (cut := text.rfind("\n\n", at, end)) > at + size // 2:
-            end = cut + 2
-        out.append((at, end))
-        if end == len(text):
-            break
-        at = max(end - overlap, at + 1)
-    return out
+    """(start, end) of chunks of at most size characters, broken at a blank line in their second half where there is one.
+
+    A chunk ends at the last blank line that is within its size and beyond its half, else at its size; the next one
+    begins so many characters before that end.
+    """
+    breaks = [m.start() + 2 for m in re.finditer(r"(?=\n\n)", text)]
+    spans = [(0, 0)] if text else []
+    while spans and (not spans[-1][1] or spans[-1][1] < len(text)):
+        start = max(spans[-1][1] - overlap, spans[-1][0] + 1) if spans[-1][1] else 0
+        full = start + size
+        fit = breaks[bisect_right(breaks, full) - 1 :][:1] if breaks and full < len(text) else []
+        end = fit[0] if fit and start + size // 2 + 2 < fit[0] <= full else min(full, len(text))
+        spans.append((start, end))
+    return spans[1:]
 
 
 def chunk(docs: DataFrame, size: int = 2000, overlap: int = 200) -> DataFrame:

@@ -34,6 +34,8 @@ TEMPORAL = [
     ("sequence", ["before", "after", "what happened", "sequence", "timeline", "in order"]),
     ("as_of", ["as of", "at that time", "back then"]),
 ]
+# Fixed value: months and years that a question may look back to.
+MONTHS = r"in\s+(january|february|march|april|may|june|july|august|september|october|november|december|20[0-9]{2})"
 # Question words that name no entity.
 QUESTION_WORDS = "When What Where Who How Why Which Would Could Should Did Does Is Are Was Were Has Have Had Do Can Will".split()
 
@@ -83,7 +85,7 @@ def temporal_subtype(text: Column) -> Column:
         for p in phrases:
             hit = hit | low.contains(p)
         if kind == "as_of":
-            hit = hit | low.rlike(r"in\s+(january|february|march|april|may|june|july|august|september|october|november|december|20[0-9]{2})")
+            hit = hit | low.rlike(MONTHS)
         found = F.when(hit, kind).otherwise(found)
     return found
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.functions.extract import ANCHORS, chunk, values
+from recollect.functions.extract import VALUE, chunk, values
 from recollect.operators.graph import shared_folder
 from recollect.plans.registry import query
 from recollect.sources.tables import memories
@@ -27,10 +27,7 @@ def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk(memories(spark, sf_dir))
 
 
-_V = rf"(?:^|[^A-Za-z0-9_])(?i:({'|'.join(ANCHORS)}))[ :=#]{{1,3}}(v?[0-9][0-9A-Fa-f.]*)"
-
-
-@query(f"select anchor, value, count(*) n, count(distinct doc_id) memories from (select doc_id, lower(regexp_extract(m, '{_V}', 1)) anchor, regexp_extract(m, '{_V}', 2) as value from (select doc_id, unnest(regexp_extract_all(text, '{_V}')) m from documents)) group by all")
+@query(f"select anchor, value, count(*) n, count(distinct doc_id) memories from (select doc_id, lower(regexp_extract(m, '{VALUE}', 1)) anchor, regexp_extract(m, '{VALUE}', 2) as value from (select doc_id, unnest(regexp_extract_all(text, '{VALUE}')) m from documents)) group by all")
 def value_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values that follow an anchor word, and the memories that hold them."""
     rows = memories(spark, sf_dir).select("memory_id", F.explode(values(F.col("content"))).alias("v"))

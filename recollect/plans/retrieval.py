@@ -62,7 +62,7 @@ def speech_act(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "select kind, count(*) n from (select case "
-    + " ".join("when " + " or ".join([f"contains(lower(text), '{p}')" for p in ps] + (["regexp_matches(lower(text), 'in\\s+(january|february|march|april|may|june|july|august|september|october|november|december|20[0-9]{2})')"] if k == "as_of" else [])) + f" then '{k}'" for k, ps in T.TEMPORAL)
+    + " ".join("when " + " or ".join([f"contains(lower(text), '{p}')" for p in ps] + (["regexp_matches(lower(text), '" + T.MONTHS + "')"] if k == "as_of" else [])) + f" then '{k}'" for k, ps in T.TEMPORAL)
     + " else 'none' end kind from conversations) group by kind"
 )
 def intent_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:

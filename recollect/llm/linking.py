@@ -41,7 +41,8 @@ def in_buckets(items: DataFrame) -> DataFrame:
 def link(shared: DataFrame, items: DataFrame, near: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
     """Components (id, component) of the confirmed links between items, or None without any.
 
-    shared has the buckets (band, rep, each once) that hold two items or more; items has what near needs by rep.
+    shared has the buckets (band, rep, each once) that hold two items or more; items has what near needs by rep, and
+    may have the item's buckets (bands).
     near(l, r) is a cheap condition on the aliases of two items that keeps every pair that may be confirmed;
     confirm takes pairs (a, b) and returns those that are links.
     """
@@ -58,11 +59,13 @@ def link(shared: DataFrame, items: DataFrame, near: Callable[[str, str], Column]
     rest = labelled(sized.where(F.col("members") <= MANY).select("band", "rep"), found).withColumn("main", F.lit(None).cast("long"))
     if open_ is not None:
         rest = rest.unionByName(labelled(shared.join(open_, "band"), found).select(rest.columns))
-    rest = cut(rest)
+    # What near needs goes along with the buckets, so that the join gives no pairs but near ones.
+    rest = cut(rest.join(items, "rep"))
     l, r = rest.where("coalesce(component <> main, true)").alias("l"), rest.alias("r")
-    pairs = l.join(r, "band").where("l.component <> r.component and (r.component = r.main or l.rep < r.rep)")
-    pairs = pairs.select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).distinct()
-    pairs = cut(_nearby(pairs, items, near))
+    pairs = l.join(r, (F.col("l.band") == F.col("r.band")) & (F.col("l.component") != F.col("r.component")) & ((F.col("r.component") == F.col("r.main")) | (F.col("l.rep") < F.col("r.rep"))) & near("l", "r"))
+    if "bands" in items.columns:  # pairs that share several buckets are taken from the first
+        pairs = pairs.where(F.element_at(F.array_intersect("l.bands", "r.bands"), 1) == F.col("l.band"))
+    pairs = cut(pairs.select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).distinct())
     release(rest, sized, open_)
     found = _more(found, confirm(pairs))
     release(pairs)

@@ -132,7 +132,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     known = signed.where("n_shingles > 0 and doc_id is not null")
     classes = cut(known.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), *(F.first(s).alias(s) for s in _S)))
     shared = in_buckets(classes.select("rep", "bands"))
-    found = link(shared, classes.select("rep", "n", *_S), _near(percent), lambda pairs: _confirmed(docs, pairs, shingle, percent))
+    found = link(shared, classes.select("rep", "n", "bands", *_S), _near(percent), lambda pairs: _confirmed(docs, pairs, shingle, percent))
     release(shared)
 
     # Classes and rows without their sketches: little is left when the result is read.

@@ -589,7 +589,24 @@ def test_word_fingerprints_tell_words_and_texts_apart():
 @pytest.mark.parametrize("run", [minhash.near_duplicates, minhash.drop_near_duplicates, lines.drop_repeated_lines, lines.line_report, suffix.repeated_passages, pii.pii, pii.redact, secrets.secrets])
 def test_empty_tables_null_ids_and_clashing_columns(spark, run):
     assert run(docs_of(spark, [])).count() == 0
-    schema = "doc_id long, text string, key long, line int, rep long, n long, gone string, band long, tid long, score double, component string"
-    rows = [(i, t, 1, 2, 3, 4, "x", 5, 6, 0.5, "c") for i, t in ((None, "some words that are here twice"), (1, None), (2, "some words that are here twice"), (2, "some words that are here twice"))]
-    found = run(spark.createDataFrame(rows, schema))
-    assert found.count() >= 3
+    names = ["key", "line", "rep", "n", "gone", "band", "tid", "score", "component", "held", "row_key_", "sieve_word", "sieve_bits", "sieve_at", "id", "wanted"]
+    schema = "doc_id long, text string, " + ", ".join(f"{n} string" for n in names)
+    texts = [(None, "some words that are here twice"), (1, None), (2, "some words that are here twice"), (2, "some words that are here twice"), (3, ""), (4, "x y z a b c d e " * 40_000)]
+    rows = [(i, t, *(f"{n} of {k}" for n in names)) for k, (i, t) in enumerate(texts)]
+    found = run(spark.createDataFrame(rows, schema)).collect()
+    assert len(found) == len(rows) if run is not minhash.drop_near_duplicates else len(found) >= 4
+    if run in (minhash.drop_near_duplicates, lines.drop_repeated_lines, pii.redact):
+        assert {tuple(r)[2:] for r in found} <= {r[2:] for r in rows} and found[0].__fields__ == ["doc_id", "text", *names]
+
+
+def test_vectors_and_tokens_with_clashing_columns(spark, tokenizer):
+    names = ["rank", "score", "v", "q", "block", "shard", "rep", "fp", "c0", "near", "ids", "n", "at", "part", "base", "total"]
+    extra = tuple(range(len(names)))
+    schema = "vec_id long, embedding array<double>, " + ", ".join(f"{n} int" for n in names)
+    rows = [(i, [1.0 + i % 3, 2.0, 0.5], *extra) for i in range(6)] + [(None, [1.0, 1.0, 1.0], *extra), (9, None, *extra)]
+    df = spark.createDataFrame(rows, schema)
+    assert topk.top_k(df, df.where("vec_id % 3 = 0"), 2).count() == 4
+    assert near_vectors(df).count() == len(rows) and near_vectors(df.limit(0)).count() == 0
+    docs = spark.createDataFrame([(1, "a b", *extra), (1, "a b", *extra), (None, None, *extra)], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    assert packing.pack(docs, tokenizer_path()).count() == 3
+    assert [r.n_tokens for r in bpe.round_trip(docs, tokenizer_path()).orderBy("doc_id").collect()] == [0, 2, 2] and bpe.round_trip(docs.limit(0), tokenizer_path()).count() == 0

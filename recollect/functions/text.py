@@ -21,7 +21,7 @@ SPEECH_ACTS = [
     ("correction", r"\bactually\b.{0,40}\bshould\b|\bcorrect(?:ion)?\s*:|\bwas\s+wrong\b|\bmistake\b"),
     ("preference", r"\bI\s+prefer\b|\bI(?:'d| would)\s+rather\b|\bprefer(?:ence)?\s*:|\bfavou?r(?:ite)?\b"),
     ("task", r"\bTODO\b|\bnext\s+step\b|\bwe\s+need\s+to\b|\baction\s+item\b|\btask\s*:"),
-    ("result", r"\bworks?\s+now\b|\bfixed\b|\bsolved\b|\bcompleted\b|\bsuccessfully\b"),
+    ("result", r"\bworks?\s+now\b|\bfixed\b|[A-Za-z0-9_]✓[A-Za-z0-9_]|\bsolved\b|\bcompleted\b|\bsuccessfully\b"),
     ("failure", r"\bfailed?\b|\berror\s*:|\bcrash(?:ed)?\b|\bdoes\s+not\s+work\b|\bbroken\b"),
     ("question", r"\bwhy\b.{0,60}\?|\bhow\s+does\b|\bwhat\s+is\b|\bwhere\s+is\b|\bwhen\s+did\b"),
     ("hypothesis", r"\bhypothes[ie]s\b|\bassume\b|\bperhaps\b|\bmaybe\b.{0,40}\bif\b|\bconjecture\b"),

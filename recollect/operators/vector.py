@@ -61,6 +61,26 @@ def hopfield(vectors: DataFrame, probe: int, beta: float, steps: int) -> DataFra
     return state.select(F.posexplode("s").alias("dim", "value")).select("dim", F.round("value", 5).alias("value"))
 
 
+def resonate(vectors: DataFrame, probe: int, k: int, passes: int, keep: float = 0.7) -> DataFrame:
+    """vec_id, score of the k vectors nearest to a question that each pass moves towards the mean of the k found.
+
+    The question is one row; a pass is one scan for the k nearest and one for their mean.
+    """
+    first = vectors.where(F.col("vec_id") == probe).select(F.col("embedding").alias("s")).limit(1)
+    others, state = vectors.where(F.col("vec_id") != probe), first
+
+    def nearest(s: DataFrame) -> DataFrame:
+        scored = others.join(F.broadcast(s)).select("vec_id", "embedding", cosine("embedding", "s").alias("score"))
+        return scored.orderBy(F.desc(F.round("score", 6)), "vec_id").limit(k)
+
+    for _ in range(passes):
+        dims = nearest(state).select(F.posexplode("embedding").alias("dim", "x")).groupBy("dim").agg(F.avg("x").alias("m"))
+        mean = dims.agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda x: x["m"]).alias("m"))
+        moved = mean.join(F.broadcast(first)).select(F.zip_with("s", "m", lambda a, b: keep * a + (1 - keep) * b).alias("u"))
+        state = moved.select(F.transform("u", lambda x: x / norm(F.col("u"))).alias("s"))
+    return nearest(state).select("vec_id", F.round("score", 5).alias("score"))
+
+
 def _largest(v: Column) -> Column:
     """Components by absolute value, largest first; ties go to the smaller index."""
     return F.array_sort(F.transform(v, lambda x, i: F.struct((-F.round(F.abs(x), 9)).alias("m"), i.alias("i"))))

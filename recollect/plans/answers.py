@@ -11,7 +11,7 @@ from recollect.operators import transcript as tr
 from recollect.plans import retrieval as R
 from recollect.plans.graphs import _BOTH, _T
 from recollect.plans.logical import LOGICAL
-from recollect.plans.registry import query
+from recollect.plans.registry import ORACLE_SQL, query
 from recollect.sources.tables import memories, table, triplets, turns, vectors
 
 _SHELF = LOGICAL["shelf"][1]
@@ -153,9 +153,6 @@ def personal_pagerank(spark: SparkSession, sf_dir: str, seed: str = "nation:3",
     return ranks.select("node", F.round("score", 8).alias("score")).orderBy(F.desc("score"), "node").limit(limit)
 
 
-_HOPS = f"select node, min(hop)::int hop from {{r}} group by node"
-
-
 @query(f"with recursive f(node, hop) as (select 'customer:1', 0 union select b, hop + 1 from f join {_BOTH} on a = node where hop < 4), g(node, hop) as (select 'supplier:1', 0 union select b, hop + 1 from g join {_BOTH} on a = node where hop < 4), ff as (select node, min(hop) hop from f group by node), gg as (select node, min(hop) hop from g group by node), m as (select min(ff.hop + gg.hop) n from ff join gg using (node)) select node, ff.hop::int hop from ff join gg using (node), m where ff.hop + gg.hop = n")
 def shortest_path(spark: SparkSession, sf_dir: str, start: str = "customer:1", end: str = "supplier:1", hops: int = 4) -> DataFrame:
     """Nodes on the shortest undirected connections of two nodes, with their distance from the first."""
@@ -210,3 +207,63 @@ def entity_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Memories that name each entity."""
     rows = memories(spark, sf_dir).select("memory_id", F.explode(T.entities(F.col("content"))).alias("entity"))
     return rows.groupBy("entity").agg(F.count("*").alias("n"), F.countDistinct("memory_id").alias("memories"))
+
+
+@query(f"with recursive f(node, hop) as (select 'nation:3', 0 union select b, hop + 1 from f join {_BOTH} on a = node where hop < 3), g(node, hop) as (select 'region:1', 0 union select b, hop + 1 from g join {_BOTH} on a = node where hop < 3), ff as (select node, min(hop) hop from f group by node), gg as (select node, min(hop) hop from g group by node), m as (select min(ff.hop + gg.hop) n from ff join gg using (node)) select node, ff.hop::int hop from ff join gg using (node), m where ff.hop + gg.hop = n")
+def code_path(spark: SparkSession, sf_dir: str, start: str = "nation:3", end: str = "region:1") -> DataFrame:
+    """The shortest undirected connection of two uniquely named nodes."""
+    return graph.shortest(triplets(spark, sf_dir), start, end, 3)
+
+
+@query("select vec_id, i - 1 dim, round(x, 6) as value from (select vec_id, unnest(embedding::double[]) x, generate_subscripts(embedding, 1) i from embeddings where vec_id in (1, 2, 3))")
+def get_embeddings(spark: SparkSession, sf_dir: str, ids: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """The components of some vectors; the filter reaches the scan."""
+    v = vectors(spark, sf_dir).where(F.col("vec_id").isin(*ids))
+    return v.select("vec_id", F.posexplode("embedding").alias("dim", "value")).select("vec_id", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value"))
+
+
+def _resonance_sql(k: int) -> str:
+    near = "select x.vec_id, list_cosine_similarity(x.e, s) score from x, {s} where x.vec_id <> " + str(R.PROBE)
+    sql = f"with x as (select vec_id, embedding::double[] e from embeddings), s0 as (select e s from x where vec_id = {R.PROBE})"
+    for i in (1, 2):
+        best = f"select vec_id from ({near.format(s=f's{i - 1}')}) order by round(score, 6) desc, vec_id limit {k}"
+        sql += f""", d{i} as (select k, avg(v) m from (select unnest(e) v, generate_subscripts(e, 1) k from x where vec_id in ({best})) group by k),
+        u{i} as (select k, 0.7::double * q.v + 0.3::double * m v from d{i} join (select unnest(s) v, generate_subscripts(s, 1) k from s0) q using (k)),
+        s{i} as (select list(v / n order by k) s from u{i}, (select sqrt(sum(v * v)) n from u{i}))"""
+    return sql + f" select vec_id, round(score, 5) score from ({near.format(s='s2')}) order by round(score, 6) desc, vec_id limit {k}"
+
+
+@query(_resonance_sql(10))
+def full_resonate(spark: SparkSession, sf_dir: str, probe: int = R.PROBE, k: int = 10) -> DataFrame:
+    """The vectors nearest to a question that two passes moved towards the mean of what they found."""
+    return vector.resonate(vectors(spark, sf_dir), probe, k, 2)
+
+
+@query(ORACLE_SQL["hybrid_recall"])
+def smart_recall(spark: SparkSession, sf_dir: str, question: str = R.QUESTION, probe: int = R.PROBE) -> DataFrame:
+    """Keyword lane for what looks like code, all lanes for the rest."""
+    if any(c in question for c in "()_/#.") or "::" in question or "->" in question:
+        return R.keyword_bm25(spark, sf_dir, question)
+    return hybrid_recall(spark, sf_dir, question, probe)
+
+
+@query(R.top_sql(R.bm25_sql(R.QUESTION), 20))
+def routed_recall(spark: SparkSession, sf_dir: str, route: str = "keyword", **asked: object) -> DataFrame:
+    """A structured request, sent to its lane."""
+    lanes = {"keyword": R.keyword_bm25, "hybrid": hybrid_recall, "lenses": structured_recall, "recall": R.recall}
+    return lanes[route](spark, sf_dir, **asked)
+
+
+@query(f"select memory_id, round(sum(1.0::double / (60 + rank)), 9) score from ({R._LANES} union all select memory_id, rank, 'time' from ({R.top_sql(_TIMED, 20)})) group by memory_id")
+def recall_smart(spark: SparkSession, sf_dir: str, **asked: object) -> DataFrame:
+    """Lanes of meaning, words and time fused; the planner is a rule."""
+    spoken = table(spark, sf_dir, "events").groupBy(F.get_json_object("props", "$.k").cast("long").alias("memory_id")).agg(F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("score"))
+    spoken = lexical.top(spoken.join(memories(spark, sf_dir).select("memory_id"), "memory_id", "left_semi"), 20)
+    return fusion.rrf({**R._lanes(spark, sf_dir, R.DEPTH, **asked), "time": spoken}).select("memory_id", "score")
+
+
+@query(f"select 'memory ' || b.memory_id || ' (' || s.kind || ', ' || s.status || ')' as line, b.rank from ({_BEST}) b join {_SHELF} s using (memory_id) where b.rank <= 5")
+def ask(spark: SparkSession, sf_dir: str, **asked: object) -> DataFrame:
+    """An answer by template from the five best hits."""
+    hits = _shelf(spark, sf_dir).join(F.broadcast(_best(spark, sf_dir, **asked).where("rank <= 5").select("memory_id", "rank")), "memory_id")
+    return hits.select(F.format_string("memory %d (%s, %s)", "memory_id", "kind", "status").alias("line"), "rank")

@@ -168,5 +168,30 @@ sql("correction_check", "Corrections whose trigger (two successive words) recurs
 sql("recall_last_action_of", "Last occurrences of a tool on an entity.", "select event_id, session from {tape} where tool = :tool and entity = :entity order by us desc, event_id desc limit 5", tool="view", entity=5)
 sql("recall_hdcbind", "What fills a role, given another's filler: tools of an entity, by conditional frequency.", "select tool as filler, count(*) as n, round(count(*) / cast(t.total as double), 6) as p from {tape} cross join (select count(*) as total from {tape} where entity = :entity) t where entity = :entity group by tool, t.total", entity=5)
 sql("recall_true_counterfactual", "Decisions in which an entity was considered (viewed) in the session and another one bought.", "select distinct v.session, v.entity as rejected, p.entity as taken from {tape} v join {tape} p on p.session = v.session and p.tool = 'purchase' and p.us > v.us and p.us <= v.us + 3600000000 where v.tool = 'view' and v.entity <> p.entity")
-sql("export_seed", "Memories by kind as seed rows.", "select kind, memory_id, md5(content) as content_md5 from {memories}")
-sql("wiki_backlinks", "Pages of memories with the number of other memories of the same realm and kind that link to them by content.", "select a.memory_id, count(b.memory_id) as backlinks from {memories} a left join {memories} b on md5(a.content) = md5(b.content) and a.memory_id <> b.memory_id group by a.memory_id")
+sql("export_soul", "Memories by kind as seed rows.", "select kind, memory_id, md5(content) as content_md5 from {memories}")
+sql("wiki_export", "Pages of memories with the number of other memories of the same realm and kind that link to them by content.", "select a.memory_id, count(b.memory_id) as backlinks from {memories} a left join {memories} b on md5(a.content) = md5(b.content) and a.memory_id <> b.memory_id group by a.memory_id")
+
+# Code symbols: parts stand for them (name, type as kind, brand as file).
+sql("search_symbols", "Symbols whose name holds a word, of a kind.", "select p_partkey as symbol, p_name as name, p_brand as file from {part} where lower(p_name) like '%' || :word || '%' and p_type = :kind", word="ring", kind="ECONOMY")
+sql("code_context", "Symbols of each file and kind.", "select p_brand as file, p_type as kind, count(*) as n from {part} group by p_brand, p_type")
+sql("read_symbol", "A symbol by name and kind.", "select p_partkey as symbol, p_name as name, p_type as kind, p_brand as file, p_size as line from {part} where p_name = :called and (:kind = '' or p_type = :kind)", called="red widget", kind="")
+sql("read_function", "A symbol of the kind that functions have.", "select p_partkey as symbol, p_name as name, p_brand as file, p_size as line from {part} where p_name = :called and p_type = 'ECONOMY'", called="red widget")
+_HIT = "case when ' ' || lower(p_name) || ' ' like '% ' || :one || ' %' then 8.0 else 0.0 end + case when lower(p_type) like '%' || :one || '%' then 2.0 else 0.0 end"
+_HITS = f"select p_partkey, p_name, {_HIT} as a, {_HIT.replace(':one', ':two')} as b from {{part}}"
+sql(
+    "code_query",
+    "Symbols ranked by BM25 over names (weight 8) and kinds (weight 2) for two words.",
+    f"select p_partkey as symbol, p_name as name, round(ln(1 + (n - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2) + ln(1 + (n - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2), 6) as score from ({_HITS}) h cross join (select cast(count(*) as double) as n, cast(sum(case when a > 0 then 1 else 0 end) as double) as da, cast(sum(case when b > 0 then 1 else 0 end) as double) as db from ({_HITS}) x) s where a + b > 0 order by score desc, symbol limit 20",
+    one="ring",
+    two="standard",
+)
+sql("triplets", "Triplets of one predicate and object.", "select subject, predicate, object, weight from {triplets} where predicate = :predicate and object = :object", predicate="in_nation", object="nation:3")
+sql("ssl_convert", "Memories in bracketed notation: kind, title of 80 characters, number of what follows.", "select memory_id, '[' || kind || '] ' || substring(content, 1, 80) || ' (+' || cast(greatest(length(content) - 80, 0) as varchar(20)) || ')' as line from {memories}")
+sql("recall_motif_value", "Motifs that begin with a tool, by the outcome of the event after them.", "select before || '>' || tool as motif, count(*) as n, round((avg(1.0 - 2.0 * after) + 1) / 2, 6) as q from (select tool, lag(tool) over (partition by session order by us, event_id) as before, lead(failed) over (partition by session order by us, event_id) as after from {tape}) s where before = :tool and after is not null group by before || '>' || tool", tool="view")
+sql("prompt_context", "The prompt's admitted memories with a running budget of a quarter of their characters.", "select memory_id, cast(sum(cost) over (order by memory_id rows between unbounded preceding and current row) as bigint) as spent from (select memory_id, cast(floor(length(content) / 4.0) as bigint) as cost, row_number() over (partition by md5(substring(content, 1, 80)) order by memory_id) as copy, row_number() over (partition by realm order by confidence desc, memory_id) as round_ from {shelf} where confidence >= 0.3) a where copy = 1 and round_ = 1")
+sql(
+    "compact_context",
+    "Turns of each session that stay within a share of its characters: system turns always, the rest by role and how recent they are.",
+    "select session, turn from (select session, turn, role, total, sum(cost) over (partition by session order by case when role = 'system' then 0 else 1 end, weight desc, turn rows between unbounded preceding and current row) as spent from (select session, turn, role, cost, sum(cost) over (partition by session) as total, case role when 'user' then 1.0 when 'assistant' then 0.8 when 'tool' then 0.5 else 0.6 end * (0.1 + 0.9 * case when n > 1 then i / cast(n - 1 as double) else 0.0 end) as weight from (select session, turn, role, floor(length(text) / 4.0) as cost, row_number() over (partition by session order by turn) - 1 as i, count(*) over (partition by session) as n from {turns}) a) b) c where role = 'system' or spent <= total * :ratio",
+    ratio=0.4,
+)

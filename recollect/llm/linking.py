@@ -23,6 +23,7 @@ from recollect.llm.common import components, cut, release
 
 MANY = 8  #: items from which on a bucket gets a leader
 ROUNDS = 5  #: leaders that a bucket gets at most before the rest is compared member by member
+FIRST = 2  #: times that one pair of each item is confirmed, before all that still join two components are
 FEW = 20_000_000  #: comparisons of sketches that are few enough to be made without another leader
 
 
@@ -67,11 +68,28 @@ def link(shared: DataFrame, items: DataFrame, near: Callable[[str, str], Column]
         pairs = pairs.where(F.element_at(F.array_intersect("l.bands", "r.bands"), 1) == F.col("l.band"))
     pairs = cut(pairs.select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).distinct())
     release(rest, sized, open_)
+    # One pair of each item first: most pairs that are near are links, and then the others of a group needn't be confirmed.
+    for _ in range(FIRST):
+        firsts = cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+        found = _more(found, confirm(firsts))
+        ends = pairs if found is None else _between(pairs, found)
+        watched = Observation()
+        former, pairs = pairs, cut(ends.join(firsts, ["a", "b"], "left_anti"), watched, F.count("*").alias("n"))
+        release(former, firsts)
+        if not watched.get["n"]:
+            release(pairs)
+            return found
     found = _more(found, confirm(pairs))
     release(pairs)
     return found
 
 
+def _between(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose items aren't in one component yet."""
+    a, b = (found.select(F.col("id").alias(x), F.col("component").alias(f"own_{x}")) for x in "ab")
+    return pairs.join(a, "a", "left").join(b, "b", "left").where("coalesce(own_a, a) <> coalesce(own_b, b)").select("a", "b")
+
+
 def _nearby(pairs: DataFrame, items: DataFrame, near: Callable[[str, str], Column]) -> DataFrame:
     """The pairs (a, b) that meet the cheap condition."""
     both = pairs.join(items.alias("l"), F.col("a") == F.col("l.rep")).join(items.alias("r"), F.col("b") == F.col("r.rep"))

@@ -42,10 +42,10 @@ QUESTION_WORDS = "When What Where Who How Why Which Would Could Should Did Does
 
 def lex_tokens(text: Column | str) -> Column:
     """Distinct lower-case tokens of ASCII letters, digits, - and _, with the parts of glued ones; 3 characters at least."""
-    glued = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_-]+"), F.lit(0))
-    parts = F.flatten(F.transform(glued, lambda t: F.split(t, "[-_]")))
-    stop = F.array(*map(F.lit, LEX_STOP))
-    return F.array_except(F.array_distinct(F.filter(F.concat(glued, parts), lambda t: F.length(t) >= 3)), stop)
+    low = F.lower(text)
+    # The parts of a token between - and _ are the runs of letters and digits; runs of fewer than 3 never match.
+    glued, parts = (F.regexp_extract_all(low, F.lit(p), F.lit(0)) for p in ("[a-z0-9_-]{3,}", "[a-z0-9]{3,}"))
+    return F.array_except(F.array_union(glued, parts), F.array(*map(F.lit, LEX_STOP)))
 
 
 def python_lex_tokens(text: str) -> list[str]:
@@ -98,4 +98,4 @@ def entities(text: Column) -> Column:
 
 def token_estimate(text: Column) -> Column:
     """Words times 1.3, as a whole number."""
-    return F.floor(F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")) * F.lit(1.3)).cast("long")
+    return F.floor(F.regexp_count(text, F.lit(r"\S+")) * F.lit(1.3)).cast("long")

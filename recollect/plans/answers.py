@@ -209,8 +209,8 @@ def entity_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("entity").agg(F.count("*").alias("n"), F.countDistinct("memory_id").alias("memories"))
 
 
-@query(f"with recursive f(node, hop) as (select 'nation:3', 0 union select b, hop + 1 from f join {_BOTH} on a = node where hop < 3), g(node, hop) as (select 'region:1', 0 union select b, hop + 1 from g join {_BOTH} on a = node where hop < 3), ff as (select node, min(hop) hop from f group by node), gg as (select node, min(hop) hop from g group by node), m as (select min(ff.hop + gg.hop) n from ff join gg using (node)) select node, ff.hop::int hop from ff join gg using (node), m where ff.hop + gg.hop = n")
-def code_path(spark: SparkSession, sf_dir: str, start: str = "nation:3", end: str = "region:1") -> DataFrame:
+@query(f"with recursive f(node, hop) as (select 'nation:1', 0 union select b, hop + 1 from f join {_BOTH} on a = node where hop < 3), g(node, hop) as (select 'nation:6', 0 union select b, hop + 1 from g join {_BOTH} on a = node where hop < 3), ff as (select node, min(hop) hop from f group by node), gg as (select node, min(hop) hop from g group by node), m as (select min(ff.hop + gg.hop) n from ff join gg using (node)) select node, ff.hop::int hop from ff join gg using (node), m where ff.hop + gg.hop = n")
+def code_path(spark: SparkSession, sf_dir: str, start: str = "nation:1", end: str = "nation:6") -> DataFrame:
     """The shortest undirected connection of two uniquely named nodes."""
     return graph.shortest(triplets(spark, sf_dir), start, end, 3)
 

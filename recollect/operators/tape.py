@@ -81,17 +81,17 @@ def outcomes(injected: DataFrame, outcomes_: DataFrame, seconds: int) -> DataFra
     """item, injections, successes, failures, score: each injection's verdict from the outcomes of its session within a window behind it.
 
     injected is event_id, session, item, ts; outcomes_ is session, ts, exit_code (null if unknown), flagged. All known
-    codes 0 and nothing flagged is a success, anything else that is known or flagged a failure; nothing known is no
-    verdict. The window's length gives buckets, so the interval join is an equi-join on session and bucket.
+    codes 0 and nothing flagged is a success; a code other than 0 of either sign, or a flag, is a failure; nothing known is
+    no verdict. The window's length gives buckets, so the interval join is an equi-join on session and bucket.
     """
     bucket = lambda c: F.floor(micros(c) / (seconds * 1_000_000)).cast("long")
     left = injected.select("event_id", "session", "item", F.col("ts").alias("t0"), F.explode(F.array(bucket(F.col("ts")), bucket(F.col("ts")) + 1)).alias("bucket"))
     right = outcomes_.select("session", F.col("ts").alias("t1"), "exit_code", "flagged", bucket(F.col("ts")).alias("bucket"))
     gap = micros(F.col("t1")) - micros(F.col("t0"))
     hit = left.join(right, ["session", "bucket"]).where((gap >= 0) & (gap <= seconds * 1_000_000))
-    seen = hit.groupBy("event_id").agg(F.count("exit_code").alias("known"), F.coalesce(F.max("exit_code"), F.lit(0)).alias("worst"), F.bool_or("flagged").alias("flagged"))
+    seen = hit.groupBy("event_id").agg(F.count("exit_code").alias("known"), F.count_if(F.col("exit_code") != 0).alias("nonzero"), F.bool_or("flagged").alias("flagged"))
     verdicts = injected.select("event_id", "item").join(seen, "event_id", "left")
-    bad = (F.col("worst") > 0) | F.col("flagged")
+    bad = (F.col("nonzero") > 0) | F.col("flagged")
     good = (F.col("known") > 0) & ~bad
     by = verdicts.groupBy("item").agg(F.count("*").alias("injections"), F.count_if(F.coalesce(good, F.lit(False))).alias("successes"), F.count_if(F.coalesce(bad, F.lit(False))).alias("failures"))
     score = F.greatest(F.lit(0.0), wilson(F.col("successes"), F.col("successes") + F.col("failures")))

@@ -161,7 +161,6 @@ sql("resonance_stats", "Mean and variance of each arm's Beta posterior.", "selec
 sql("hypothesis_probes", "Rules whose outcome is least certain: the widest Wilson interval, then p nearest one half.", "select before, tool, n, round(2 * 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4.0 * n * n)) / (1 + 1.96 * 1.96 / n), 6) as width from (select before, tool, cast(count(*) as double) as n, avg(1.0 - failed) as p from (select tool, failed, lag(tool) over (partition by session order by us, event_id) as before from {tape}) b where before is not null group by before, tool) r order by width desc, before, tool limit 10")
 sql("theme_get", "One theme's members.", "select vec_id from {marks} where label = :label", label=3)
 sql("show_conflicts", "Memories with a contradicted one of the same content.", "select a.memory_id, b.memory_id as partner from {shelf} a join {shelf} b on md5(a.content) = md5(b.content) and a.memory_id <> b.memory_id where a.status = 'active' and b.status = 'contradicted'")
-sql("span_stats", "Size of the span lane: hex strings and addresses of mail.", "select count(distinct doc) as memories, count(*) as n, cast(sum(length(atom)) as bigint) as chars from (select memory_id as doc, content as atom from {memories} where content like '%AKIA%' or content like '%@%.%') a")
 sql("recall_temporal_events", "Memories that events of a time window touch, by number of events.", f"select m.memory_id, count(*) as n from {{tape}} t cross join {NOW} n join {{memories}} m on m.memory_id = t.entity where t.us >= n.now - :days * {DAY_US} group by m.memory_id", days=7)
 sql("recall_temporal", "Memories created in the last days: created at the first event on them.", f"select m.memory_id, c.us as created_us from {{memories}} m join (select entity, min(us) as us from {{tape}} group by entity) c on c.entity = m.memory_id cross join {NOW} n where c.us >= n.now - :days * {DAY_US}", days=30)
 sql("correction_check", "Corrections whose trigger (two successive words) recurs in a text.", "select distinct c.memory_id from {shelf} c where c.status = 'contradicted' and lower(c.content) like '%' || :bigram || '%'", bigram="of the")
@@ -186,7 +185,6 @@ sql(
     two="standard",
 )
 sql("triplets", "Triplets of one predicate and object.", "select subject, predicate, object, weight from {triplets} where predicate = :predicate and object = :object", predicate="in_nation", object="nation:3")
-sql("ssl_convert", "Memories in bracketed notation: kind, title of 80 characters, number of what follows.", "select memory_id, '[' || kind || '] ' || substring(content, 1, 80) || ' (+' || cast(greatest(length(content) - 80, 0) as varchar(20)) || ')' as line from {memories}")
 sql("recall_motif_value", "Motifs that begin with a tool, by the outcome of the event after them.", "select before || '>' || tool as motif, count(*) as n, round((avg(1.0 - 2.0 * after) + 1) / 2, 6) as q from (select tool, lag(tool) over (partition by session order by us, event_id) as before, lead(failed) over (partition by session order by us, event_id) as after from {tape}) s where before = :tool and after is not null group by before || '>' || tool", tool="view")
 sql("prompt_context", "The prompt's admitted memories with a running budget of a quarter of their characters.", "select memory_id, cast(sum(cost) over (order by memory_id rows between unbounded preceding and current row) as bigint) as spent from (select memory_id, cast(floor(length(content) / 4.0) as bigint) as cost, row_number() over (partition by md5(substring(content, 1, 80)) order by memory_id) as copy, row_number() over (partition by realm order by confidence desc, memory_id) as round_ from {shelf} where confidence >= 0.3) a where copy = 1 and round_ = 1")
 sql(

@@ -105,19 +105,20 @@ def td_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.credit(tape(spark, sf_dir))
 
 
-_OUT = f"(select *, case tool when 'purchase' then 0 when 'error' then 1 end exit_code, tool = 'click' and cost > 95 flagged from {_TAPE} where tool in ('purchase', 'error', 'click'))"
+_OUT = f"(select *, case when tool = 'purchase' then 0 when tool = 'error' and entity % 2 = 0 then -9 when tool = 'error' then 1 end exit_code, tool = 'click' and cost > 95 flagged from {_TAPE} where tool in ('purchase', 'error', 'click'))"
 
 
 @query(
-    f"""with v as (select a.event_id, a.entity, count(b.event_id) filter (b.exit_code is not null) known, coalesce(max(b.exit_code), 0) worst, coalesce(bool_or(b.flagged), false) flagged
+    f"""with v as (select a.event_id, a.entity, count(b.event_id) filter (b.exit_code is not null) known, count(*) filter (b.exit_code <> 0) worst, coalesce(bool_or(b.flagged), false) flagged
     from (select * from {_TAPE} where tool = 'view') a left join {_OUT} b on a.session = b.session and b.ts >= a.ts and b.ts <= a.ts + interval 6 hour group by a.event_id, a.entity),
     c as (select entity item, count(*) injections, count(*) filter (known + flagged::int > 0 and worst = 0 and not flagged) successes, count(*) filter (worst > 0 or flagged) failures from v group by entity)
     select item, injections, successes, failures, round(greatest(0.0, {_wilson_sql('successes', '(successes + failures)', 1.96)}), 6) score from c"""
 )
 def outcome_credit(spark: SparkSession, sf_dir: str, hours: int = 6) -> DataFrame:
-    """One verdict for each injection (view) of an item from the outcomes within some hours: purchases exit with 0, errors with 1, clicks without a code."""
+    """One verdict for each injection (view) of an item from the outcomes within some hours: purchases exit with 0, errors with 1 or by a signal, clicks without a code."""
     t = tape(spark, sf_dir)
-    known = F.when(F.col("tool") == "purchase", 0).when(F.col("tool") == "error", 1)
+    killed = F.when(F.col("entity") % 2 == 0, -9).otherwise(1)
+    known = F.when(F.col("tool") == "purchase", 0).when(F.col("tool") == "error", killed)
     outcomes = t.where("tool in ('purchase', 'error', 'click')").select("session", "ts", known.alias("exit_code"), ((F.col("tool") == "click") & (F.col("cost") > 95)).alias("flagged"))
     return ops.outcomes(t.where("tool = 'view'").withColumn("item", F.col("entity")), outcomes, hours * 3600)
 

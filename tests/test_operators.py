@@ -68,9 +68,14 @@ def test_wilson_bounds(spark):
 
 
 def test_outcomes_against_all_pairs(spark):
-    shown = [(1, 7, "2024-01-01 00:00:00"), (1, 8, "2024-01-01 00:00:50"), (2, 7, "2024-01-01 00:00:00")]
-    done = [(1, "2024-01-01 00:01:00", 0), (1, "2024-01-01 00:01:01", 1), (2, "2024-01-01 00:00:00", 1)]
-    a = spark.createDataFrame(shown, "session long, item long, ts string").withColumn("ts", F.to_timestamp("ts"))
-    b = spark.createDataFrame(done, "session long, ts string, failed int").withColumn("ts", F.to_timestamp("ts"))
-    found = {r.item: (r.n, r.successes) for r in tape.outcomes(a, b, 60).collect()}
-    assert found == {7: (2, 1), 8: (2, 1)}
+    shown = [(0, 1, 7, "2024-01-01 00:00:00"), (1, 1, 8, "2024-01-01 00:00:50"), (2, 2, 7, "2024-01-01 00:00:00"), (3, 3, 9, "2024-01-01 00:00:00"), (4, 4, 9, "2024-01-01 00:00:00"), (5, 5, 9, "2024-01-01 00:00:00")]
+    done = [(1, "2024-01-01 00:01:00", 0, False), (1, "2024-01-01 00:01:01", 1, False), (2, "2024-01-01 00:00:00", 1, False), (3, "2024-01-01 00:00:05", -9, False), (3, "2024-01-01 00:00:06", 0, False), (4, "2024-01-01 00:00:05", 0, None), (5, "2024-01-01 00:00:05", None, None)]
+    a = spark.createDataFrame(shown, "event_id long, session long, item long, ts string").withColumn("ts", F.to_timestamp("ts"))
+    b = spark.createDataFrame(done, "session long, ts string, exit_code int, flagged boolean").withColumn("ts", F.to_timestamp("ts"))
+    want = {}
+    for e, s, item, t in shown:
+        hits = [(c, f) for s1, t1, c, f in done if s1 == s and 0 <= int(t1[-2:]) + 60 * int(t1[-5:-3]) - int(t[-2:]) - 60 * int(t[-5:-3]) <= 60]
+        bad, known = any(c not in (None, 0) or f for c, f in hits), any(c is not None for c, _ in hits)
+        n, good, fails = want.get(item, (0, 0, 0))
+        want[item] = (n + 1, good + (known and not bad), fails + bad)
+    assert {r["item"]: (r.injections, r.successes, r.failures) for r in tape.outcomes(a, b, 60).collect()} == want == {7: (2, 1, 1), 8: (1, 0, 1), 9: (3, 1, 1)}

@@ -89,7 +89,7 @@ def outcomes(injected: DataFrame, outcomes_: DataFrame, seconds: int) -> DataFra
     right = outcomes_.select("session", F.col("ts").alias("t1"), "exit_code", "flagged", bucket(F.col("ts")).alias("bucket"))
     gap = micros(F.col("t1")) - micros(F.col("t0"))
     hit = left.join(right, ["session", "bucket"]).where((gap >= 0) & (gap <= seconds * 1_000_000))
-    seen = hit.groupBy("event_id").agg(F.count("exit_code").alias("known"), F.count_if(F.col("exit_code") != 0).alias("nonzero"), F.bool_or("flagged").alias("flagged"))
+    seen = hit.groupBy("event_id").agg(F.count("exit_code").alias("known"), F.count_if(F.col("exit_code") != 0).alias("nonzero"), F.coalesce(F.bool_or("flagged"), F.lit(False)).alias("flagged"))
     verdicts = injected.select("event_id", "item").join(seen, "event_id", "left")
     bad = (F.col("nonzero") > 0) | F.col("flagged")
     good = (F.col("known") > 0) & ~bad

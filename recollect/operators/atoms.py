@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recollect.functions.text import python_lex_tokens
+from recollect.sources.files import listing, place, remove
 
 #: Class of atom: pattern, and what a line must hold to be looked at. The first group, if there is one, is the atom.
 CLASSES: dict[str, tuple[str, str]] = {
@@ -33,6 +34,7 @@ CLASSES: dict[str, tuple[str, str]] = {
 }
 SECRET = r"(?i)((?:password|passwd|secret|token|api_?key)\s*[=:]\s*)(\S+)"
 ROWS_OF_A_BUCKET = 2_000_000
+FILES = "origin string, path string, state string, batch string, buckets int"
 ROWS = "origin string, memory_id long, realm string, class string, atom string, n long, line int, redacted boolean, file string"
 
 
@@ -59,43 +61,31 @@ def extract(rows: DataFrame) -> DataFrame:
     return atoms.groupBy(*others, "class", "atom").agg(F.count("*").alias("n"), F.min("line").alias("line"), F.bool_or("redacted").alias("redacted"))
 
 
-def _place(path: Column) -> Column:
-    """A path in the one form that listings and file columns share."""
-    return F.regexp_replace(path, "^([a-z0-9+.-]+):/+", "$1:/")
-
-
-def _files(spark: SparkSession, root: str) -> dict[str, str]:
-    """Path and state of the files that a Parquet table consists of, from their listing alone."""
-    conf = spark._jsc.hadoopConfiguration()
-    found = {}
-    for path in spark.read.parquet(root).inputFiles():
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        status = place.getFileSystem(conf).getFileStatus(place)
-        found[re.sub("^([a-z0-9+.-]+):/+", r"\1:/", path)] = f"{status.getModificationTime()}-{status.getLen()}"
-    return found
-
-
 class AtomIndex:
     """The index in a folder that all executors share."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self._known: list[tuple[str, str, str, str, int]] | None = None
 
     def _versions(self) -> list[str]:
-        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/files")
-        fs = place.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        names = [x.getPath() for x in fs.listStatus(place)] if fs.exists(place) else []
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/files")
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [x.getPath() for x in fs.listStatus(at)] if fs.exists(at) else []
         done = [x.getName() for x in names if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
         return sorted(done)
 
     def _valid(self) -> list[tuple[str, str, str, str, int]]:
         """(origin, path, state, batch, buckets) of the files that count: as many rows as files."""
-        versions = self._versions()
-        return [tuple(r) for r in self.spark.read.parquet(f"{self.folder}/files/{versions[-1]}").collect()] if versions else []
+        if self._known is None:
+            versions = self._versions()
+            self._known = [tuple(r) for r in self.spark.read.schema(FILES).parquet(f"{self.folder}/files/{versions[-1]}").collect()] if versions else []
+        return self._known
 
     def update(self, origin: str, root: str, read: Callable[[DataFrame], DataFrame]) -> int:
         """Bring the index up to date with a table; read makes memory_id, realm and text of its rows. Returns how many files were read."""
-        now, valid = _files(self.spark, root), self._valid()
+        self._known = None  # another session may have brought it up to date
+        now, valid = {path: state for path, (state, _) in listing(self.spark.read.parquet(root)).items()}, self._valid()
         kept = [r for r in valid if r[0] != origin or now.get(r[1]) == r[2]]
         new = sorted(set(now) - {r[1] for r in kept if r[0] == origin})
         if not new and len(kept) == len(valid):
@@ -103,7 +93,7 @@ class AtomIndex:
         batch = uuid.uuid4().hex
         buckets = 1
         if new:
-            table = self.spark.read.parquet(*new).withColumn("_file", _place(F.col("_metadata.file_path")))
+            table = self.spark.read.parquet(*new).withColumn("_file", place(F.col("_metadata.file_path")))
             rows = read(table).select("memory_id", F.coalesce("realm", F.lit("")).alias("realm"), "text", F.col("_file").alias("file"))
             found = extract(rows).select(F.lit(origin).alias("origin"), "memory_id", "realm", "class", "atom", "n", "line", "redacted", "file")
             plain = f"{self.folder}/found/{batch}"
@@ -114,11 +104,11 @@ class AtomIndex:
                 dealt = found.withColumn("bucket", F.pmod(key, F.lit(buckets)).cast("int"))
                 # Rows of a frequent atom share a bucket's folder but not a task.
                 dealt.repartition(4 * buckets, "bucket", F.pmod("memory_id", F.lit(4))).sortWithinPartitions("class", "atom").write.partitionBy("bucket").parquet(f"{self.folder}/{layout}/{batch}")
-            place = self.spark._jvm.org.apache.hadoop.fs.Path(plain)
-            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+            remove(found, plain)
         listed = [*kept, *((origin, path, now[path], batch, buckets) for path in new)]
         version = f"{len(self._versions()):08d}-{batch}"
-        self.spark.createDataFrame(listed, "origin string, path string, state string, batch string, buckets int").coalesce(1).write.parquet(f"{self.folder}/files/{version}")
+        self.spark.createDataFrame(listed, FILES).coalesce(1).write.parquet(f"{self.folder}/files/{version}")
+        self._known = listed
         return len(new)
 
     def rows(self, origin: str | None = None, layout: str = "by_atom") -> DataFrame:
@@ -156,12 +146,17 @@ class AtomIndex:
         each = self.rows(origin).groupBy("class", "atom").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("redacted"), F.col("n")).otherwise(0)).alias("redacted"))
         return each.groupBy("class").agg(F.count("*").alias("atoms"), F.sum("n").alias("mentions"), F.sum(F.octet_length("atom")).cast("long").alias("bytes"), F.sum("redacted").alias("redacted"))
 
-    def shared(self, anchors: DataFrame, n: Column, partners: int, origin: str | None = None) -> DataFrame:
-        """anchor, memory_id, w: for each anchor (memory_id, of which there are few) the memories that share its atoms, the rarest counting most."""
+    def partners(self, anchors: DataFrame, n: DataFrame, most: int, origin: str | None = None) -> DataFrame:
+        """anchor, memory_id, w, place: for each anchor (memory_id, of which there are few) the memories that share its atoms, the rarest
+        counting most, and the place of each among them. n is one row with the number of memories."""
         own = self.rows(origin, "by_memory").join(F.broadcast(anchors.select("memory_id")), "memory_id").select(F.col("memory_id").alias("anchor"), "class", "atom").distinct()
-        mine = self.rows(origin).join(own.select("class", "atom").distinct(), ["class", "atom"])
-        df = mine.groupBy("class", "atom").agg(F.countDistinct("memory_id").alias("df"))
-        met = mine.join(own.join(df, ["class", "atom"]), ["class", "atom"]).where("memory_id <> anchor")
-        weights = met.groupBy("anchor", "memory_id").agg(F.sum(F.log(n / F.col("df"))).alias("w"))
-        place = F.row_number().over(Window.partitionBy("anchor").orderBy(F.desc("w"), "memory_id"))
-        return weights.withColumn("place", place).where(F.col("place") <= partners).drop("place")
+        return weighed(own, self.rows(origin).select("memory_id", "class", "atom").distinct(), n, most)
+
+
+def weighed(own: DataFrame, every: DataFrame, n: DataFrame, most: int) -> DataFrame:
+    """partners() of anchors with their atoms (anchor, class, atom) among all memories with theirs (memory_id, class, atom)."""
+    met = every.join(own, ["class", "atom"])
+    df = met.groupBy("class", "atom").agg(F.countDistinct("memory_id").alias("df"))
+    weights = met.where("memory_id <> anchor").join(df, ["class", "atom"]).join(F.broadcast(n)).groupBy("anchor", "memory_id").agg(F.round(F.sum(F.log(F.col("n") / F.col("df"))), 9).alias("w"))
+    at = F.row_number().over(Window.partitionBy("anchor").orderBy(F.desc("w"), "memory_id"))
+    return weights.withColumn("place", at).where(F.col("place") <= most)

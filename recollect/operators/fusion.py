@@ -38,8 +38,8 @@ def calibrated(cosine: F.Column) -> F.Column:
     return 1 / (1 + F.exp(-(3.27 * cosine - 0.85)))
 
 
-def prefilter(ranked: DataFrame, limit: int, budget: int) -> DataFrame:
-    """Of ranked rows (rank, score, lexical, near, realm, kind) those worth rescoring, at most budget.
+def prefilter(ranked: DataFrame, limit: int, budget: int, on: F.Column | None = None) -> DataFrame:
+    """Of ranked rows (rank, score, lexical, near, realm, kind) those worth rescoring, at most budget; all of them where on is false.
 
     near says that a row is a neighbour of one of the first three. Windows are over one query's rows.
     """
@@ -47,11 +47,13 @@ def prefilter(ranked: DataFrame, limit: int, budget: int) -> DataFrame:
     head = F.collect_set(F.when(F.col("rank") <= 5, F.struct("realm", "kind"))).over(every)
     like = F.array_contains(head, F.struct("realm", "kind"))
     keep = (F.col("rank") <= limit) | F.col("lexical") | F.col("near") | ((F.col("score") >= F.max("score").over(every) / 2) & like)
-    rows = ranked.withColumn("_keep", keep).where("_keep").drop("_keep")
-    return rows.withColumn("place", F.row_number().over(Window.orderBy("rank")).cast("long")).where(F.col("place") <= budget)
+    off = F.lit(False) if on is None else ~on
+    rows = ranked.withColumn("_off", off).withColumn("_keep", keep | off).where("_keep").drop("_keep")
+    rows = rows.withColumn("place", F.row_number().over(Window.orderBy("rank")).cast("long"))
+    return rows.where((F.col("place") <= budget) | F.col("_off")).drop("_off")
 
 
-def diversify(ranked: DataFrame, n: int, balance: float = 0.7) -> DataFrame:
+def diversify(ranked: DataFrame, n: int, balance: float = 0.7, key: str = "string") -> DataFrame:
     """memory_id, place: greedy selection by balance * score - (1 - balance) * largest token Jaccard with those taken.
 
     Greedy over one query's candidates, of which lanes leave at most 160.
@@ -71,4 +73,4 @@ def diversify(ranked: DataFrame, n: int, balance: float = 0.7) -> DataFrame:
             taken.append(best)
         return pd.DataFrame({"query": rows["query"].iloc[0], "memory_id": [t[1] for t in taken], "place": range(1, len(taken) + 1)})
 
-    return ranked.groupBy("query").applyInPandas(pick, "query string, memory_id long, place int")
+    return ranked.groupBy("query").applyInPandas(pick, f"query {key}, memory_id long, place int")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from recollect.sources.files import remove
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, as spark.checkpoint.dir names it; one of our own only on a local master."""
@@ -21,10 +26,27 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder, so a round doesn't recompute those before it."""
-    path = f"{shared_folder(df.sparkSession)}/round-{uuid.uuid4().hex}"
+    """df as a table in the shared folder, so a round doesn't recompute those before it. It is removed by unsettle(), or when Python ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    if not _WRITTEN:
+        atexit.register(lambda: [unsettle(x) for x in list(_WRITTEN.values())])
+    found.settled_at = path
+    _WRITTEN[path] = found
+    return found
+
+
+_WRITTEN: dict[str, DataFrame] = {}
+
+
+def unsettle(*frames: DataFrame) -> None:
+    """Remove what settled() wrote for frames that nothing reads any more."""
+    for df in frames:
+        if _WRITTEN.pop(getattr(df, "settled_at", ""), None) is not None:
+            with contextlib.suppress(OSError, Py4JError):  # at exit the session may have ended before
+                remove(df, df.settled_at)
 
 
 def bfs(edges: DataFrame, start: str, hops: int = 3, direction: str = "both", predicate: str | None = None) -> DataFrame:
@@ -66,7 +88,9 @@ def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 20, seed
     ranks = nodes.withColumn("score", own(1.0 / n if n else 0.0, 1.0))
     for _ in range(iterations):
         got = links.join(ranks, F.col("a") == F.col("node")).groupBy(F.col("b").alias("node")).agg(F.sum(F.col("score") / F.col("degree")).alias("s"))
-        ranks = settled(got.select("node", (own((1 - damping) / max(1, n), 1 - damping) + damping * F.col("s")).alias("score")))
+        former, ranks = ranks, settled(got.select("node", (own((1 - damping) / max(1, n), 1 - damping) + damping * F.col("s")).alias("score")))
+        unsettle(former)
+    unsettle(links)
     return ranks
 
 
@@ -77,7 +101,9 @@ def label_propagation(edges: DataFrame, iterations: int = 6) -> DataFrame:
     best = Window.partitionBy("node").orderBy(F.desc("n"), "label")
     for _ in range(iterations):
         votes = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node"), "label").agg(F.count("*").alias("n"))
-        labels = settled(votes.withColumn("r", F.row_number().over(best)).where("r = 1").select("node", "label"))
+        former, labels = labels, settled(votes.withColumn("r", F.row_number().over(best)).where("r = 1").select("node", "label"))
+        unsettle(former)
+    unsettle(both)
     return labels
 
 

@@ -1,13 +1,14 @@
 """Keyword retrieval: an index of postings written once, BM25 from the postings of a query's terms, term overlap.
 
-The index lies in the shared folder: postings (term, memory_id, tf, len), partitioned by a hash of the term, and one
-row of statistics. A query reads the partitions of its terms only; texts are tokenised when the index is written, not when
+The index lies in the shared folder: postings (term, memory_id, tf, len), partitioned by a hash of the term, the
+fingerprint of every text, and one row of statistics. A query reads the partitions of its terms only; texts are tokenised when the index is written, not when
 it is asked. The index of a table is written again when the table's files change.
 """
 
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,35 +19,36 @@ from pyspark.sql import functions as F
 
 from recollect.functions.text import lex_tokens, python_lex_tokens, python_words, words
 from recollect.operators.graph import shared_folder
+from recollect.sources.files import listing
 
 K1, B = 1.2, 0.75
-BUCKETS = 64  #: partitions of the postings
+LEAST_BUCKETS, BUCKET_BYTES = 64, 32 << 20  #: partitions of the postings: a bucket for so many bytes of the table
 
 
 @dataclass(frozen=True)
 class Index:
     postings: DataFrame  #: bucket, term, memory_id, tf, len
     stats: DataFrame  #: one row: n, avg_len
+    prints: DataFrame  #: memory_id, print: the MD5 of every text
     id_: str
+    buckets: int
 
 
-def _bucket(term: Column) -> Column:
-    return F.pmod(F.crc32(term), F.lit(BUCKETS)).cast("int")
-
-
-def _signature(docs: DataFrame) -> tuple:
-    """What tells one state of the table's files from another."""
-    files = docs.select("_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_size").distinct()
-    return tuple(files.agg(F.count("*"), F.max("file_modification_time").cast("string"), F.sum("file_size"), F.sum(F.crc32("file_path"))).first())
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.crc32(term), F.lit(buckets)).cast("int")
 
 
 def index(docs: DataFrame, id_: str = "memory_id", text: str = "content", table: DataFrame | None = None) -> Index:
-    """The index of docs; table, whose files docs come from, tells whether one that was written before still holds."""
+    """The index of docs; table, whose files docs come from, tells by their listing whether one that was written before still holds."""
     spark = docs.sparkSession
     known = spark.__dict__.setdefault("_recollect_indexes", {})
-    key = None if table is None else (id_, text, _signature(table))
+    files = listing(table if table is not None else docs)
+    key = None if table is None else (id_, text, tuple(sorted((path, state) for path, (state, _) in files.items())))
     if key is not None and key in known:
         return known[key]
+    buckets = LEAST_BUCKETS
+    while buckets * BUCKET_BYTES < sum(size for _, size in files.values()):
+        buckets *= 2
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,16 +64,19 @@ def index(docs: DataFrame, id_: str = "memory_id", text: str = "content", table:
     path = f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}"
     # A row holds all of a text's words, so they are counted where they are; only the counts are dealt out by term.
     rows = docs.select(F.col(id_).cast("long").alias(id_), words(F.col(text)).alias("w")).mapInArrow(counted, f"{id_} long, term string, tf long, len long")
-    rows = rows.withColumn("bucket", _bucket(F.col("term")))
+    rows = rows.withColumn("bucket", _bucket(F.col("term"), buckets))
     # A frequent term's postings are dealt over several tasks.
-    rows.repartition("bucket", F.pmod(F.col(id_), F.lit(4))).sortWithinPartitions("term").write.partitionBy("bucket").parquet(f"{path}/postings")
+    dealt = ("bucket", F.pmod(F.col(id_), F.lit(4)))
+    (rows.repartition(*dealt) if buckets == LEAST_BUCKETS else rows.repartition(4 * buckets, *dealt)).sortWithinPartitions("term").write.partitionBy("bucket").parquet(f"{path}/postings")
     postings = spark.read.schema(f"{id_} long, term string, tf long, len long, bucket int").parquet(f"{path}/postings")
     lengths = postings.groupBy(id_).agg(F.max("len").alias("len"))
+    docs.select(F.col(id_).cast("long").alias(id_), F.unhex(F.md5(text)).alias("print")).write.parquet(f"{path}/prints")
+    prints = spark.read.schema(f"{id_} long, print binary").parquet(f"{path}/prints")
     # Texts without a word have no postings, but count.
-    total = docs.agg(F.count("*").alias("n"))
+    total = prints.agg(F.count("*").alias("n"))
     stats = total.crossJoin(lengths.agg(F.coalesce(F.sum("len"), F.lit(0)).alias("words"))).select("n", (F.col("words") / F.greatest(F.col("n"), F.lit(1))).alias("avg_len"))
     stats.write.parquet(f"{path}/stats")
-    made = Index(postings, spark.read.schema("n long, avg_len double").parquet(f"{path}/stats"), id_)
+    made = Index(postings, spark.read.schema("n long, avg_len double").parquet(f"{path}/stats"), prints, id_, buckets)
     if key is not None:
         known[key] = made
     return made
@@ -85,7 +90,7 @@ def bm25_all(found: Index, queries: dict[str, str]) -> DataFrame:
     terms = sorted({t for _, t in wanted})
     if not terms:
         return found.postings.select(F.lit("").alias("query"), found.id_, F.lit(0.0).alias("score")).where(F.lit(False))
-    buckets = sorted({_python_bucket(t) for t in terms})
+    buckets = sorted({zlib.crc32(t.encode()) % found.buckets for t in terms})
     hits = found.postings.where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
     # As many rows as the queries have terms.
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
@@ -95,12 +100,6 @@ def bm25_all(found: Index, queries: dict[str, str]) -> DataFrame:
     return rows.groupBy("query", found.id_).agg(F.round(F.sum(part), 6).alias("score"))
 
 
-def _python_bucket(term: str) -> int:
-    import zlib
-
-    return zlib.crc32(term.encode()) % BUCKETS
-
-
 def bm25(found: Index, query: str) -> DataFrame:
     """id, score of every document that holds a query term."""
     return bm25_all(found, {"": query}).select(found.id_, "score")
@@ -120,6 +119,11 @@ def term_overlap(text: Column, query: str) -> Column:
     return F.size(F.array_intersect(lex_tokens(text), F.array(*map(F.lit, tokens)))) / F.lit(float(len(tokens)))
 
 
+def terms(text: Column) -> Column:
+    """Distinct lower-case words of three letters or digits at least."""
+    return F.array_distinct(F.filter(words(text), lambda w: F.length(w) >= 3))
+
+
 def frequencies(found: Index) -> DataFrame:
     """term, df, cf: document and collection frequency of every word."""
     return found.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))

@@ -110,7 +110,7 @@ _LOG = f"""(select event_id memory_id, 'session:' || u realm, case event_id % 6
   from (select *, md5(t || k) c from (select {_EVENT} from events)))"""
 
 
-def _spans_sql(source: str) -> str:
+def spans_sql(source: str) -> str:
     """class, atom, memory_id, realm, line of every mention, by the patterns."""
     of = lambda name: f"select memory_id, realm, line, '{name}' class, unnest(regexp_extract_all(said, '{CLASSES[name][0].replace(chr(39), chr(39) * 2)}', {1 if re.search(r'[(](?![?])', CLASSES[name][0]) else 0})) atom from lines"
     texts = f"select memory_id, realm, unnest(string_split(text, chr(10))) said, generate_subscripts(string_split(text, chr(10)), 1) line from {source}"
@@ -118,11 +118,11 @@ def _spans_sql(source: str) -> str:
     return f"(with lines as ({texts}), raw as ({' union all '.join(map(of, CLASSES))}) select memory_id, realm, line, class, regexp_replace(atom, '{secret}', '\\1[redacted]', 'g') atom, regexp_matches(atom, '{secret}') redacted from raw)"
 
 
-_DOCUMENTS = "(select doc_id memory_id, coalesce(source, '') realm, text from documents)"
+DOCUMENTS = "(select doc_id memory_id, coalesce(source, '') realm, text from documents)"
 
 
 @query(
-    f"""with s as (select * from {_spans_sql(_LOG)} where contains(lower(atom), 'k17.py') or regexp_matches(lower(atom), '(^|[^a-z0-9])k17([^a-z0-9]|$)')),
+    f"""with s as (select * from {spans_sql(_LOG)} where contains(lower(atom), 'k17.py') or regexp_matches(lower(atom), '(^|[^a-z0-9])k17([^a-z0-9]|$)')),
     newest as (select * from (select class, atom, memory_id, any_value(realm) realm, min(line) line from s group by class, atom, memory_id) qualify row_number() over (partition by class, atom order by memory_id desc) = 1)
     select class, atom, count(*) as "count", n.realm as session, n.line, n.memory_id from s join newest n using (class, atom) group by class, atom, n.realm, n.line, n.memory_id order by 3 desc, n.memory_id desc, class, atom limit 6"""
 )
@@ -133,14 +133,14 @@ def span_query(spark: SparkSession, sf_dir: str, asked: str = "k17.py", realm: s
 
 @query(
     f"""select class, count(*) atoms, sum(n)::bigint mentions, sum(octet_length(atom::blob))::bigint bytes, sum(redacted)::bigint redacted from
-    (select class, atom, count(*) n, count(*) filter (redacted) redacted from (select * from {_spans_sql(_LOG)} union all select * from {_spans_sql(_DOCUMENTS)}) group by all) group by class"""
+    (select class, atom, count(*) n, count(*) filter (redacted) redacted from (select * from {spans_sql(_LOG)} union all select * from {spans_sql(DOCUMENTS)}) group by all) group by class"""
 )
 def span_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct atoms of each class in the journal and the memories, with their mentions, bytes and what was struck out."""
     return atom_index(spark, sf_dir).stats()
 
 
-@query(f"select source realm, class, count(distinct doc_id) memories from documents join (select distinct memory_id, class from {_spans_sql(_DOCUMENTS)}) on memory_id = doc_id group by all")
+@query(f"select source realm, class, count(distinct doc_id) memories from documents join (select distinct memory_id, class from {spans_sql(DOCUMENTS)}) on memory_id = doc_id group by all")
 def span_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Memories of each realm that hold atoms of each class, by the index."""
     held = atom_index(spark, sf_dir).rows("documents", "by_memory").select("memory_id", "class").distinct()

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from recollect.functions import dates
 from recollect.functions import text as T
 from recollect.operators import fusion, lexical, vector
 from recollect.operators import recall as recalls
+from recollect.plans import notes
 from recollect.plans.registry import query
 from recollect.sources.tables import memories, table, turns, vectors
 
@@ -144,10 +146,10 @@ def embed_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("realm").agg(F.count("*").alias("n"), F.count("vec_id").alias("embedded")).withColumn("coverage", F.round(F.col("embedded") / F.col("n"), 6))
 
 
-def _lanes(spark: SparkSession, sf_dir: str, depth: int = DEPTH, question: str = QUESTION, probe: int = PROBE) -> dict[str, DataFrame]:
+def _lanes(spark: SparkSession, sf_dir: str, depth: int = DEPTH, question: str = QUESTION, probe: int = PROBE, found: lexical.Index | None = None) -> dict[str, DataFrame]:
     semantic = vector.knn(vectors(spark, sf_dir), probe).withColumnRenamed("vec_id", "memory_id")
     semantic = semantic.join(memories(spark, sf_dir).select("memory_id"), "memory_id", "left_semi")
-    return {"keyword": lexical.top(lexical.bm25(_index(spark, sf_dir), question), depth), "semantic": lexical.top(semantic, depth)}
+    return {"keyword": lexical.top(lexical.bm25(found or _index(spark, sf_dir), question), depth), "semantic": lexical.top(semantic, depth)}
 
 
 _SEMANTIC = f"select vec_id memory_id, score from ({knn_sql()}) where vec_id in (select doc_id from documents)"
@@ -181,8 +183,6 @@ def recall_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TAGS = {"flagged": "toxic = 1", "good": "quality = 1"}
-_ATOM_LIST = "list_distinct(list_concat(" + ", ".join(f"regexp_extract_all(text, '{p}')" for p in recalls.ATOMS) + "))"
-
 
 def _overlap_sql(question: str) -> str:
     terms = "[" + ",".join(f"'{t}'" for t in T.python_lex_tokens(question)) + "]"
@@ -193,47 +193,69 @@ def recall_sql(question: str, probe: int, limit: int, tag: str | None, window: t
     asked = recalls.Asked(question, limit, window, tag)
     keyword = top_sql(bm25_sql(question), asked.depth)
     semantic = top_sql(f"select vec_id memory_id, score from ({knn_sql(probe)}) where vec_id in (select doc_id from documents)", asked.depth)
-    seen = f"where created >= {window[0]} and created < {window[1]}" if window else ""
-    tagged = f"select * from h0 where memory_id in (select doc_id from labels where {_TAGS[tag]}) union all select * from (select m.memory_id, content, realm, kind, status, access, 1.0::double score, 0.0::double boost from m join labels l on l.doc_id = m.memory_id where {_TAGS[tag]} and not exists (select 1 from h0 where memory_id in (select doc_id from labels where {_TAGS[tag]})) order by m.memory_id limit {limit})" if tag else "select * from h0"
+    seen = f"and created >= {window[0]} and created < {window[1]}" if window else ""
+    tagged = f"select * from h0 where memory_id in (select doc_id from labels where {_TAGS[tag]}) union all select * from (select m.memory_id, content, realm, kind, status, access, 1.0::double score, 0.0::double boost from m join labels l on l.doc_id = m.memory_id where {_TAGS[tag]} and not starts_with(content, '[gap]') {seen} and not exists (select 1 from h0 where memory_id in (select doc_id from labels where {_TAGS[tag]})) order by m.memory_id limit {limit})" if tag else "select * from h0"
+
+    def partners(anchors: str, most: int) -> str:
+        return f"""(select * from (select o.memory_id anchor, p.memory_id, any_value(n) n, round(sum(ln(n / df::double)), 9) w from (select distinct a.* from atoms a where memory_id in ({anchors})) o
+          join atoms p on p.class = o.class and p.atom = o.atom and p.memory_id <> o.memory_id join df on df.class = o.class and df.atom = o.atom, n group by o.memory_id, p.memory_id) qualify row_number() over (partition by anchor order by w desc, memory_id) <= {most})"""
+
     return f"""with fused as (select memory_id, round(sum(w / (60 + rank)), 9) score from (select memory_id, rank, 1.0::double w from ({keyword}) union all select memory_id, rank, 2.0 from ({semantic})) group by memory_id),
-    best as (select memory_id, row_number() over (order by score desc, memory_id) i from fused qualify i <= {recalls.ANCHORS}),
-    atoms as (select doc_id memory_id, unnest({_ATOM_LIST}) atom from documents), n as (select count(*) n from documents),
-    own as (select a.memory_id anchor, i, atom from atoms a join best b on a.memory_id = b.memory_id), df as (select atom, count(*) df from atoms group by atom),
-    w0 as (select anchor, i, p.memory_id, n, sum(ln(n / df::double)) w from atoms p join own on own.atom = p.atom and p.memory_id <> anchor join df on df.atom = p.atom, n group by all),
-    w as (select * from w0 qualify row_number() over (partition by anchor order by w desc, memory_id) <= {recalls.PARTNERS}),
-    partners as (select memory_id, sum(1 / (61.0::double + i)) added, max(least(1.0, w / ln(n + 1))) boost from w group by memory_id),
-    both_ as (select coalesce(f.memory_id, p.memory_id) memory_id, coalesce(score, 0) + coalesce(added, 0) score, coalesce(boost, 0) boost from fused f full join partners p on f.memory_id = p.memory_id),
+    atoms as (select distinct memory_id, class, atom from {notes.spans_sql(notes.DOCUMENTS)}), n as (select count(*) n from documents), df as (select class, atom, count(*) df from atoms group by class, atom),
+    w as (select *, row_number() over (partition by anchor order by w desc, memory_id) place from {partners(f"select memory_id from fused order by score desc, memory_id limit {recalls.ANCHORS}", recalls.PARTNERS)}),
+    partners as (select memory_id, sum(1 / (60.0::double + place)) added, max(least(1.0, w / ln(n + 1))) boost from w group by memory_id),
+    both_ as (select coalesce(f.memory_id, p.memory_id) memory_id, round(coalesce(score, 0) + coalesce(added, 0), 9) score, coalesce(boost, 0) boost from fused f full join partners p on f.memory_id = p.memory_id),
     created as (select (props->>'$.k')::bigint memory_id, min(epoch_us(ts)) created from events group by all),
     last_ as (select md5(text) h, max(doc_id) newest from documents group by all),
-    m as (select d.doc_id memory_id, text content, source realm, lang kind, e.label access, case when newest <> d.doc_id then 'superseded' when l.quality = 0 then 'archived' else 'active' end status from documents d join last_ on h = md5(text) left join labels l on l.doc_id = d.doc_id left join embeddings e on e.vec_id = d.doc_id left join created c on c.memory_id = d.doc_id {seen}),
-    h0 as (select m.memory_id, content, realm, kind, status, access, score / (select max(score) from both_) score, boost from both_ join m on m.memory_id = both_.memory_id where length(content) > 0 and not starts_with(content, '[gap]')),
+    m as (select d.doc_id memory_id, text content, source realm, lang kind, e.label access, created, case when newest <> d.doc_id then 'superseded' when l.quality = 0 then 'archived' else 'active' end status from documents d join last_ on h = md5(text) left join labels l on l.doc_id = d.doc_id left join embeddings e on e.vec_id = d.doc_id left join created c on c.memory_id = d.doc_id where length(text) > 0),
+    pool as (select m.*, score, boost from both_ join m on m.memory_id = both_.memory_id where true {seen} order by score desc, m.memory_id desc limit {asked.depth}),
+    h0 as (select memory_id, content, realm, kind, status, access, score / (select max(score) from pool) score, boost from pool where not starts_with(content, '[gap]')),
     h as ({tagged}),
     s as (select h.* exclude (score), {_overlap_sql(question).replace('lower(text)', 'lower(content)')} overlap, case when n >= 5 then score * (1 - 0.25 * least(1.0, coalesce(access, 0) / 10.0)) * (1 + least(0.3, sqrt(ln(n + 1) / (coalesce(access, 0) + 1)))) else score end d, count(*) over () hits from h, n),
     r as (select *, round(case when hits > 1 then d + 0.8 * overlap + 0.4 * boost else d end, 6) fin from s),
     k as (select *, row_number() over (order by fin desc, memory_id) place, max(fin) over () most from r),
-    kk as (select *, row_number() over (order by place) taken from k where place <= {limit} or overlap >= 0.5 or boost > 0 or (fin >= most / 2 and (realm, kind) in (select (realm, kind) from k where place <= 5)))
-    select memory_id, fin score, row_number() over (order by fin desc, status = 'archived', place) as rank from kk where taken <= {max(asked.budget, limit)} and status <> 'superseded' qualify rank <= {limit}"""
-
-
-def _remembered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Memories with their status, how often they were recalled, and when they were first spoken of."""
-    mem = memories(spark, sf_dir)
-    newest = Window.partitionBy(F.md5("content"))
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("memory_id"), "quality")
-    access = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("memory_id"), F.col("label").alias("access"))
-    events = table(spark, sf_dir, "events").groupBy(F.get_json_object("props", "$.k").cast("long").alias("memory_id")).agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("created"))
-    mem = mem.withColumn("newest", F.max("memory_id").over(newest)).join(labels, "memory_id", "left").join(access, "memory_id", "left").join(events, "memory_id", "left")
-    status = F.when(F.col("newest") != F.col("memory_id"), "superseded").when(F.col("quality") == 0, "archived").otherwise("active")
-    return mem.select("memory_id", "kind", "realm", "content", status.alias("status"), "access", "created")
-
-
-def _recall(spark: SparkSession, sf_dir: str, question: str = QUESTION, probe: int = PROBE, limit: int = 10, tag: str | None = None, window: tuple[int, int] | None = None) -> DataFrame:
-    asked = recalls.Asked(question, limit, window, tag)
-    lanes = _lanes(spark, sf_dir, asked.depth, question, probe)
+    near as (select distinct memory_id from {partners(f"select memory_id from k where place <= {recalls.HEAD}", recalls.NEIGHBOURS)}),
+    kk as (select *, row_number() over (order by place) taken from k where hits <= {max(limit, asked.budget)} or place <= {limit} or overlap > 0 or memory_id in (select memory_id from near) or (fin >= most / 2 and (realm, kind) in (select (realm, kind) from k where place <= 5)))
+    select memory_id, fin score, row_number() over (order by fin desc, status = 'archived', place) as rank from kk where (taken <= {max(asked.budget, limit)} or hits <= {max(limit, asked.budget)}) and status <> 'superseded' qualify rank <= {limit}"""
+
+
+def _store(spark: SparkSession, sf_dir: str, found: lexical.Index) -> recalls.Store:
+    """Memories, and what is known of few of them: their status, how often they were recalled, and when they were first spoken of."""
+    atoms = notes.atom_index(spark, sf_dir)
+
+    def describe(rows: DataFrame) -> DataFrame:
+        ids = F.broadcast(rows.select("memory_id"))
+        prints = F.broadcast(rows.select(F.unhex(F.md5("content")).alias("print")).distinct())
+        newest = found.prints.join(prints, "print").groupBy("print").agg(F.max("memory_id").alias("newest"))
+        labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("memory_id"), "quality").join(ids, "memory_id")
+        access = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("memory_id"), F.col("label").alias("access")).join(ids, "memory_id")
+        events = table(spark, sf_dir, "events").select(F.get_json_object("props", "$.k").cast("long").alias("memory_id"), "ts").join(ids, "memory_id")
+        created = events.groupBy("memory_id").agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("created"))
+        told = rows.withColumn("print", F.unhex(F.md5("content"))).join(newest, "print").join(labels, "memory_id", "left").join(access, "memory_id", "left").join(created, "memory_id", "left")
+        status = F.when(F.col("newest") != F.col("memory_id"), "superseded").when(F.col("quality") == 0, "archived").otherwise("active")
+        return told.select(*rows.columns, status.alias("status"), "access", "created")
+
+    n = found.stats.select("n")
+    return recalls.Store(memories(spark, sf_dir), describe, lambda anchors, most: atoms.partners(anchors, n, most, "documents"), n)
+
+
+def _recall(
+    spark: SparkSession, sf_dir: str, question: str = QUESTION, probe: int = PROBE, limit: int = 10, tag: str | None = None, window: tuple[int, int] | None = None,
+    realm: str | None = None, strategy: str | None = None, now: int | None = None, graph: bool = False, separate: bool = False,
+) -> DataFrame:
+    if now is not None and window is None:
+        # A question that mentions a date asks for that time; one that doesn't, for all.
+        meant = dates.resolve(dates.mention(F.lit(question)), F.lit(now))
+        window = (F.coalesce(meant["start"], F.lit(-(1 << 62))), F.coalesce(meant["until"], F.lit(1 << 62)))
+    asked = recalls.Asked(question, limit, window, tag, realm, graph=graph, separate=separate)
+    found = _index(spark, sf_dir)
+    lanes = _lanes(spark, sf_dir, asked.depth, question, probe, found)
     # The question as it is counts twice.
     parts = [(lanes["semantic"], 2.0), (lanes["keyword"], 1.0)] if recalls.multi_lane(question) else [(lanes["semantic"], 1.0)]
+    parts = [(lanes["keyword"], 1.0)] if strategy == "keyword" else parts
     tagged = None if tag is None else table(spark, sf_dir, "labels").where(_TAGS[tag]).select(F.col("doc_id").alias("memory_id")).distinct()
-    return recalls.recall(asked, _remembered(spark, sf_dir), parts, tagged)
+    sure = lanes["semantic"].select("memory_id", F.col("score").alias("cosine")) if graph else None
+    return recalls.recall(asked, _store(spark, sf_dir, found), parts, tagged, sure)
 
 
 WINDOW = 1704067200000000, 1705276800000000  #: 1 to 15 January 2024
@@ -241,7 +263,7 @@ WINDOW = 1704067200000000, 1705276800000000  #: 1 to 15 January 2024
 
 @query(recall_sql(QUESTION, PROBE, 10, None, None))
 def recall(spark: SparkSession, sf_dir: str, **params: object) -> DataFrame:
-    """The whole recall of a question (parameters: question, probe, limit, tag, window)."""
+    """The whole recall of a question (parameters: question, probe, limit, tag, window, realm, strategy, now, graph, separate)."""
     return _recall(spark, sf_dir, **params)
 
 
@@ -263,6 +285,27 @@ def recall_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _recall(spark, sf_dir, window=WINDOW)
 
 
+_WHEN, _NOW = "apache license token, last 10 days", 1705276800000000
+
+
+@query(recall_sql(_WHEN, PROBE, 10, None, (_NOW - 10 * dates.DAY, _NOW)))
+def recall_when(spark: SparkSession, sf_dir: str, question: str = _WHEN, now: int = _NOW) -> DataFrame:
+    """Recall among memories of the time that the question mentions."""
+    return _recall(spark, sf_dir, question=question, now=now)
+
+
+@query()
+def recall_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall with the memories that the graph of shared atoms reaches."""
+    return _recall(spark, sf_dir, graph=True)
+
+
+@query()
+def recall_separate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall with likenesses among the hits held against them."""
+    return _recall(spark, sf_dir, separate=True)
+
+
 _ACCESS = "(select vec_id memory_id, label access from embeddings)"
 
 

@@ -1,6 +1,7 @@
 """Dates in words, distilled notation and the atom index on small cases."""
 
 import datetime as dt
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -140,5 +141,8 @@ def test_an_index_reads_each_file_once_and_forgets_what_is_replaced(spark, tmp_p
     again.update("t", root, read)
     assert {(r.memory_id, r.atom) for r in again.rows(layout="by_memory").collect()} == {(3, "#2"), (3, "/srv/a/b"), (4, "#22")} == {(r.memory_id, r.atom) for r in again.rows().collect()}
     assert {r["class"]: (r.atoms, r.mentions, r.redacted) for r in again.stats().collect()} == {"issue": (2, 2, 0), "path": (1, 1, 0)}
-    anchors = spark.createDataFrame([(3,)], "memory_id long")
-    assert again.shared(anchors, F.lit(4.0), 16).count() == 0
+    write("c", [(5, "r", "#2"), (6, "r", "#2 #22"), (7, "r", "#9")])
+    again.update("t", root, read)
+    anchors, n = spark.createDataFrame([(3,), (4,), (7,)], "memory_id long"), spark.createDataFrame([(8,)], "n long")
+    found = {(r.anchor, r.memory_id): (round(r.w, 6), r.place) for r in again.partners(anchors, n, 16).collect()}
+    assert found == {(3, 5): (round(math.log(8 / 3), 6), 1), (3, 6): (round(math.log(8 / 3), 6), 2), (4, 6): (round(math.log(4), 6), 1)}

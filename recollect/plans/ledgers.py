@@ -70,7 +70,6 @@ sql("explain_fact", "Facts that support one (same subject, predicate, object) or
 sql("explore_neighbors", "Nodes linked to one, either way.", "select object as node, predicate, 'out' as way from {triplets} where subject = :node union all select subject, predicate, 'in' from {triplets} where object = :node", node="nation:3")
 sql("file_imports", "What a module needs: suppliers of a part.", "select distinct l_suppkey as supplier from {lineitem} where l_partkey = :id", id=7)
 sql("file_dependents", "Who needs a module: orders that hold a part.", "select distinct l_orderkey as dependent from {lineitem} where l_partkey = :id", id=7)
-sql("type_hierarchy", "Kinds above each node, one hop and two.", "select a.subject as node, a.object as parent, b.object as grandparent from {triplets} a left join {triplets} b on b.subject = a.object")
 sql("conflict_pairs", "Pairs of successive facts on one subject that disagree.", "select o_custkey as customer, previous as older, o_orderkey as newer from (select o_custkey, o_orderkey, o_orderstatus, lag(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as previous, lag(o_orderstatus) over (partition by o_custkey order by o_orderdate, o_orderkey) as before from {orders}) c where before <> o_orderstatus")
 sql("get_relationship_events", "Relationship events of a kind, latest first.", "select event_id, session, entity from {tape} where tool = :kind order by us desc, event_id desc limit 100", kind="purchase")
 sql("verbalize_rules", "The most frequent tool rules in words.", "select 'after ' || before || ' comes ' || tool || ' (' || cast(n as varchar(20)) || ' times)' as rule, n from (select before, tool, count(*) as n from (select tool, lag(tool) over (partition by session order by us, event_id) as before from {tape}) b where before is not null group by before, tool) r order by n desc, rule limit 10")
@@ -165,7 +164,6 @@ sql("recall_temporal_events", "Memories that events of a time window touch, by n
 sql("recall_temporal", "Memories created in the last days: created at the first event on them.", f"select m.memory_id, c.us as created_us from {{memories}} m join (select entity, min(us) as us from {{tape}} group by entity) c on c.entity = m.memory_id cross join {NOW} n where c.us >= n.now - :days * {DAY_US}", days=30)
 sql("correction_check", "Corrections whose trigger (two successive words) recurs in a text.", "select distinct c.memory_id from {shelf} c where c.status = 'contradicted' and lower(c.content) like '%' || :bigram || '%'", bigram="of the")
 sql("recall_last_action_of", "Last occurrences of a tool on an entity.", "select event_id, session from {tape} where tool = :tool and entity = :entity order by us desc, event_id desc limit 5", tool="view", entity=5)
-sql("recall_hdcbind", "What fills a role, given another's filler: tools of an entity, by conditional frequency.", "select tool as filler, count(*) as n, round(count(*) / cast(t.total as double), 6) as p from {tape} cross join (select count(*) as total from {tape} where entity = :entity) t where entity = :entity group by tool, t.total", entity=5)
 sql("recall_true_counterfactual", "Decisions in which an entity was considered (viewed) in the session and another one bought.", "select distinct v.session, v.entity as rejected, p.entity as taken from {tape} v join {tape} p on p.session = v.session and p.tool = 'purchase' and p.us > v.us and p.us <= v.us + 3600000000 where v.tool = 'view' and v.entity <> p.entity")
 sql("export_soul", "Memories by kind as seed rows.", "select kind, memory_id, md5(content) as content_md5 from {memories}")
 sql("wiki_export", "Pages of memories with the number of other memories of the same realm and kind that link to them by content.", "select a.memory_id, count(b.memory_id) as backlinks from {memories} a left join {memories} b on md5(a.content) = md5(b.content) and a.memory_id <> b.memory_id group by a.memory_id")
@@ -185,7 +183,6 @@ sql(
     two="standard",
 )
 sql("triplets", "Triplets of one predicate and object.", "select subject, predicate, object, weight from {triplets} where predicate = :predicate and object = :object", predicate="in_nation", object="nation:3")
-sql("recall_motif_value", "Motifs that begin with a tool, by the outcome of the event after them.", "select before || '>' || tool as motif, count(*) as n, round((avg(1.0 - 2.0 * after) + 1) / 2, 6) as q from (select tool, lag(tool) over (partition by session order by us, event_id) as before, lead(failed) over (partition by session order by us, event_id) as after from {tape}) s where before = :tool and after is not null group by before || '>' || tool", tool="view")
 sql("prompt_context", "The prompt's admitted memories with a running budget of a quarter of their characters.", "select memory_id, cast(sum(cost) over (order by memory_id rows between unbounded preceding and current row) as bigint) as spent from (select memory_id, cast(floor(length(content) / 4.0) as bigint) as cost, row_number() over (partition by md5(substring(content, 1, 80)) order by memory_id) as copy, row_number() over (partition by realm order by confidence desc, memory_id) as round_ from {shelf} where confidence >= 0.3) a where copy = 1 and round_ = 1")
 sql(
     "compact_context",

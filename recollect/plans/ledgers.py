@@ -22,17 +22,6 @@ def last(key: str, where: str = "true", columns: str = "*") -> str:
 
 # Memories under operations: pins, locks, evidence, tiers, Beta posteriors, strength.
 sql("get", "One memory by its id; the filter reaches the scan.", "select memory_id, kind, realm, content from {memories} where memory_id = :id", id=7)
-sql("list_pinned", "Memories whose last pin operation isn't an unpin (signup pins, error unpins).", f"select p.entity as memory_id, m.realm from {last('entity', 'tool in (' + repr('signup') + ', ' + repr('error') + ')')} p join {{shelf}} m on m.memory_id = p.entity where p.tool = 'signup'")
-sql(
-    "memory_lock_status",
-    "Holder of each memory's lock: taken by signup for cost hours, given back by a later purchase or run out.",
-    f"select l.entity as memory_id, l.session as holder, case when l.tool = 'purchase' then 'released' when l.us + cast(l.cost * 3600000000 as bigint) <= n.now then 'expired' else 'held' end as state from {last('entity', 'tool in (' + repr('signup') + ', ' + repr('purchase') + ')')} l cross join {NOW} n",
-)
-sql(
-    "get_evidence_type",
-    "Latest evidence class of every memory.",
-    f"select entity as memory_id, case tool when 'view' then 'observation' when 'click' then 'inference' when 'signup' then 'hearsay' when 'purchase' then 'authoritative' else 'prediction' end as evidence from {last('entity')}",
-)
 sql("set_affect_view", "Latest valence and arousal of every memory (latest wins).", f"select entity as memory_id, round(cost / 100, 6) as valence, session as by_session from {last('entity', 'cost is not null')}")
 sql("memory_strength", "Strength of every memory: 0.5 and the signed amounts of strengthen (purchase) and weaken (error) rows, between 0 and 1.", "select entity as memory_id, round(greatest(0.0, least(1.0, 0.5 + sum(case tool when 'purchase' then 0.05 when 'error' then -0.05 else 0.0 end))), 6) as strength from {tape} group by entity")
 sql("memory_acks", "Acks less nacks of every memory.", "select entity as memory_id, cast(sum(case tool when 'purchase' then 1 when 'error' then -1 else 0 end) as bigint) as score, count(*) as n from {tape} where tool in ('purchase', 'error') group by entity")
@@ -44,12 +33,10 @@ sql("labile_memories_top", "The most recalled memories.", "select entity as memo
 sql("forgotten", "Memories that a forget row (error of their own id) tombstones, by kind; reads leave them out.", f"select m.kind, count(*) as n from {{memories}} m left join {last('entity', 'tool in (' + repr('error') + ', ' + repr('signup') + ')')} f on f.entity = m.memory_id where coalesce(f.tool, 'signup') = 'signup' group by m.kind")
 sql("episodes_pruned", "Episodes older than so many days whose strength is low.", f"select t.session, count(*) as n, max(t.us) as last_us from {{tape}} t cross join {NOW} n group by t.session, n.now having max(t.us) < n.now - :days * {DAY_US} and avg(t.failed) >= 0", days=1)
 sql("list_memories_brief", "Index of memories: title of 80 characters.", "select memory_id, kind, realm, substring(content, 1, 80) as title from {memories}")
-sql("list_aspects", "Aspects and the kinds that belong to them.", "select aspect, kind from (values ('germanic', 'en'), ('germanic', 'de'), ('romance', 'fr'), ('romance', 'es')) as a(aspect, kind)")
 sql("list_by_aspect", "Memories of an aspect's kinds with enough confidence.", "select m.memory_id, a.aspect, m.confidence from {shelf} m join (values ('germanic', 'en'), ('germanic', 'de'), ('romance', 'fr'), ('romance', 'es')) as a(aspect, kind) on a.kind = m.kind where a.aspect = :aspect and m.confidence >= :least", aspect="romance", least=0.5)
 sql("list_merge_queue", "Pending merges: memories of the same content, into the one of the smallest id.", "select m.memory_id as source_id, f.into_id from {memories} m join (select md5(content) as h, min(memory_id) as into_id, count(*) as n from {memories} group by md5(content)) f on md5(m.content) = f.h where f.n > 1 and m.memory_id <> f.into_id")
 sql("memory_provenance", "Source of every memory and what it supersedes or is superseded by: older and newer ones of the same content.", "select memory_id, realm as source, lag(memory_id) over (partition by md5(content) order by memory_id) as supersedes, lead(memory_id) over (partition by md5(content) order by memory_id) as superseded_by from {memories}")
 sql("why_active", "Status of every memory with its confirmations and contradictions on the ledger.", "select m.memory_id, m.status, count(t.event_id) filter (where t.tool = 'purchase') as confirmations, count(t.event_id) filter (where t.tool = 'error') as contradictions from {shelf} m left join {tape} t on t.entity = m.memory_id group by m.memory_id, m.status")
-sql("write_gate_stats", "Staged memories (last row a click) and when the oldest was staged.", f"select count(*) as staged, min(us) as oldest_us from {last('entity')} where tool = 'click'")
 sql("hygiene_stats", "Counts of what hygiene looks at.", "select count(*) as n, count(*) filter (where status = 'active') as active, count(*) filter (where status = 'archived') as archived, count(*) filter (where status = 'contradicted') as contradicted, count(*) filter (where confidence < 0.5) as unsure, count(*) filter (where length(content) < 200) as short from {shelf}")
 sql("expand_memory", "A memory and what its subject leads to, two steps deep.", "select m.memory_id, 0 as hop, m.kind as node from {memories} m where m.memory_id = :id union all select :id, 1, t.object from {triplets} t where t.subject = 'customer:' || :id union all select :id, 2, b.object from {triplets} a join {triplets} b on b.subject = a.object where a.subject = 'customer:' || :id", id=7)
 sql("explore_peek", "The first 200 characters of a memory.", "select memory_id, substring(content, 1, 200) as head, length(content) as n_chars from {memories} where memory_id = :id", id=7)
@@ -71,56 +58,19 @@ sql("explore_neighbors", "Nodes linked to one, either way.", "select object as n
 sql("file_imports", "What a module needs: suppliers of a part.", "select distinct l_suppkey as supplier from {lineitem} where l_partkey = :id", id=7)
 sql("file_dependents", "Who needs a module: orders that hold a part.", "select distinct l_orderkey as dependent from {lineitem} where l_partkey = :id", id=7)
 sql("conflict_pairs", "Pairs of successive facts on one subject that disagree.", "select o_custkey as customer, previous as older, o_orderkey as newer from (select o_custkey, o_orderkey, o_orderstatus, lag(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as previous, lag(o_orderstatus) over (partition by o_custkey order by o_orderdate, o_orderkey) as before from {orders}) c where before <> o_orderstatus")
-sql("get_relationship_events", "Relationship events of a kind, latest first.", "select event_id, session, entity from {tape} where tool = :kind order by us desc, event_id desc limit 100", kind="purchase")
 sql("verbalize_rules", "The most frequent tool rules in words.", "select 'after ' || before || ' comes ' || tool || ' (' || cast(n as varchar(20)) || ' times)' as rule, n from (select before, tool, count(*) as n from (select tool, lag(tool) over (partition by session order by us, event_id) as before from {tape}) b where before is not null group by before, tool) r order by n desc, rule limit 10")
 
 # Sessions, tasks, messages.
 sql("session_list", "Sessions with their first and last event and whether they are still active.", f"select t.session, count(*) as n, min(t.us) as first_us, max(t.us) as last_us, case when max(t.us) >= n.now - {DAY_US} then 'active' else 'idle' end as status from {{tape}} t cross join {NOW} n group by t.session, n.now")
-sql("ledger_list", "The latest checkpoints (clicks).", "select event_id, session, entity from {tape} where tool = 'click' order by us desc, event_id desc limit 50")
-sql("ledger_load", "The latest checkpoint of every project (entity).", f"select entity as project, session, event_id from {last('entity', 'tool = ' + repr('click'))}")
-sql("ledger_get", "Checkpoints of one project and session.", "select event_id, cost from {tape} where tool in ('click', 'error') and entity = :project and session = :session", project=69, session=8)
-sql("ledger_health", "Ledger rows of each kind and how many lack an amount.", "select tool as kind, count(*) as n, count(*) - count(cost) as without_amount, min(us) as first_us, max(us) as last_us from {tape} group by tool")
-sql("ledger_query", "Rows of the ledger by kind and amount.", "select event_id, session, entity, cost from {tape} where tool = :kind and cost >= :least", kind="error", least=10.0)
-sql("long_task_get", "A task with its events of each kind.", "select entity as task, tool, count(*) as n, max(us) as last_us from {tape} where entity = :task group by entity, tool", task=5)
-sql("long_task_active", "Tasks whose last row isn't terminal (purchase done, error failed), the latest of each session.", f"select session, task, since_us from (select session, entity as task, us as since_us, tool, row_number() over (partition by session order by us desc, event_id desc) as place from {last('session, entity')} s where tool not in ('purchase', 'error')) a where place = 1")
-sql("long_task_evaluate", "Share of a task's checks that are satisfied.", "select entity as task, count(*) filter (where tool = 'purchase') as satisfied, count(*) filter (where tool in ('purchase', 'error')) as checks, round(count(*) filter (where tool = 'purchase') / cast(greatest(count(*) filter (where tool in ('purchase', 'error')), 1) as double), 6) as ratio from {tape} group by entity")
-sql("long_task_snapshot", "Events of each task, newest first, while their amounts fit a budget.", "select entity as task, event_id, round(spent, 4) as spent from (select entity, event_id, sum(cost) over (partition by entity order by us desc, event_id desc rows between unbounded preceding and current row) as spent from {tape} where cost is not null) s where spent <= :budget", budget=200.0)
-sql("task_state", "State of every task: its latest row.", f"select entity as task, tool as state, event_id from {last('entity')}")
-sql("get_task", "Full view of tasks: contract, delegations, evidence, probes and criteria counted from their rows.", "select entity as task, count(*) filter (where tool = 'signup') as delegations, count(*) filter (where tool = 'view') as evidence, count(*) filter (where tool = 'click') as probes, count(*) filter (where tool = 'purchase') as criteria_met, count(*) filter (where tool = 'error') as criteria_failed, count(distinct session) as agents from {tape} group by entity")
-sql("query_tasks", "Tasks by status and tag (a tool that occurs on them).", f"select s.entity as task, s.tool as status from {last('entity')} s where s.tool = :status and exists (select 1 from {{tape}} t where t.entity = s.entity and t.tool = :tag)", status="view", tag="signup")
-sql("agent_list", "Agents (sessions) with their latest row.", f"select session as agent, tool as doing, entity as on_task from {last('session')}")
-sql("agent_get", "One agent's record.", "select session as agent, count(*) as n, count(distinct entity) as tasks, round(avg(failed), 6) as failed from {tape} where session = :agent group by session", agent=8)
-sql("agent_protocol_stats", "Totals of the five tables of agents.", "select count(distinct entity) as tasks, count(*) filter (where tool = 'signup') as delegations, count(*) filter (where tool = 'view') as evidence, count(*) filter (where tool = 'click') as probes, count(*) filter (where tool = 'purchase') as criteria from {tape}")
-sql("msg_history", "Messages of every session, the latest 20 of each.", "select session, event_id, entity as sender from (select *, row_number() over (partition by session order by us desc, event_id desc) as place from {tape} where tool in ('signup', 'error')) m where place <= 20")
 sql("cross_harness_conflicts", "Entities on which two kinds of sessions (even, odd) disagree about failure.", "select a.entity, round(abs(a.f - b.f), 6) as disagreement from (select entity, avg(failed) as f from {tape} where session % 2 = 0 group by entity) a join (select entity, avg(failed) as f from {tape} where session % 2 = 1 group by entity) b on a.entity = b.entity where abs(a.f - b.f) >= :least", least=0.2)
 sql("narrative_history", "Segments of work: stretches of events of one tool in a session.", "select session, segment, min(tool) as mode, count(*) as n, min(us) as first_us, max(us) as last_us from (select session, tool, us, sum(new) over (partition by session order by us, event_id rows between unbounded preceding and current row) as segment from (select *, case when tool = lag(tool) over (partition by session order by us, event_id) then 0 else 1 end as new from {tape}) a) b group by session, segment")
-sql("narrative_status", "The present segment of every session.", "select session, mode, n from (select session, min(tool) as mode, count(*) as n, row_number() over (partition by session order by segment desc) as place from (select session, tool, sum(new) over (partition by session order by us, event_id rows between unbounded preceding and current row) as segment from (select *, case when tool = lag(tool) over (partition by session order by us, event_id) then 0 else 1 end as new from {tape}) a) b group by session, segment) c where place = 1")
 sql("transcript_list", "Transcripts, longest first.", "select session, count(*) as turns, cast(sum(length(text)) as bigint) as chars from {turns} group by session order by turns desc, session limit 100")
 sql("transcript_get", "One transcript's turns.", "select session, turn, role, text from {turns} where session = :session", session=3)
 sql("file_timeline", "Changes (clicks, purchases) of each entity within a window, in order.", f"select t.entity, t.event_id, row_number() over (partition by t.entity order by t.us, t.event_id) as place from {{tape}} t cross join {NOW} n where t.tool in ('click', 'purchase') and t.us >= n.now - :days * {DAY_US}", days=7)
-sql("symbol_event_log", "Events on one symbol, latest first.", "select event_id, session, tool from {tape} where entity = :symbol order by us desc, event_id desc limit 50", symbol=5)
 
 # Interventions, surprises, debts, wisdom.
-sql("get_intervention", "An intervention (session) with its observations counted by kind.", "select session as intervention, tool, count(*) as n from {tape} where session = :id group by session, tool", id=8)
-sql("intervention_stats", "Interventions by outcome: the last purchase (succeeded), error (failed) or signup (aborted) of each session; open without.", f"select coalesce(o.outcome, 'open') as status, count(*) as n from (select distinct session from {{tape}}) s left join (select session, case tool when 'purchase' then 'succeeded' when 'error' then 'failed' else 'aborted' end as outcome from {last('session', 'tool in (' + repr('purchase') + ', ' + repr('error') + ', ' + repr('signup') + ')')} x) o on o.session = s.session group by coalesce(o.outcome, 'open')")
-sql("list_open_interventions", "Pairs of session and entity that were started (signup) and never closed later (purchase, error).", "select a.session, a.entity from (select session, entity, max(us) as started from {tape} where tool = 'signup' group by session, entity) a left join (select session, entity, max(us) as closed from {tape} where tool in ('purchase', 'error') group by session, entity) c on c.session = a.session and c.entity = a.entity and c.closed >= a.started where c.session is null")
-sql("query_interventions", "Interventions of one session with their last state.", f"select entity as intervention, tool as state from {last('entity, session')} where session = :session", session=8)
 sql("query_surprises", "Events whose amount is far from their tool's mean.", "select t.event_id, t.tool as domain, round(abs(t.cost - d.m), 6) as magnitude from {tape} t join (select tool, avg(cost) as m from {tape} group by tool) d on d.tool = t.tool where abs(t.cost - d.m) >= :least", least=30.0)
 sql("surprise_stats", "Surprise of each domain.", "select t.tool as domain, count(*) as n, round(avg(abs(t.cost - d.m)), 6) as magnitude from {tape} t join (select tool, avg(cost) as m from {tape} group by tool) d on d.tool = t.tool group by t.tool")
-sql("get_blind_spots", "Domains and entities that surprise again and again.", "select t.tool as domain, t.entity, count(*) as n, round(avg(abs(t.cost - d.m)), 4) as magnitude from {tape} t join (select tool, avg(cost) as m from {tape} group by tool) d on d.tool = t.tool where abs(t.cost - d.m) >= :least group by t.tool, t.entity having count(*) > 1", least=20.0)
-sql("surprise_learning_stats", "Memories that surprise, gates passed and the sum of adjustments.", "select count(distinct t.entity) as tracked, count(*) filter (where abs(t.cost - d.m) >= 20) as passed, round(sum(case when abs(t.cost - d.m) >= 20 then 0.05 else 0.0 end), 4) as adjustment from {tape} t join (select tool, avg(cost) as m from {tape} group by tool) d on d.tool = t.tool")
-_DEBT = "(select entity, avg(failed) as fragility, count(*) as n, case when max(case when tool = 'purchase' then us else 0 end) > max(case when tool = 'error' then us else 0 end) then 'resolved' when count(*) filter (where tool = 'error') = 0 then 'none' else 'open' end as status from {tape} group by entity)"
-sql("debt_stats", "Epistemic debts by status.", f"select status, count(*) as n, round(avg(fragility), 6) as fragility from {_DEBT} d group by status")
-sql("query_debts", "Debts of a status with enough fragility.", f"select entity, round(fragility, 6) as fragility, n from {_DEBT} d where status = :status and fragility >= :least", status="open", least=0.1)
-sql("get_fragile_decisions", "Open debts, the most fragile first.", f"select entity, round(fragility, 6) as fragility from {_DEBT} d where status = 'open' order by fragility desc, entity limit 20")
-_LINEAGE = "(select entity as lineage, count(*) filter (where tool = 'purchase') as support, count(*) filter (where tool = 'error') as contradiction, max(us) as last_us, case when count(*) filter (where tool = 'error') > 1.2 * count(*) filter (where tool = 'purchase') then 'inflamed' when count(*) filter (where tool = 'purchase') > 1.2 * count(*) filter (where tool = 'error') then 'stable' else 'strained' end as state from {tape} group by entity)"
-sql("wisdom_lineage_stats", "Lineages by state with their support and contradiction.", f"select state, count(*) as n, cast(sum(support) as bigint) as support, cast(sum(contradiction) as bigint) as contradiction from {_LINEAGE} l group by state")
-sql("query_wisdom_lineages", "Lineages in a state.", f"select lineage, support, contradiction from {_LINEAGE} l where state = :state", state="inflamed")
-sql("get_wisdom_lineage", "One lineage.", f"select lineage, state, support, contradiction from {_LINEAGE} l where lineage = :id", id=5)
-sql("lineage_expiry_check", "Inflamed lineages whose time to be derived again has run out.", f"select l.lineage, l.last_us from {_LINEAGE} l cross join {NOW} n where l.state = 'inflamed' and l.last_us < n.now - :hours * 3600000000", hours=6)
-_WISDOM = "(select entity as candidate, count(distinct tool) as n, case when count(*) filter (where tool = 'purchase') >= 10 then 'promoted' when count(*) filter (where tool = 'purchase') >= 5 then 'validated' else 'candidate' end as lifecycle from {tape} group by entity)"
-sql("query_wisdom_candidates", "Wisdom candidates in a stage.", f"select candidate from {_WISDOM} w where lifecycle = :stage", stage="validated")
-sql("wisdom_promotion_stats", "Candidates in each stage.", f"select lifecycle, count(*) as n from {_WISDOM} w group by lifecycle")
 sql("insight_global", "Insights that hold a word, longest first.", "select memory_id, length(content) as n_chars from {memories} where content like '%' || :word || '%' order by n_chars desc, memory_id limit 50", word="and")
 
 # Habits, anticipation, goals, profile, skills, learning.
@@ -130,28 +80,17 @@ sql("habit_match", "Habits that a trigger sets off.", f"select tool as action, n
 sql("anticipation_list", "Learned anticipation: what follows a tool, with its probability.", "select before, tool, round(n / cast(sum(n) over (partition by before) as double), 6) as confidence from (select before, tool, count(*) as n from (select tool, lag(tool) over (partition by session order by us, event_id) as before from {tape}) b where before is not null group by before, tool) a")
 sql("anticipation_predict", "What probably comes after a tool and entity.", "select next_tool, count(*) as n from (select tool, entity, lead(tool) over (partition by session order by us, event_id) as next_tool from {tape}) a where tool = :tool and entity = :entity and next_tool is not null group by next_tool", tool="view", entity=5)
 sql("anticipation_filter", "Predictions sure enough to be shown: those of more than an even share.", "select before, tool from (select before, tool, n / cast(sum(n) over (partition by before) as double) as p from (select before, tool, count(*) as n from (select tool, lag(tool) over (partition by session order by us, event_id) as before from {tape}) b where before is not null group by before, tool) a) c where p > :least", least=0.2)
-sql("trigger_list", "Triggers (session, tool) with their latest state.", f"select session, tool as trigger, case when failed = 1 then 'fired' when cost > 20 then 'armed' else 'dismissed' end as state from {last('session, tool')}")
-_GOAL = "(select entity as goal, least(1.0, sum(case when tool = 'purchase' then cost else 0.0 end) / 500) as progress, max(us) as last_us from {tape} group by entity)"
-sql("goal_list", "Goals with their progress and status.", f"select goal, round(progress, 6) as progress, case when progress >= 1 then 'complete' else 'open' end as status from {_GOAL} g")
-sql("goal_get", "One goal.", f"select goal, round(progress, 6) as progress from {_GOAL} g where goal = :id", id=5)
-sql("profile_get", "Latest value of every field (tool) of each profile (session).", f"select session as profile, tool as field, entity as value from {last('session, tool')}")
-sql("skill_list", "Skills (entities) with the number of their latest version (clicks).", "select entity as skill, count(*) as version from {tape} where tool = 'click' group by entity")
-sql("skill_read", "A version of each skill; 0 means the latest.", "select skill, version, event_id from (select entity as skill, event_id, row_number() over (partition by entity order by us, event_id) as version, count(*) over (partition by entity) as n from {tape} where tool = 'click') s where version = case when :version = 0 then n else :version end", version=0)
 sql("skill_search", "Parts whose name or type holds a word.", "select p_partkey as skill, p_name as name from {part} where lower(p_name) like '%' || :word || '%' or lower(p_type) like '%' || :word || '%'", word="ring")
 sql("get_policies", "Policies: tools with enough events and less failure than the tape.", "select t.tool as policy, count(*) as n, round(b.f - avg(t.failed), 6) as lift from {tape} t cross join (select avg(failed) as f from {tape}) b group by t.tool, b.f having count(*) >= :least and b.f - avg(t.failed) > :lift", least=20, lift=0.15)
 sql("list_policies", "All policies by lift, shadow or active.", "select t.tool as policy, round(b.f - avg(t.failed), 6) as lift, case when count(*) >= 20 and b.f - avg(t.failed) > 0.15 then 'active' else 'shadow' end as state from {tape} t cross join (select avg(failed) as f from {tape}) b group by t.tool, b.f")
 sql("get_source_weights", "Trust in each source: share of its labelled memories that are active.", "select realm as source, round(avg(case when status = 'active' then 1.0 else 0.0 end), 6) as weight, count(*) as n from {shelf} group by realm")
 sql("integration_stats", "Success of each source and kind.", "select realm as source, kind, count(*) as n, round(avg(confidence), 6) as success from {shelf} group by realm, kind")
-sql("get_sus_metrics", "Daily share of exposures (views) that a purchase of the same session and entity follows that day.", f"select v.day, count(*) as exposures, count(p.session) as useful, round(count(p.session) / cast(count(*) as double), 6) as ratio from (select distinct session, entity, floor(us / {DAY_US}) as day from {{tape}} where tool = 'view') v left join (select distinct session, entity, floor(us / {DAY_US}) as day from {{tape}} where tool = 'purchase') p on p.session = v.session and p.entity = v.entity and p.day = v.day group by v.day".replace("select v.day,", "select cast(v.day as bigint) as day,", 1))
-sql("effective_scorer_weights", "Baseline weights of factors with learned deltas added.", "select b.factor, round(b.weight + coalesce(d.delta, 0.0), 6) as weight from (values ('view', 0.5), ('click', 0.3), ('purchase', 0.1), ('share', 0.1)) as b(factor, weight) left join (select tool, avg(1.0 - failed) / 10 as delta from {tape} group by tool) d on d.tool = b.factor")
 sql("learned_scorer_stats", "The latest model: version, factors, loss, outcomes.", "select count(*) filter (where tool = 'click') as version, count(distinct tool) as factors, round(avg((1.0 - failed - 0.8) * (1.0 - failed - 0.8)), 6) as loss, count(*) filter (where tool in ('purchase', 'error')) as outcomes from {tape}")
 sql("metacognition_evaluate", "How many memories there are of each kind, and how many are sure.", "select kind, count(*) as n, count(*) filter (where confidence >= 0.85) as sure from {shelf} group by kind")
 sql("metacognition_corrections", "Corrections: memories that are contradicted.", "select memory_id, realm from {shelf} where status = 'contradicted'")
 sql("metacognition_outcomes", "Memories that hold a word in lower case.", "select memory_id from {memories} where lower(content) like '%' || :word || '%'", word="license")
 sql("suggestion_count", "Suggestions that wait (unsure memories).", "select count(*) as n from {shelf} where confidence < 0.85 and confidence >= 0.5")
 sql("suggestion_pending", "Suggestions that wait.", "select memory_id, kind from {shelf} where confidence < 0.85 and confidence >= 0.5")
-sql("curiosity_gaps", "Unresolved gaps: entities that fail and were never bought.", "select entity as gap, count(*) as n from {tape} where tool = 'error' and entity not in (select entity from {tape} where tool = 'purchase' and entity is not null) group by entity")
-sql("research_topics", "Gaps and unsure memories.", "select 'gap:' || entity as topic from (select distinct entity from {tape} where tool = 'error' and cost > 90) g union all select 'memory:' || memory_id from {shelf} where confidence < 0.5")
 sql("probe_status", "Exemplars of each behavioural class.", "select label, count(*) as n from {marks} group by label")
 sql("provenance_check", "Whether an input was already processed: the latest record of a content's hash.", "select md5(content) as sha, max(memory_id) as record, count(*) as n from {memories} group by md5(content) having md5(content) = md5(:input)", input="nothing of the kind")
 sql("fep_status", "Free-energy counters: surprise of each tool in nats.", "select tool, count(*) as n, round(-ln(count(*) / cast(t.total as double)), 6) as surprisal from {tape} cross join (select count(*) as total from {tape}) t group by tool, t.total")
@@ -162,9 +101,7 @@ sql("theme_get", "One theme's members.", "select vec_id from {marks} where label
 sql("show_conflicts", "Memories with a contradicted one of the same content.", "select a.memory_id, b.memory_id as partner from {shelf} a join {shelf} b on md5(a.content) = md5(b.content) and a.memory_id <> b.memory_id where a.status = 'active' and b.status = 'contradicted'")
 sql("recall_temporal_events", "Memories that events of a time window touch, by number of events.", f"select m.memory_id, count(*) as n from {{tape}} t cross join {NOW} n join {{memories}} m on m.memory_id = t.entity where t.us >= n.now - :days * {DAY_US} group by m.memory_id", days=7)
 sql("recall_temporal", "Memories created in the last days: created at the first event on them.", f"select m.memory_id, c.us as created_us from {{memories}} m join (select entity, min(us) as us from {{tape}} group by entity) c on c.entity = m.memory_id cross join {NOW} n where c.us >= n.now - :days * {DAY_US}", days=30)
-sql("correction_check", "Corrections whose trigger (two successive words) recurs in a text.", "select distinct c.memory_id from {shelf} c where c.status = 'contradicted' and lower(c.content) like '%' || :bigram || '%'", bigram="of the")
 sql("recall_last_action_of", "Last occurrences of a tool on an entity.", "select event_id, session from {tape} where tool = :tool and entity = :entity order by us desc, event_id desc limit 5", tool="view", entity=5)
-sql("recall_true_counterfactual", "Decisions in which an entity was considered (viewed) in the session and another one bought.", "select distinct v.session, v.entity as rejected, p.entity as taken from {tape} v join {tape} p on p.session = v.session and p.tool = 'purchase' and p.us > v.us and p.us <= v.us + 3600000000 where v.tool = 'view' and v.entity <> p.entity")
 sql("export_soul", "Memories by kind as seed rows.", "select kind, memory_id, md5(content) as content_md5 from {memories}")
 sql("wiki_export", "Pages of memories with the number of other memories of the same realm and kind that link to them by content.", "select a.memory_id, count(b.memory_id) as backlinks from {memories} a left join {memories} b on md5(a.content) = md5(b.content) and a.memory_id <> b.memory_id group by a.memory_id")
 

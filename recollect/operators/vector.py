@@ -26,16 +26,6 @@ def knn(vectors: DataFrame, query_id: int, *carried: str) -> DataFrame:
     return vectors.where(F.col("vec_id") != query_id).join(F.broadcast(q)).select("vec_id", F.round(cosine("embedding", "q"), 6).alias("score"), *carried)
 
 
-def near_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
-    """a, b, score of pairs whose two largest components are the same ones and whose cosine is the threshold or more."""
-    keyed = vectors.select("vec_id", "embedding", F.slice(_largest(F.col("embedding")), 1, 2).alias("head"))
-    keyed = keyed.withColumn("head", F.array_sort(F.transform("head", lambda s: s["i"])))
-    l, r = keyed.alias("l"), keyed.alias("r")
-    pairs = l.join(r, (F.col("l.head") == F.col("r.head")) & (F.col("l.vec_id") < F.col("r.vec_id")))
-    scored = pairs.select(F.col("l.vec_id").alias("a"), F.col("r.vec_id").alias("b"), cosine("l.embedding", "r.embedding").alias("s"))
-    return scored.where(F.col("s") >= threshold).select("a", "b", F.round("s", 6).alias("score"))
-
-
 def sketch(v: Column | str, dims: int = 32) -> Column:
     """struct(scale, codes): successive components averaged to so many dimensions, in steps of the largest over 127."""
     v = F.col(v) if isinstance(v, str) else v

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recollect.functions import text as T
-from recollect.operators import fusion, graph, lexical, vector
+from recollect.operators import fusion, graph, lexical, similar, vector
 from recollect.operators import transcript as tr
 from recollect.plans import retrieval as R
 from recollect.plans.graphs import _BOTH, _T
@@ -94,16 +94,10 @@ def smart_context(spark: SparkSession, sf_dir: str, budget: int = 8000, **asked:
 
 
 _COS = "list_cosine_similarity(a.embedding::double[], b.embedding::double[])"
-_HEAD = "(select vec_id, embedding, list_sort(list_transform(list_slice(list_sort(list_transform(generate_series(1, len(embedding)), lambda i: {'m': -round(abs(embedding[i]::double), 9), 'i': i - 1})), 1, 2), lambda s: s.i)) head from embeddings)"
-
-
-@query(f"select a.vec_id a, b.vec_id b, round({_COS}, 6) score from {_HEAD} a join {_HEAD} b on a.head = b.head and a.vec_id < b.vec_id where {_COS} >= 0.9")
+@query(f"select a.vec_id a, b.vec_id b, round({_COS}, 6) score from embeddings a join embeddings b on a.vec_id < b.vec_id where {_COS} >= 0.9")
 def find_near_duplicates(spark: SparkSession, sf_dir: str, threshold: float = 0.9) -> DataFrame:
-    """Pairs of vectors of a cosine at the threshold or above, among those whose two largest components are the same ones.
-
-    The two components are the block: a heuristic that keeps the join from comparing all pairs.
-    """
-    return vector.near_pairs(vectors(spark, sf_dir), threshold)
+    """Pairs of vectors of a cosine at the threshold or above, by an index of random hyperplanes."""
+    return similar.near_pairs(vectors(spark, sf_dir), threshold)
 
 
 @query(f"select label, round(avg(score), 3) mean_score, count(*) n, round(1 - max(score), 3) quality from (select vec_id, score, label from ({R.knn_sql()}) join (select vec_id, label from embeddings) using (vec_id)) group by label order by mean_score desc, label limit 1")
@@ -161,18 +155,24 @@ def shortest_path(spark: SparkSession, sf_dir: str, start: str = "customer:1", e
 
 def _compact_sql(budget: int) -> str:
     lex = R._LEX
-    return f"""with t as (select conv_id session, turn, role, {lex} tokens, floor(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) * 1.3::double)::bigint cost, count(*) over (partition by conv_id) n, row_number() over (partition by conv_id order by turn) - 1 i from conversations),
+    return f"""with recursive t as (select conv_id session, turn, role, {lex} tokens, floor(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) * 1.3::double)::bigint cost, count(*) over (partition by conv_id) n, row_number() over (partition by conv_id order by turn) - 1 i from conversations),
     q as (select session, arg_max(tokens, turn) asked from t where role = 'user' group by session),
-    s as (select t.*, (case when role = 'user' then 1.1 else 1.0 end)::double * (0.65 * case when len(asked) > 0 then len(list_intersect(tokens, asked)) / len(asked)::double else 0 end + 0.25 * (0.2 + 0.8 * case when n > 1 then i / (n - 1)::double else 0 end) + 0.10) score from t join q using (session)),
+    s as (select t.*, (case when role = 'user' then 1.1 else 1.0 end)::double * (0.65 * case when len(asked) > 0 then len(list_intersect(tokens, asked)) / len(asked)::double else 0 end + 0.25 * (0.2 + 0.8 * case when n > 1 then i / (n - 1)::double else 1 end) + 0.10) score from t join q using (session)),
     m as (select session, median(score) med from s group by session), d as (select session, median(abs(score - med)) mad from s join m using (session) group by session),
-    o as (select s.*, n - i <= 2 forced, score >= med + 0.5 * mad good from s join m using (session) join d using (session)),
-    r as (select *, sum(cost) over (partition by session order by forced desc, good desc, score desc, turn rows unbounded preceding) spent from o)
-    select session, turn, round(score, 6) score, cost, forced from r where (forced and spent <= 1.2::double * {budget}) or spent <= {budget}"""
+    o as (select session, turn, i, n, cost, round(score, 9) score, score >= med + 0.5 * mad good from s join m using (session) join d using (session)),
+    best as (select *, sum(cost) over (partition by session order by score desc, i rows unbounded preceding) spent from o where good),
+    base as (select session, coalesce(sum(cost), 0) spent, list(i) kept from (select * from best where spent <= {budget}) group by session),
+    steps as (select session, i, cost, most, row_number() over (partition by session order by phase, rank_) step from (
+      select session, i, cost, {budget}::double most, 1 phase, row_number() over (partition by session order by score desc, i) rank_ from o where not good union all select session, i, cost, {budget} * 1.2::double, 2, i from o where i >= n - 2)),
+    walk(session, step, spent, kept) as (select session, 0::bigint, coalesce(b.spent, 0)::double, coalesce(kept, []) from (select distinct session from o) left join base b using (session)
+      union all select w.session, s.step, case when not list_contains(w.kept, s.i) and w.spent + s.cost <= s.most then w.spent + s.cost else w.spent end, case when not list_contains(w.kept, s.i) and w.spent + s.cost <= s.most then list_append(w.kept, s.i) else w.kept end from walk w join steps s on s.session = w.session and s.step = w.step + 1),
+    fin as (select session, arg_max(kept, step) kept from walk group by session)
+    select session, turn, round(score, 6) score, cost, good from o join fin using (session) where list_contains(kept, i)"""
 
 
 @query(_compact_sql(300))
 def trajectory_compact(spark: SparkSession, sf_dir: str, budget: int = 300, k: float = 0.5) -> DataFrame:
-    """The turns of each session that stay within a token budget: the last two, then those above median + k MAD, then the rest, best first."""
+    """The turns of each session that stay within a token budget: the best of those above median + k MAD, others that still fit, the last two."""
     return tr.compact(turns(spark, sf_dir), budget, k)
 
 

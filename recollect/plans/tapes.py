@@ -239,7 +239,7 @@ def transcript_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns(spark, sf_dir).where(F.lower("text").contains("the ") & (F.col("role") != "system")).select("session", "turn")
 
 
-_SCORES = "(select conv_id session, turn, floor(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) * 1.3::double)::bigint tokens, (case when role = 'user' then 1.1 else 1.0 end)::double * (0.25 * (0.2 + 0.8 * case when n > 1 then i / (n - 1)::double else 0 end) + 0.1) score from (select *, count(*) over (partition by conv_id) n, row_number() over (partition by conv_id order by turn) - 1 i from conversations))"
+_SCORES = "(select conv_id session, turn, floor(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) * 1.3::double)::bigint tokens, (case when role = 'user' then 1.1 else 1.0 end)::double * (0.25 * (0.2 + 0.8 * case when n > 1 then i / (n - 1)::double else 1 end) + 0.1) score from (select *, count(*) over (partition by conv_id) n, row_number() over (partition by conv_id order by turn) - 1 i from conversations))"
 
 
 @query(f"select session, turn, tokens, round(score, 6) score, round(m, 6) threshold, score >= m kept from (select *, median(score) over (partition by session) m from {_SCORES})")
@@ -247,7 +247,7 @@ def trajectory_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compaction scores of turns by role and recency, against their session's median."""
     w = Window.partitionBy("session")
     t = turns(spark, sf_dir).withColumn("n", F.count("*").over(w)).withColumn("i", F.row_number().over(w.orderBy("turn")) - 1)
-    place = F.when(F.col("n") > 1, F.col("i") / (F.col("n") - 1)).otherwise(0.0)
+    place = F.when(F.col("n") > 1, F.col("i") / (F.col("n") - 1)).otherwise(1.0)
     score = F.when(F.col("role") == "user", 1.1).otherwise(1.0) * (0.25 * (0.2 + 0.8 * place) + 0.1)
     t = t.select("session", "turn", token_estimate(F.col("text")).alias("tokens"), score.alias("s"))
     t = t.join(t.groupBy("session").agg(F.percentile("s", 0.5).alias("m")), "session")

@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 
+import pandas as pd
 import pytest
 
 from recollect.operators import graph, tape, threads, transcript
@@ -66,6 +67,22 @@ def test_compaction_keeps_the_last_turns_and_what_answers(spark):
     assert {6, 7} <= kept and len(kept) < 8
 
 
+@pytest.mark.parametrize(
+    ("costs", "scores", "good", "want"),
+    [
+        ([600, 3, 3, 3, 3], [9, 5, 4, 3, 2], [True, False, False, False, False], [1, 2, 3, 4]),  # a turn beyond the budget doesn't keep others out
+        ([30, 20, 15, 5, 5], [9, 8, 7, 1, 2], [True, True, True, False, False], [0, 1, 3, 4]),  # the third good one is one too many
+        ([50, 10, 30], [9, 1, 2], [True, False, False], [0, 1]),  # the last one fits no slack any more
+        ([50, 1, 12], [9, 1, 2], [True, False, False], [0, 1, 2]),
+        ([58, 5, 9], [9, 1, 2], [True, False, False], [0, 1, 2]),  # the last two may go a fifth beyond
+        ([], [], [], []),
+    ],
+)
+def test_what_stays_within_a_budget(costs, scores, good, want):
+    rows = pd.DataFrame({"i": range(len(costs)), "cost": costs, "score": scores, "good": good})
+    assert [i for i, s in zip(rows["i"], transcript._selected(rows, 60), strict=True) if s] == want
+
+
 def test_shortest_connections(spark):
     edges = spark.createDataFrame([("a", "p", "b"), ("c", "p", "b"), ("c", "p", "d"), ("a", "p", "x"), ("x", "p", "y")], "subject string, predicate string, object string")
     assert sorted(tuple(r) for r in graph.shortest(edges, "a", "d").collect()) == [("a", 0), ("b", 1), ("c", 2), ("d", 3)]

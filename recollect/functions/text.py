@@ -15,6 +15,9 @@ EXPAND_STOP = (
     "as into through i me my we our you your he him his she her it its they them their what which who this that these those not only just about so "
     "than too very all both each more most other some such no own same here there when where why how then once am out off over under"
 ).split()
+# Words that are no terms of a query, and words that name nothing in code.
+TERM_STOP = "the and for that with how what does can".split()
+CODE_STOP = "the and for with what which where how does this that from are when into can code file function implemented implements".split()
 # Speech acts in order, the first that matches counts.
 SPEECH_ACTS = [
     ("decision", r"\bwe\s+decided\b|\bdecision\s*:|\bchose\b.{0,40}\bover\b|\bgoing\s+with\b"),
@@ -99,3 +102,30 @@ def entities(text: Column) -> Column:
 def token_estimate(text: Column) -> Column:
     """Words times 1.3, as a whole number."""
     return F.floor(F.regexp_count(text, F.lit(r"\S+")) * F.lit(1.3)).cast("long")
+
+
+def extract_terms(text: Column) -> Column:
+    """The terms of a query in their order: its words without signs, lower-case, of 3 ASCII letters or digits at least."""
+    plain = F.transform(F.split(text, r"\s+"), lambda w: F.lower(F.regexp_replace(w, "[^A-Za-z0-9]", "")))
+    return F.filter(plain, lambda w: (F.length(w) >= 3) & ~w.isin(TERM_STOP))
+
+
+def code_words(text: Column) -> Column:
+    """Words of identifiers in their order: parted at humps and between letters and digits, lower-case, lightly stemmed."""
+    parted = F.regexp_replace(text, "([a-z])(?=[A-Z])|([A-Za-z])(?=[0-9])|([0-9])(?=[A-Za-z])", "$1$2$3 ")
+    kept = F.filter(F.transform(F.split(parted, "[^A-Za-z0-9]+"), F.lower), lambda w: (F.length(w) > 1) & ~w.isin(CODE_STOP))
+    cut = lambda w, n: F.substring(w, F.lit(1), F.length(w) - n)
+
+    def stem(w: Column) -> Column:
+        n = F.length(w)
+        return F.when((n > 5) & w.endswith("ing"), cut(w, 3)).when((n > 4) & w.endswith("ed"), cut(w, 2)).when((n > 4) & w.endswith("s"), cut(w, 1)).otherwise(w)
+
+    return F.transform(F.transform(kept, stem), lambda w: F.when((F.length(w) > 4) & w.endswith("e"), cut(w, 1)).otherwise(w))
+
+
+def token_f1(a: Column | str, b: Column | str) -> Column:
+    """Harmonic mean of the shares of two texts' words that the other has, each as often as it has it; 0 without any in common."""
+    count = lambda words_, w: F.size(F.filter(words_, lambda x: x == w))
+    left, right = words(a), words(b)
+    common = F.aggregate(F.array_distinct(left), F.lit(0), lambda s, w: s + F.least(count(left, w), count(right, w)))
+    return F.when(common > 0, 2.0 * common / (F.size(left) + F.size(right))).otherwise(0.0)

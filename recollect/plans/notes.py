@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.functions import dates, notation
+from recollect.functions import text as T
+from recollect.functions.pages import page_text
 from recollect.operators.atoms import CLASSES, SECRET, AtomIndex
 from recollect.operators.graph import shared_folder
 from recollect.plans.registry import query
@@ -145,3 +147,52 @@ def span_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Memories of each realm that hold atoms of each class, by the index."""
     held = atom_index(spark, sf_dir).rows("documents", "by_memory").select("memory_id", "class").distinct()
     return memories(spark, sf_dir).select("memory_id", "realm").join(held, "memory_id").groupBy("realm", "class").agg(F.countDistinct("memory_id").alias("memories"))
+
+
+_PAGE = """(select page_id, url, case when contains(html, '<html') or contains(html, '<HTML') then regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?(?:</script[^>]*>|\\z)', '', 'g'), '(?is)<style.*?(?:</style[^>]*>|\\z)', '', 'g'), '<[^>]*>?', '', 'g'), '>', ''), '[ \\n\\r\\t]+', ' ', 'g') else html end as text from pages)"""
+
+
+@query(f"select page_id, case when starts_with(url, 'http://') or starts_with(url, 'https://') then 'url' else 'file' end as kind, length(text) n_chars, md5(text) text_md5 from {_PAGE}")
+def page_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", page_text(F.col("html")).alias("text"))
+    kind = F.when(F.col("url").startswith("http://") | F.col("url").startswith("https://"), "url").otherwise("file")
+    return pages.select("page_id", kind.alias("kind"), F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+def _listed(words: list[str]) -> str:
+    return "[" + ",".join(f"'{w}'" for w in words) + "]"
+
+
+@query(f"select item_id, len(t) n_terms, array_to_string(t, ' ') terms from (select item_id, list_filter(list_transform(regexp_split_to_array(text, '\\s+'), lambda w: lower(regexp_replace(w, '[^A-Za-z0-9]', '', 'g'))), lambda w: length(w) >= 3 and not list_contains({_listed(T.TERM_STOP)}, w)) t from benchmark)")
+def extract_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms of every benchmark passage taken as a query."""
+    rows = table(spark, sf_dir, "benchmark").select("item_id", T.extract_terms(F.col("text")).alias("t"))
+    return rows.select("item_id", F.size("t").cast("long").alias("n_terms"), F.array_join("t", " ").alias("terms"))
+
+
+_PARTED = "regexp_replace(regexp_replace(regexp_replace(text, '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Za-z])([0-9])', '\\1 \\2', 'g'), '([0-9])([A-Za-z])', '\\1 \\2', 'g')"
+_STEM = "case when length(w) > 5 and ends_with(w, 'ing') then w[:-4] when length(w) > 4 and ends_with(w, 'ed') then w[:-3] when length(w) > 4 and ends_with(w, 's') then w[:-2] else w end"
+
+
+@query(
+    f"""with w as (select unnest(list_transform(regexp_split_to_array({_PARTED}, '[^A-Za-z0-9]+'), lambda x: lower(x))) w from {_LOG}),
+    s as (select {_STEM} w from w where length(w) > 1 and not list_contains({_listed(T.CODE_STOP)}, w)) select case when length(w) > 4 and ends_with(w, 'e') then w[:-2] else w end word, count(*) n from s group by 1"""
+)
+def code_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the identifiers that the journal names."""
+    rows = journal.log(table(spark, sf_dir, "events")).select(F.explode(T.code_words(F.col("text"))).alias("word"))
+    return rows.groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query(
+    """with t as (select conv_id, turn, role, regexp_extract_all(lower(text), '[a-z0-9]+') w from conversations), p as (select a.conv_id, a.turn, a.w a, u.w b from t a join t u on u.conv_id = a.conv_id and u.turn = a.turn - 1 where a.role = 'assistant' and u.role = 'user'),
+    c as (select conv_id, turn, sum(least(len(list_filter(a, lambda x: x = w)), len(list_filter(b, lambda x: x = w)))) n from (select *, unnest(list_distinct(a)) w from p) group by all)
+    select p.conv_id session, p.turn, round(case when coalesce(n, 0) > 0 then 2.0::double * n / (len(a) + len(b)) else 0 end, 6) f1 from p left join c on c.conv_id = p.conv_id and c.turn = p.turn"""
+)
+def token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of a question's words its answer takes up, and the other way round."""
+    turns = table(spark, sf_dir, "conversations")
+    asked = turns.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("asked"))
+    both = turns.where("role = 'assistant'").join(asked, ["conv_id", "turn"])
+    return both.select(F.col("conv_id").alias("session"), "turn", F.round(T.token_f1("text", "asked"), 6).alias("f1"))

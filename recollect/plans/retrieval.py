@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from recollect.functions import dates
 from recollect.functions import text as T
 from recollect.operators import fusion, lexical, vector
+from recollect.operators import lookup as lookups
 from recollect.operators import recall as recalls
 from recollect.plans import notes
 from recollect.plans.registry import query
-from recollect.sources.tables import memories, table, turns, vectors
+from recollect.sources.tables import memories, table, triplets, turns, vectors
 
 QUESTION = "apache license version token"
 PROBE = 0  #: vec_id of the probe vector
@@ -384,3 +385,60 @@ def score_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = vector.knn(v, PROBE, "label").where("score > 0")
     p = scored.withColumn("p", F.col("score") / F.sum("score").over(Window.partitionBy("label")))
     return p.groupBy("label").agg(F.count("*").alias("n"), F.round(-F.sum(F.col("p") * F.log2("p")), 6).alias("entropy"))
+
+
+_ASKED = "nation3 license"
+_TERMS = ["nation3", "license"]  # of 4 letters or digits at least, three at most, up to the first shorter one
+_TRIPLETS = (
+    "(select 'customer:' || c_custkey s, 'in_nation' p, 'nation:' || c_nationkey o from customer union all select 'supplier:' || s_suppkey, 'in_nation', 'nation:' || s_nationkey from supplier "
+    "union all select 'nation:' || n_nationkey, 'in_region', 'region:' || n_regionkey from nation)"
+)
+
+
+def _lookup_sql(question: str, terms: list[str], limit: int) -> str:
+    weights = ",".join(f"('{i}','{b}',{w}::double)" for i, ws in lookups.WEIGHTS.items() for b, w in zip(lookups.BACKENDS, ws, strict=True))
+    return f"""with w(intent, backend, weight) as (values {weights}), d as (select doc_id, text, 'memory:' || doc_id id from documents), named as (select * from (values {",".join(f"({i}, '{t}')" for i, t in enumerate(terms))}) n(place, term)),
+    kw as (select id, rank, text from ({top_sql(bm25_sql(question), limit)}) join d on doc_id = memory_id), sem as (select id, rank, text from ({top_sql(_SEMANTIC, limit)}) join d on doc_id = memory_id),
+    tri as (select s id, row_number() over (order by place, s, p, o) as rank, s || ' ' || p || ' ' || o as text from {_TRIPLETS} join named on regexp_replace(s, '[^A-Za-z0-9]', '', 'g') = term qualify rank <= {limit}),
+    seen as (select (props->>'$.k')::bigint k, min(epoch_us(ts)) us from events where ts is not null group by 1), ends as (select max(us) us from (select epoch_us(ts) us from events where ts is not null)),
+    tmp as (select id, row_number() over (order by seen.us desc, doc_id) as rank, text from seen join d on doc_id = k, ends where seen.us >= ends.us - 2592000000000 and seen.us < ends.us qualify rank <= {limit}),
+    sym as (select 'sym:' || p_partkey id, row_number() over (order by p_partkey) as rank, p_type || ' ' || p_name || ' @ ' || p_brand as text from part where {" or ".join(f"contains(lower(p_name), '{t}')" for t in T.python_words(question))} qualify rank <= {limit}),
+    r as (select 'keyword' backend, * from kw union all select 'semantic', * from sem union all select 'triplet', * from tri union all select 'temporal', * from tmp union all select 'code', * from sym),
+    sure as (select coalesce(max({_overlap_sql(question)}), 0) s from kw where rank = 1),
+    b as (select intent, id, sum(weight / (60 + rank)) s, count(distinct backend) backends, bool_or(contains(lower(text), '{question}')) whole from r join w using (backend), sure where weight > 0 and (backend <> 'temporal' or intent = 'temporal') and (backend = 'keyword' or sure.s < 0.9) group by intent, id),
+    f as (select intent, id, round(s + case when backends >= 2 then 0.1::double else 0 end + case when whole then 0.15::double else 0 end, 9) score, backends from b)
+    select intent, id, score, row_number() over (partition by intent order by score desc, id) as rank, backends, max(score) over (partition by intent) < 0.55 as escalate from f qualify rank <= {limit}"""
+
+
+@query(_lookup_sql(_ASKED, _TERMS, 20))
+def lookup(spark: SparkSession, sf_dir: str, question: str = _ASKED, probe: int = PROBE, limit: int = 20, intents: tuple[str, ...] = tuple(lookups.WEIGHTS)) -> DataFrame:
+    """The best of five backends for a question, for each intent that it may have."""
+    found = _index(spark, sf_dir)
+    mem = memories(spark, sf_dir).select("memory_id", F.concat(F.lit("memory:"), F.col("memory_id").cast("string")).alias("id"), F.col("content").alias("text"))
+    with_text = lambda lane: mem.join(F.broadcast(lane.select("memory_id", "rank")), "memory_id")
+    lanes = {k: with_text(v) for k, v in _lanes(spark, sf_dir, limit, question, probe, found).items()}
+    lanes["keyword"] = lanes["keyword"].withColumn("sure", lexical.term_overlap(F.col("text"), question))
+    terms: list[str] = []
+    for word in question.split():
+        plain = "".join(c for c in word if c.isascii() and c.isalnum()).lower()
+        if len(plain) < 3 or plain in T.TERM_STOP:
+            continue
+        if len(plain) < 4 or len(terms) == 3:
+            break
+        terms.append(plain)
+    named = spark.createDataFrame(list(enumerate(terms)) or [(0, "")], "place int, term string")
+    facts = triplets(spark, sf_dir).join(F.broadcast(named), F.regexp_replace("subject", "[^A-Za-z0-9]", "") == F.col("term"))
+    best = facts.orderBy("place", "subject", "predicate", "object").limit(limit).withColumn("rank", F.row_number().over(Window.orderBy("place", "subject", "predicate", "object")))
+    lanes["triplet"] = best.select(F.col("subject").alias("id"), "rank", F.concat_ws(" ", "subject", "predicate", "object").alias("text"))
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    events = table(spark, sf_dir, "events").where("ts is not null").select(F.get_json_object("props", "$.k").cast("long").alias("memory_id"), at.alias("us"))
+    ends = events.agg(F.max("us").alias("end"))
+    recent = events.groupBy("memory_id").agg(F.min("us").alias("us")).join(F.broadcast(ends)).where((F.col("us") >= F.col("end") - 30 * dates.DAY) & (F.col("us") < F.col("end")))
+    recent = recent.join(mem.select("memory_id"), "memory_id", "left_semi").orderBy(F.desc("us"), "memory_id").limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("us"), "memory_id")))
+    lanes["temporal"] = with_text(recent)
+    named_so = F.lit(False)
+    for w in T.python_words(question):
+        named_so = named_so | F.lower("p_name").contains(w)
+    parts = table(spark, sf_dir, "part").where(named_so).orderBy("p_partkey").limit(limit).withColumn("rank", F.row_number().over(Window.orderBy("p_partkey")))
+    lanes["code"] = parts.select(F.concat(F.lit("sym:"), F.col("p_partkey").cast("string")).alias("id"), "rank", F.concat(F.col("p_type"), F.lit(" "), F.col("p_name"), F.lit(" @ "), F.col("p_brand")).alias("text"))
+    return lookups.lookup(lanes, question, limit, intents)

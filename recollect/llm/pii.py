@@ -84,20 +84,34 @@ _LOOK_ALIKE = {
     "ı": "i", "ɑ": "a", "ɡ": "g", "․": ".", "。": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", " ": " ", " ": " ", " ": " ",
 }
 _INVISIBLE = frozenset("­​‌‍⁠﻿")
-# English names of the digits.
-_SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+# Names of the digits, and words for at, dot and plus, in English, German, French and Spanish.
+_DIGIT_NAMES = (
+    "zero oh null zéro cero", "one eins un uno", "two zwei zwo deux dos", "three drei trois tres", "four vier quatre cuatro",
+    "five fünf cinq cinco", "six sechs seis", "seven sieben sept siete", "eight acht huit ocho", "nine neun neuf nueve",
+)
+_SPELLED = {name: str(digit) for digit, names in enumerate(_DIGIT_NAMES) for name in names.split()}
+_AT_NAMES, _DOT_NAMES = "at|arroba|arobase|ät", "dot|point|punkt|punto"
 _NAMES = "|".join(_SPELLED)
-_SPELLED_RUN = re.compile(rf"\b(?:(?P<plus>plus)[\s-]+)?(?:(?:{_NAMES})\b[\s,-]{{1,3}}){{2,}}(?:{_NAMES})\b")
-_NAME = re.compile(rf"{_NAMES}")
-_AT = re.compile(r"\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|(?<=[a-z0-9])(?P<plain>\s+at\s+)(?=[a-z0-9-]+(?:(?P<dot>\s*\.\s*)|\s+dot\s+|\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*)[a-z0-9])|(?<=[a-z0-9])_at_(?=[a-z0-9])|&#64;|&commat;|%40(?=[a-z0-9])")
-# "at" before a plain domain is prose ("we met at example.com") unless the words before it speak of an address.
-_CUE = re.compile(r"\b(?:e-?mails?|mail(?:to)?|write|contact|reach|address|send|ping|cc|bcc)\b[\s:,;-]*(?:(?:to|is|me|us|him|her|them|via|the|my|our|address)\b[\s:,;-]*){0,3}\Z")
+# Three names at least, with what separates them; a word for a dot may stand between two.
+_SPELLED_RUN = re.compile(rf"\b(?:(?P<plus>plus|más)[\s-]+)?(?:(?:{_NAMES})\b(?:[\s,-]{{1,3}}|\s+(?:{_DOT_NAMES})\s+)){{2,}}(?:{_NAMES})\b")
+_NAME = re.compile(rf"\b(?:{_NAMES}|{_DOT_NAMES})\b")
+_AT = re.compile(
+    rf"\s*[\[({{<]\s*(?:{_AT_NAMES}|@)\s*[\])}}>]\s*|(?<=[a-z0-9])(?P<plain>\s+at\s+)(?=[a-z0-9-]+(?:(?P<dot>\s*\.\s*)|\s+(?:{_DOT_NAMES})\s+|\s*[\[({{<]\s*(?:{_DOT_NAMES}|\.)\s*[\])}}>]\s*)[a-z0-9])"
+    r"|(?<=[a-z0-9])\s+(?:arroba|arobase)\s+(?=[a-z0-9])|(?<=[a-z0-9])_at_(?=[a-z0-9])|&#64;|&commat;|%40(?=[a-z0-9])"
+)
+# "at" before a plain domain is prose ("we met at example.com") unless the name before it has a sign or a digit, as addresses
+# have, or the words before it speak of an address.
+_CUE = re.compile(
+    r"\b(?:e-?mails?|mail(?:to)?|write|contact|reach|address|send|ping|cc|bcc|schreib\w*|adresse|kontakt|erreich\w*|écri\w*|courriel|contacte\w*|correo|escrib\w*|contacta\w*|dirección)\b[\s:,;-]*"
+    r"(?:(?:to|is|me|us|him|her|them|via|the|my|our|address|an|bitte|mir|uns|ist|à|est|moi|nous|a|al|es|mi|por|adresse|dirección)\b[\s:,;-]*){0,3}\Z"
+)
 _NO_NAME = frozenset("i me you he him she her it us we they them this that is are was were be been look met all or and not only".split())
-_DOT = re.compile(r"\s*[\[({<]\s*(?:dot|\.|point)\s*[\])}>]\s*|(?<=[a-z0-9])\s+dot\s+(?=[a-z0-9])|(?<=[a-z0-9])_dot_(?=[a-z0-9])|&#46;")
+_DOT = re.compile(rf"\s*[\[({{<]\s*(?:{_DOT_NAMES}|\.)\s*[\])}}>]\s*|(?<=[a-z0-9])\s+dot\s+(?=[a-z0-9])|(?<=[a-z0-9])\s+(?:point|punkt|punto)\s+(?=[a-z]{{2,6}}\b)|(?<=[a-z0-9])_dot_(?=[a-z0-9])|&#46;")
 # Without the white space that _AT and _DOT take before and after it: whatever they match holds a match of these.
-_AT_WORD = re.compile(r"\sat\s+[a-z0-9-]+(?:\s*[.\[({<]|\s+dot\s)")
-_DOT_WORD = re.compile(r"\sdot\s")
-_BRACKET = re.compile(r"[\[({<]\s*(?:at|@|dot|\.|point)\s*[\])}>]")
+_AT_WORD = re.compile(rf"\s(?:at\s+[a-z0-9-]+(?:\s*[.\[({{<]|\s+(?:{_DOT_NAMES})\s)|(?:arroba|arobase)\s)")
+_DOT_WORD = re.compile(rf"\s(?:{_DOT_NAMES})\s")
+_BRACKET = re.compile(rf"[\[({{<]\s*(?:{_AT_NAMES}|@|{_DOT_NAMES}|\.)\s*[\])}}>]")
+_MARKED = re.compile(r"[0-9._%+-]")
 
 
 @lru_cache(maxsize=1 << 16)
@@ -150,8 +164,9 @@ def _characters(text: str) -> list[tuple[int, int, str]]:
 
 
 def _digits(text: str) -> list[tuple[int, int, str]]:
-    """Runs of spelled digits, each written as digits without what stood between them."""
-    return [(m.start(), m.end(), "+" * bool(m["plus"]) + "".join(_SPELLED[x] for x in _NAME.findall(text, m.end("plus") if m["plus"] else m.start(), m.end()))) for m in _SPELLED_RUN.finditer(text)]
+    """Runs of spelled digits, each written as digits, with points for the words for a dot and without what else stood between them."""
+    names = lambda m: _NAME.findall(text, m.end("plus") if m["plus"] else m.start(), m.end())
+    return [(m.start(), m.end(), "+" * bool(m["plus"]) + "".join(_SPELLED.get(x, ".") for x in names(m))) for m in _SPELLED_RUN.finditer(text)]
 
 
 def _lower(text: str) -> str:
@@ -168,7 +183,8 @@ def _ats(text: str) -> list[tuple[int, int, str]]:
             start = m.start()
             while start and text[start - 1] in _LOCAL_CHARS:
                 start -= 1
-            if text[start : m.start()] in _NO_NAME or not _CUE.search(text, max(0, start - 60), start):
+            name = text[start : m.start()]
+            if name in _NO_NAME or not (_MARKED.search(name.strip("._-")) or _CUE.search(text, max(0, start - 60), start)):
                 continue
         out.append((m.start(), m.end(), "@"))
     return out
@@ -185,7 +201,7 @@ def disguised(text: str) -> bool:
     low = _lower(text)
     if "&#" in low or "%40" in low or "&commat" in low or "_at_" in low or "_dot_" in low:
         return True
-    return bool("dot" in low and _DOT_WORD.search(low) or _AT_WORD.search(low) or _BRACKET.search(low) or _SPELLED_RUN.search(low))
+    return bool(_DOT_WORD.search(low) or _AT_WORD.search(low) or _BRACKET.search(low) or _SPELLED_RUN.search(low))
 
 
 def spans(text: str | None) -> tuple[list[Span], list[Span]]:

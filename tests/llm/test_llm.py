@@ -429,6 +429,30 @@ def test_addresses_with_at(text):
     assert [text[a:b] for k, a, b in pii.spans(text)[1] if pii.KINDS[k] == "email" and text[a:b].startswith("joe")]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("schreib an joe at example.com bitte", "email", "joe at example.com"),
+        ("joe.smith at example.com was here", "email", "joe.smith at example.com"),
+        ("escribe a ana arroba correo punto es", "email", "ana arroba correo punto es"),
+        ("ann arobase mail point fr", "email", "ann arobase mail point fr"),
+        ("bob (arroba) mail (punto) com", "email", "bob (arroba) mail (punto) com"),
+        ("plus vier neun drei null eins zwei drei vier fünf", "phone", "plus vier neun drei null eins zwei drei vier fünf"),
+        ("appelez plus un deux trois quatre cinq six sept huit", "phone", "plus un deux trois quatre cinq six sept huit"),
+        ("más uno dos tres cuatro cinco seis siete ocho", "phone", "más uno dos tres cuatro cinco seis siete ocho"),
+        ("host one nine two dot one six eight dot zero dot one up", "ip", "one nine two dot one six eight dot zero dot one"),
+    ],
+)
+def test_disguises_of_four_languages(text, kind, found):
+    base, every = pii.spans(text)
+    assert base == [] and [(pii.KINDS[k], text[a:b]) for k, a, b in every] == [(kind, found)] and pii.disguised(text)
+
+
+@pytest.mark.parametrize("text", ["un point de vue", "c'est le point final", "um eins nach zwei", "dos tres palabras", "uno a uno", "treffen at example.com", "ein punkt fehlt"])
+def test_prose_of_four_languages_is_left_alone(text):
+    assert pii.spans(text) == ([], [])
+
+
 def test_no_text_that_transducers_rewrite_is_skipped():
     rng = random.Random(5)
     parts = ["ann", "at", "AT", "dot", "mail", "org", "one", "two", "six", "plus", "[", "]", "(", ")", "<", ".", "@", "point", "_at_", "_dot_", "&#64;", "%40", "&#46;", "&commat;", " ", " ", "\n", "\t", "\r\n", "\u2028", "-", "\u0130", "\u0430", "7"]

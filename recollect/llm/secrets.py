@@ -23,9 +23,9 @@ ASSIGN = r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][C
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}+"
 # Weak parts: identifiers of temporary or other keys and of clients, opaque strings, endpoints.
-WEAK_ID = r"(?<![A-Z0-9])A(?:SIA|ROA|IDA|GPA)[A-Z0-9]{16,}+|(?i:(?<![a-z0-9])(?:client|account|access_?key|user)_?(?:id|name)?[\"']?\x20{0,4}[:=]\x20{0,4}[\"']?[A-Za-z0-9._@-]{4,64})"
+WEAK_ID = r"(?<![A-Z0-9])A(?:SIA|ROA|IDA|GPA)[A-Z0-9]{16,}+|(?i:(?<![a-z0-9])(?:client|account|access_?key|user)_?(?:id|name)?[\"']?\x20*+[:=]\x20*+[\"']?[A-Za-z0-9._@-]{4,}+)"
 WEAK_SECRET = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/=_-])"
-WEAK_ENDPOINT = r"(?i:https?|jdbc|amqp|ftp|mongodb|postgres(?:ql)?|redis|mysql)://[^\s\"'<>]{4,}+|(?<![A-Za-z0-9.-])(?:[a-z0-9-]{1,63}\.){1,8}(?:amazonaws\.com|windows\.net|googleapis\.com)"
+WEAK_ENDPOINT = r"(?i:https?|jdbc|amqp|ftp|mongodb|postgres(?:ql)?|redis|mysql)://[^\s\"'<>]{4,}+|(?<![A-Za-z0-9.-])(?:[a-z0-9-]+\.)+(?:amazonaws\.com|windows\.net|googleapis\.com)"
 BASE = ("assign", "access", "hex")
 WEAK = ("weak_id", "weak_secret", "endpoint")
 KINDS = (*BASE, *WEAK)

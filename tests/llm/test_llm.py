@@ -590,6 +590,10 @@ def test_parts_of_credentials_of_any_length_and_distance(spark):
     for i, t in enumerate(texts[:3]):
         kinds = {s.split(":")[0]: t[int(s.split(":")[1]) : int(s.split(":")[2])] for s in found[i].spans.split(",")}
         assert kinds["weak_id"] == "client_id=alpha_one"
+    name = "n" * 300
+    wide = f'client_id"       =       "{name}" ' + "x1." * 40 + f"amazonaws.com {secret}"
+    found = secrets.secrets(docs_of(spark, [wide])).first()
+    assert {wide[int(s.split(":")[1]) : int(s.split(":")[2])] for s in found.spans.split(",")} == {f'client_id"       =       "{name}', "x1." * 40 + "amazonaws.com", secret}
     very_long = docs_of(spark, ["id " * 300_000 + f"client_id=alpha_one {secret}"])
     assert secrets.secrets(very_long).first().n_linked == 2
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -28,7 +29,7 @@ from recollect.llm.common import cut, private, release, values
 WINDOW = 128  #: bytes of a window; it ends at the next space, or after twice as many
 LEVEL = 12  #: compression level
 SAMPLE = (2500, 5000)  #: toxic and ordinary documents that training reads at most
-ORDINARY = 300  #: characters of frequent ordinary content
+FREQUENT, ORDINARY = 80, 300  #: beginnings of frequent ordinary words, and characters of them that count
 PART = 5  #: characters of an inner part of a fragment
 TOXIC = 8_000  #: bytes of toxic content at most
 
@@ -81,18 +82,6 @@ def words_of(text: str) -> set[str]:
     return set(re.findall(r"[^\W\d_]+", text.lower()))
 
 
-def novel(docs: list[set[str]]) -> list[int]:
-    """Which documents, by their words, aren't near copies of earlier ones."""
-    seen: set[str] = set()
-    out = []
-    for i, found in enumerate(docs):
-        rare = {w for w in found if len(w) >= 8}
-        if not rare or len(rare & seen) <= 0.5 * len(rare):
-            out.append(i)
-        seen |= rare
-    return out
-
-
 def _beginnings(docs: list[set[str]], among: Counter | None = None) -> Counter:
     """Documents of each word beginning of 4 to 11 characters, its space included."""
     n: Counter = Counter()
@@ -102,25 +91,46 @@ def _beginnings(docs: list[set[str]], among: Counter | None = None) -> Counter:
     return n
 
 
-def _alike(fragments: list[str], ordinary: list[set[str]]) -> list[str]:
-    """Ordinary words that hold the inner parts of toxic fragments: in both dictionaries, they make those parts tell nothing."""
-    n = Counter(" " + w for found in ordinary for w in found)
+def _summed(known: DataFrame, counted: Callable[[list[set[str]]], Counter]) -> DataFrame:
+    """g, n: what counted gives for the words of documents, a batch at a time, added up."""
+
+    def run(batches):
+        for batch in batches:
+            n = counted([set(w) for w in values(batch.column("words"))])
+            yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], names=["g", "n"])
+
+    return known.select("words").mapInArrow(run, "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
+
+
+def _words(docs: list[set[str]]) -> Counter:
+    return Counter(" " + w for found in docs for w in found)
+
+
+def _alike(fragments: list[str], ordinary: DataFrame) -> list[str]:
+    """Of the ordinary words that hold an inner part of toxic fragments, the most frequent for each part: in both dictionaries, they
+    make those parts tell nothing. Words of a single document don't count."""
     parts = {g[i : i + PART] for g in fragments for i in range(1, len(g) - PART + 1)}
-    best: dict[str, str] = {}
-    for w in sorted(n, key=lambda w: (-n[w], w)):
-        for part in {w[i : i + PART] for i in range(len(w) - PART + 1)} & parts:
-            best.setdefault(part, w)
-    return sorted({w for part, w in best.items() if n[w] > 1})
-
-
-def dictionaries(toxic: list[set[str]], ordinary: list[set[str]]) -> tuple[bytes, bytes]:
-    """(ordinary, toxic) dictionary content from the words of documents."""
-    n1, least = _beginnings(toxic), max(4, 0.006 * len(toxic))
-    n1 = Counter({g: n for g, n in n1.items() if n >= least})
-    n0 = _beginnings(ordinary, n1)
+    frequent = _summed(ordinary, _words).where("n > 1")
+
+    def held(batches):
+        for batch in batches:
+            rows = [(part, -n, w) for w, n in zip(values(batch.column("g")), values(batch.column("n")), strict=True) for part in {w[i : i + PART] for i in range(len(w) - PART + 1)} & parts]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string()))], names=["part", "less", "word"])
+
+    best = frequent.mapInArrow(held, "part string, less long, word string").groupBy("part").agg(F.min(F.struct("less", "word")).alias("b"))
+    return sorted({r.word for r in best.select("b.word").collect()})  # one for each part of a fragment at most
+
+
+def dictionaries(toxic: DataFrame, ordinary: DataFrame) -> tuple[bytes, bytes]:
+    """(ordinary, toxic) dictionary content from documents with the words of each (words). Words are counted in tasks; the driver
+    gets the beginnings that pass the bounds."""
+    size1, size0 = toxic.count(), ordinary.count()
+    least = max(4, 0.006 * size1)
+    n1 = Counter({r.g: r.n for r in _summed(toxic, _beginnings).where(F.col("n") >= least).collect()})
+    n0 = Counter({r.g: r.n for r in _summed(ordinary, lambda docs: _beginnings(docs, n1)).collect()})
     chosen: dict[str, float] = {}
     for g, n in n1.items():
-        usual = (n0[g] + 1) / len(ordinary) * len(toxic)
+        usual = (n0[g] + 1) / size0 * size1
         if n > 6 * usual and n - usual > 6 * usual**0.5:
             chosen[g] = (n - usual) / usual**0.5
     kept: list[str] = []
@@ -128,12 +138,20 @@ def dictionaries(toxic: list[set[str]], ordinary: list[set[str]]) -> tuple[bytes
         if not any(k.startswith(g) and n1[k] >= 0.8 * n1[g] for k in kept):
             kept.append(g)
     kept.sort(key=lambda g: (chosen[g], g))
-    common = _beginnings(ordinary)
-    frequent = sorted(sorted(common, key=lambda g: (-common[g] * len(g), g))[:80], key=lambda g: (common[g], g))
-    base = ("".join(_alike(kept, ordinary)) + "".join(frequent)[-ORDINARY:]).encode()
+    common = _summed(ordinary, _beginnings).orderBy(F.desc(F.col("n") * F.length("g")), "g").limit(FREQUENT).orderBy("n", "g").collect()
+    base = ("".join(_alike(kept, ordinary)) + "".join(r.g for r in common)[-ORDINARY:]).encode()
     return base, "".join(kept).encode()[-TOXIC:] + base
 
 
+def novel(known: DataFrame) -> DataFrame:
+    """doc_id, toxic of the documents that aren't near copies of earlier ones: at most half of whose long words, if they have any, occur in a
+    document of a smaller id with the same label."""
+    rare = known.select("doc_id", "toxic", F.explode(F.filter("words", lambda w: F.length(w) >= 8)).alias("word"))
+    first = rare.groupBy("toxic", "word").agg(F.min("doc_id").alias("first"))
+    seen = rare.join(first, ["toxic", "word"]).groupBy("doc_id", "toxic").agg(F.count("*").alias("n"), F.count_if(F.col("first") < F.col("doc_id")).alias("old"))
+    return known.select("doc_id", "toxic").join(seen, ["doc_id", "toxic"], "left").where("n is null or 2 * old <= n").select("doc_id", "toxic")
+
+
 def calibrated(contents: tuple[bytes, bytes], x: np.ndarray, y: np.ndarray) -> Model:
     """The model whose weights tell toxic (y 1) from ordinary documents (y 0) by their figures x."""
     mean, scale = x.mean(0), x.std(0) + 1e-6
@@ -160,29 +178,24 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> Model:
-    """Train on a bounded sample of labelled rows. Whole texts are read, in tasks; the driver gets the distinct words of
-    each sampled document, and three figures of those that calibrate."""
+    """Train on a bounded sample of labelled rows. Whole texts are read and words counted in tasks; the driver gets ids of sampled
+    documents, beginnings that pass the bounds, and three figures of the documents that calibrate."""
     rows = cut(sampled(docs, labels, sample).repartition(16))
 
     def told(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("toxic"), pa.array([sorted(words_of(t)) for t in values(batch.column("text"))], pa.list_(pa.string()))], names=["doc_id", "toxic", "words"])
 
-    found = rows.mapInArrow(told, "doc_id long, toxic int, words array<string>").toArrow().sort_by("doc_id")
-    one: dict[str, str] = {}  # each word is held once
-    parts: dict[int, tuple[list[int], list[set[str]]]] = {0: ([], []), 1: ([], [])}
-    for i, y, w in zip(*(values(found.column(n)) for n in found.column_names), strict=True):
-        parts[y][0].append(i)
-        parts[y][1].append({one.setdefault(x, x) for x in w})
-    del found
-    learn, held = {}, {}
-    for y, (ids, sets) in parts.items():
-        kept = novel(sets)
-        learn[y], held[y] = [sets[k] for j, k in enumerate(kept) if j % 3 != 2], [ids[k] for k in kept[2::3]]
+    known = cut(rows.mapInArrow(told, "doc_id long, toxic int, words array<string>"))
+    kept = sorted((r.toxic, r.doc_id) for r in novel(known).collect())  # two numbers a row of the bounded sample
+    by = {y: [i for t, i in kept if t == y] for y in (0, 1)}
+    held = {y: ids[2::3] for y, ids in by.items()}
     if not held[0] or not held[1]:
-        release(rows)
+        release(rows, known)
         return Model(b"", b"", (), (), (), constant=0.0)
-    contents = dictionaries(learn[1], learn[0])
+    learn = [(i, y) for y, ids in by.items() for k, i in enumerate(ids) if k % 3 != 2]
+    own = known.join(F.broadcast(rows.sparkSession.createDataFrame(learn, "doc_id long, toxic int")), ["doc_id", "toxic"])
+    contents = dictionaries(own.where("toxic = 1"), own.where("toxic = 0"))
 
     def measured(batches):
         for batch in batches:
@@ -191,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) ->
 
     told_by = rows.sparkSession.createDataFrame([(i,) for y in held for i in held[y]], "doc_id long")
     by_id = {r[0]: r[1:] for r in rows.join(F.broadcast(told_by), "doc_id").select("doc_id", "text").mapInArrow(measured, "doc_id long, a double, b double, c double").collect()}
-    release(rows)
+    release(rows, known)
     every = [*held[1], *held[0]]
     return calibrated(contents, np.array([by_id[i] for i in every]), np.array([1.0] * len(held[1]) + [0.0] * len(held[0])))
 

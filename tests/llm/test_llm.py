@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -521,13 +522,55 @@ def test_dictionaries_tell_better_than_those_of_zstandards_trainer(spark):
     rows = toxicity.sampled(docs, labels).collect()
     texts = {y: [r.text for r in sorted(rows, key=lambda r: r.doc_id) if r.toxic == y] for y in (0, 1)}
     held = docs.join(labels, "doc_id").where(toxicity.held_out("doc_id") & F.col("toxic").isNotNull()).orderBy(F.xxhash64("doc_id")).limit(400).collect()
-    own = toxicity.dictionaries(*([toxicity.words_of(t) for t in texts[y]] for y in (1, 0)))
+    own = toxicity.dictionaries(*(spark.createDataFrame([(sorted(toxicity.words_of(t)),) for t in texts[y]], "words array<string>") for y in (1, 0)))
     trained = [zstandard.train_dictionary(8_000, [w for t in texts[y] for w in toxicity.windows(t)]).as_bytes() for y in (0, 1)]
     areas = [area([toxicity.figures(r.text or "", *d)[0] for r in held], [r.toxic for r in held]) for d in (own, trained)]
     print("area under the curve: ours, trainer's", areas)
     assert areas[0] > areas[1]
 
 
+def test_training_counts_words_as_going_through_the_documents_does(spark):
+    """Novel documents, and the dictionaries, from their definitions on sets in memory."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = sorted(toxicity.sampled(docs, labels, (60, 120)).collect(), key=lambda r: r.doc_id)
+    rows = [(r.doc_id, r.toxic, sorted(toxicity.words_of(r.text))) for r in rows]
+    rows += [(10**6 + i, y, w[: len(w) // 2 + i % 3] + [f"newword{i}"]) for i, (_, y, w) in enumerate(rows[:40])]
+    known = spark.createDataFrame(rows, "doc_id long, toxic int, words array<string>").repartition(3)
+    want = []
+    for y in (0, 1):
+        seen = set()
+        for i, _, w in sorted(r for r in rows if r[1] == y):
+            rare = {x for x in w if len(x) >= 8}
+            if not rare or len(rare & seen) <= 0.5 * len(rare):
+                want.append((i, y))
+            seen |= rare
+    assert sorted(tuple(r) for r in toxicity.novel(known).collect()) == sorted(want) and len(want) < len(rows)
+
+    toxic, ordinary = ([set(r[2]) for r in rows if r[1] == y] for y in (1, 0))
+    begins = lambda sets: Counter(p for w in sets for p in {(" " + x)[:k] for x in w for k in range(4, min(len(x) + 1, 11) + 1)})
+    n1, n0 = begins(toxic), begins(ordinary)
+    score = {}
+    for g, n in n1.items():
+        usual = (n0[g] + 1) / len(ordinary) * len(toxic)
+        if n >= max(4, 0.006 * len(toxic)) and n > 6 * usual and n - usual > 6 * usual**0.5:
+            score[g] = (n - usual) / usual**0.5
+    kept = []
+    for g in sorted(score, key=lambda g: (-len(g), g)):
+        if not any(k.startswith(g) and n1[k] >= 0.8 * n1[g] for k in kept):
+            kept.append(g)
+    kept.sort(key=lambda g: (score[g], g))
+    frequent = sorted(sorted(n0, key=lambda g: (-n0[g] * len(g), g))[:80], key=lambda g: (n0[g], g))
+    n = Counter(" " + x for w in ordinary for x in w)
+    parts = {g[i : i + 5] for g in kept for i in range(1, len(g) - 4)}
+    best = {}
+    for w in sorted(n, key=lambda w: (-n[w], w)):
+        for part in {w[i : i + 5] for i in range(len(w) - 4)} & parts:
+            best.setdefault(part, w)
+    base = ("".join(sorted({w for w in best.values() if n[w] > 1})) + "".join(frequent)[-300:]).encode()
+    found = toxicity.dictionaries(known.where("toxic = 1"), known.where("toxic = 0"))
+    assert found == (base, "".join(kept).encode()[-8000:] + base) and kept
+
+
 def test_scores_are_those_of_windows_compressed_one_by_one(spark):
     """Each score from its definition: lengths under either dictionary, three figures, logistic weights."""
     import zstandard

@@ -110,6 +110,25 @@ def test_recall_bridges_filters_and_drops(spark):
     assert recalls.multi_lane("an entity question here") and not recalls.multi_lane("abc")
 
 
+def test_recall_over_the_graph_and_with_separation(spark):
+    texts = ["license alpha https://e.org/a", "middle https://e.org/a https://e.org/b", "far away https://e.org/b", "license other words", "license other words too", "nothing at all"]
+    rows = [(i, "en", "r" if i != 6 else "s", t, "active", 0, 10) for i, t in enumerate(texts, 1)]
+    memories = spark.createDataFrame(rows, "memory_id long, kind string, realm string, content string, status string, access int, created long")
+    lane = spark.createDataFrame([(1, 1), (4, 2), (5, 3), (6, 4)], "memory_id long, rank long")
+    sure = spark.createDataFrame([(5, 0.9), (1, 0.1)], "memory_id long, cosine double")
+
+    def asked(**more):
+        return [r.memory_id for r in recalls.recall(recalls.Asked("license question", **more), memories, [(lane, 1.0)], sure=sure).orderBy("rank").collect()]
+
+    plain, reached = asked(), asked(graph=True)
+    assert set(plain) == {1, 2, 4, 5, 6} and set(reached) == {1, 2, 3, 4, 5, 6} and reached[0] == 5  # what is sure stays ahead
+    assert set(asked(realm="r")) == {1, 2, 4, 5}
+    # Of two likenesses the second comes after what is different, if that isn't much worse.
+    apart = asked(separate=True, limit=3)
+    assert len(apart) == 3 and not {4, 5} <= set(apart[:2])
+    assert asked(window=(0, 5)) == []
+
+
 def test_lines_of_transcripts_are_numbered_over_splits(spark, tmp_path):
     lines = ["not json" if i % 50 == 0 else f'{{"type":"user","message":{{"role":"user","content":"turn {i} {"x" * 50}"}}}}' for i in range(400)]
     (tmp_path / "a.jsonl").write_text("\n".join(lines) + "\n")

@@ -681,3 +681,24 @@ def test_vectors_and_tokens_with_clashing_columns(spark, tokenizer):
     docs = spark.createDataFrame([(1, "a b", *extra), (1, "a b", *extra), (None, None, *extra)], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
     assert packing.pack(docs, tokenizer_path()).count() == 3
     assert [r.n_tokens for r in bpe.round_trip(docs, tokenizer_path()).orderBy("doc_id").collect()] == [0, 2, 2] and bpe.round_trip(docs.limit(0), tokenizer_path()).count() == 0
+
+
+def test_blocks_of_lines_do_not_depend_on_how_many_there_are(spark, monkeypatch):
+    texts = ["alpha bravissimo charlatan deltoid echoes foxtrotting golfers hotelier"]
+    one = lines.lines(docs_of(spark, texts)).select("drawn").first().drawn
+    assert len(one) == 4 and one == sorted(one)
+    blocks = docs_of(spark, texts).select(F.array(*map(F.lit, one)).alias("w")).select(lines.word_blocks("w").alias("b")).first().b
+    assert len(set(blocks)) == 6
+    assert not hasattr(lines, "MANY_LINES") and "count" not in lines.lines.__code__.co_names
+
+
+def test_lines_told_apart_by_runs_are_beyond_their_distance():
+    rng = np.random.default_rng(3)
+    letters = list("abcdefgh ")
+    for n in (3, 60, 300):
+        xs = ["".join(rng.choice(letters, n)) for _ in range(40)]
+        ys = ["".join(c if rng.random() > 0.15 else str(rng.choice(letters)) for c in x) for x in xs[:20]] + ["".join(rng.choice(list("ijklmnop "), n)) for _ in range(20)]
+        most = [int(0.2 * n)] * 40
+        far = lines.apart(xs, ys, most)
+        assert not any(f and edits(x, y) <= m for f, x, y, m in zip(far, xs, ys, most, strict=True))
+        assert n < 60 or far[20:].all()

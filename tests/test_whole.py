@@ -1,6 +1,9 @@
 """Queries do the whole job: every row counts, whatever the size of the table."""
 
+import numpy as np
+
 from recollect import queries
+from recollect.operators import similar
 
 SF = "/root/testdata/sf0.001"
 
@@ -11,3 +14,16 @@ def test_surprises_are_those_of_all_events(spark):
     row = queries.QUERIES["surprise_learning_stats"](spark, SF).first()
     assert row.passed == off.sum() and row.tracked == tape["props"].nunique()
     assert row.adjustment == round(0.05 * off.sum(), 4)
+
+
+def test_only_pairs_near_the_threshold_are_dealt_out(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((3000, 64))
+    y = x[:100] + 0.3 * rng.standard_normal((100, 64))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(np.concatenate([x, y]).tolist())], "vec_id long, embedding array<double>")
+    met = {(r.a, r.b) for r in similar.candidates(df, 0.9).collect()}
+    u = np.concatenate([x, y])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    near = {(a, b) for a, b in np.argwhere(np.triu(u @ u.T >= 0.9, 1)).tolist()}
+    assert len(near) >= 90 and len(near & met) >= 0.95 * len(near)
+    assert len(met) < 5000  # hundreds of thousands share a key

@@ -1,9 +1,10 @@
 """Queries do the whole job: every row counts, whatever the size of the table."""
 
 import numpy as np
+import pyarrow as pa
 
 from recollect import queries
-from recollect.operators import similar
+from recollect.operators import lexical, similar
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,3 +28,12 @@ def test_only_pairs_near_the_threshold_are_dealt_out(spark):
     near = {(a, b) for a, b in np.argwhere(np.triu(u @ u.T >= 0.9, 1)).tolist()}
     assert len(near) >= 90 and len(near & met) >= 0.95 * len(near)
     assert len(met) < 5000  # hundreds of thousands share a key
+
+
+def test_words_are_counted_few_texts_at_a_time():
+    words = [["a", "b", "a"], None, []] + [[f"w{i}", "a"] for i in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(303), pa.int64()), pa.array(words, pa.list_(pa.string()))], names=["memory_id", "w"])
+    out = list(lexical.counted(iter([batch]), "memory_id"))
+    assert max(len(set(b.column("memory_id").to_pylist())) for b in out) <= lexical.AT_ONCE
+    rows = [tuple(r.values()) for b in out for r in b.to_pylist()]
+    assert len(rows) == 602 and rows[:3] == [(0, "a", 2, 3), (0, "b", 1, 3), (3, "w0", 1, 2)]

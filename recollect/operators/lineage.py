@@ -11,9 +11,12 @@ from recollect.operators.graph import settled, unsettle
 def chain(links: DataFrame, start: DataFrame, levels: int = 10_000) -> DataFrame:
     """start, id, position: what superseded each start (id), and what superseded that, in order; links are older, newer.
 
-    A recursive query for few starts. A chain that comes back to an id it has passed ends there; a memory with several
-    successors is followed to each.
+    A chain that comes back to an id it has passed ends there; a memory with several successors is followed to each. Where
+    no memory has several, each round doubles the stretch that is known, so a chain of n takes log n joins; otherwise it is a
+    recursive query for few starts, one level after the other.
     """
+    if links.where("older is not null").groupBy("older").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return _line(links, start)
     return links.sparkSession.sql(
         f"""with recursive chain(start, id, position, passed) max recursion level {levels} as (
           select id, id, 0, array(id) from {{start}}
@@ -23,6 +26,26 @@ def chain(links: DataFrame, start: DataFrame, levels: int = 10_000) -> DataFrame
     )
 
 
+def _line(links: DataFrame, start: DataFrame) -> DataFrame:
+    """chain() of links that give each memory one successor at most.
+
+    A round knows the first 2^k places of each chain and what comes 2^k places after each memory. In a cycle the places go
+    on, but bring no new id.
+    """
+    jump = settled(links.select("older", "newer"))
+    found, size, stretch = settled(start.select(F.col("id").alias("start"), "id", F.lit(0).alias("position"))), -1, 1
+    while (n := found.count()) != size:
+        size = n
+        further = found.join(jump, F.col("id") == F.col("older")).select("start", F.col("newer").alias("id"), (F.col("position") + stretch).alias("position"))
+        grown = settled(found.unionByName(further).groupBy("start", "id").agg(F.min("position").alias("position")))
+        on = jump.select(F.col("older").alias("newer"), F.col("newer").alias("to"))
+        longer = settled(jump.join(on, "newer").select("older", F.col("to").alias("newer")))
+        unsettle(found, jump)
+        found, jump, stretch = grown, longer, 2 * stretch
+    unsettle(jump)
+    return found
+
+
 def heads(links: DataFrame) -> DataFrame:
     """id, head, steps: for every superseded memory what stands at the end of its chain, and how far away that is.
 

@@ -62,6 +62,18 @@ def test_chains_of_any_length_and_cycles(spark):
     assert lineage.heads(links(spark, [])).count() == 0
 
 
+def test_a_long_chain_takes_few_rounds(spark):
+    rows = spark.range(12_000).select(F.col("id").alias("older"), (F.col("id") + 1).alias("newer"))
+    found = lineage.chain(rows, spark.createDataFrame([(5,), (11_990,)], "id long"))
+    told = found.groupBy("start").agg(F.count("*").alias("n"), F.max("position").alias("last"), F.sum((F.col("id") - F.col("start") - F.col("position")).cast("long")).alias("off")).collect()
+    assert sorted((r.start, r.n, r["last"], r.off) for r in told) == [(5, 11_996, 11_995, 0), (11_990, 11, 10, 0)]
+
+
+def test_a_chain_that_parts_is_followed_to_each(spark):
+    found = lineage.chain(links(spark, [(1, 2), (1, 3), (3, 4), (4, 1)]), spark.createDataFrame([(1,)], "id long")).collect()
+    assert sorted((r.position, r.id) for r in found) == [(0, 1), (1, 2), (1, 3), (2, 4)]
+
+
 def test_ancestors_with_a_cycle(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("a", "e"), ("d", "e")], "subject string, object string")
     found = {(r.node, r.ancestor): r.depth for r in lineage.ancestors(edges).collect()}

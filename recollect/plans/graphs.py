@@ -10,6 +10,8 @@ from recollect.plans.registry import query
 from recollect.sources.tables import facts, memories, table, triplets
 
 DAY = "1996-06-01"
+LEAST_DEALT, LINES_OF_A_TASK = 8, 250_000  #: partitions at least that lines are dealt to, lines of each
+
 _T = """(select 'customer:' || c_custkey subject, 'in_nation' predicate, 'nation:' || c_nationkey object, 1.0::double weight from customer union all
   select 'supplier:' || s_suppkey, 'in_nation', 'nation:' || s_nationkey, 1.0 from supplier union all
   select 'nation:' || n_nationkey, 'in_region', 'region:' || n_regionkey, 1.0 from nation)"""
@@ -115,9 +117,13 @@ def god_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select a.l_partkey part, b.l_partkey other, count(*) n from (select distinct l_orderkey, l_partkey from lineitem) a join (select distinct l_orderkey, l_partkey from lineitem) b on a.l_orderkey = b.l_orderkey and a.l_partkey < b.l_partkey group by all having count(*) >= 2")
 def cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts that occur together in two orders or more; an order has a handful of lines, which bounds its pairs."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    # So many partitions that a task's share doesn't grow with the table. Pairs hardly repeat within a task, so they are counted after they are dealt out only.
+    n = max(LEAST_DEALT, -(-rows.count() // LINES_OF_A_TASK))
+    lines = rows.repartition(n, "l_orderkey").distinct()
     pairs = lines.alias("a").join(lines.alias("b"), F.expr("a.l_orderkey = b.l_orderkey and a.l_partkey < b.l_partkey"))
-    return pairs.groupBy(F.col("a.l_partkey").alias("part"), F.col("b.l_partkey").alias("other")).agg(F.count("*").alias("n")).where("n >= 2")
+    pairs = pairs.select(F.col("a.l_partkey").alias("part"), F.col("b.l_partkey").alias("other")).repartition(n, "part", "other")
+    return pairs.groupBy("part", "other").agg(F.count("*").alias("n")).where("n >= 2")
 
 
 @query(f"with s as (select object node, 1.0::double w from {_T} where subject = 'customer:1'), h as (select t.subject node, sum(s.w * 0.5 * t.weight) w from s join {_T} t on t.object = s.node group by t.subject), g as (select t.object node, sum(s.w * 0.5 * t.weight) w from s join {_T} t on t.subject = s.node group by t.object) select node, round(sum(w), 6) activation from (select * from s union all select * from h union all select * from g) group by node")

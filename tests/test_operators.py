@@ -1,9 +1,10 @@
-from collections import deque
+from collections import Counter, deque
 
 from pyspark.sql import functions as F
 
 from recollect.functions import text as T
 from recollect.operators import fusion, graph, lexical, tape, vector
+from recollect.plans import graphs
 
 
 def test_lex_tokens_of_columns_and_of_queries_agree(spark):
@@ -79,3 +80,14 @@ def test_outcomes_against_all_pairs(spark):
         n, good, fails = want.get(item, (0, 0, 0))
         want[item] = (n + 1, good + (known and not bad), fails + bad)
     assert {r["item"]: (r.injections, r.successes, r.failures) for r in tape.outcomes(a, b, 60).collect()} == want == {7: (2, 1, 1), 8: (1, 0, 1), 9: (3, 1, 1)}
+
+
+def test_cooccurrence_deals_lines_to_more_tasks_as_they_grow(spark, tmp_path, monkeypatch):
+    lines = [(o, p) for o in range(60) for p in range(o % 7, o % 7 + 3)] + [(0, 0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(graphs, "LINES_OF_A_TASK", 10)
+    found = graphs.cooccurrence(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(", 19), REPARTITION_BY_NUM") >= 3  # 181 lines
+    counts = Counter((a, b) for o in range(60) for a in range(o % 7, o % 7 + 3) for b in range(a + 1, o % 7 + 3))
+    assert {(r.part, r.other): r.n for r in found.collect()} == {k: n for k, n in counts.items() if n >= 2}

@@ -30,8 +30,9 @@ def occurrences(tape: DataFrame, depth: int, support: int = 2) -> DataFrame:
         found = kept if found is None else found.unionByName(kept)
         if n == depth or kept.isEmpty():
             break
+        # Merged: a table of grams is small as a file, but a row for each place once it is read, too many to be broadcast.
         before = kept.select("session", (F.col("place") + 1).alias("place"), F.col("gram").alias("first"))
-        level = kept.drop("gram", "n", "size").join(before, ["session", "place"]).withColumn("gram", F.concat_ws(SEPARATOR, "first", "symbol"))
+        level = kept.drop("gram", "n", "size").join(before.hint("merge"), ["session", "place"]).withColumn("gram", F.concat_ws(SEPARATOR, "first", "symbol"))
     return found.drop("symbol")
 
 
@@ -50,7 +51,7 @@ def states(found: DataFrame, rate: float = 0.5) -> DataFrame:
     # Rank of an end position in two levels, as a short context may end at a large share of the tape.
     sessions = rows.groupBy("gram", "session").agg(F.count("*").alias("here"))
     before = F.coalesce(F.sum("here").over(Window.partitionBy("gram").orderBy("session").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = rows.withColumn("within", F.row_number().over(Window.partitionBy("gram", "session").orderBy("place"))).join(sessions.select("gram", "session", before.alias("earlier")), ["gram", "session"])
+    ranked = rows.withColumn("within", F.row_number().over(Window.partitionBy("gram", "session").orderBy("place"))).join(sessions.select("gram", "session", before.alias("earlier")).hint("merge"), ["gram", "session"])
     pace = F.lit(rate) / F.col("size")
     part = F.col("reward") * pace * F.pow(1 - pace, F.col("size") - F.col("earlier") - F.col("within"))
     values = ranked.groupBy("gram", "n", "size").agg(F.sum(part).alias("q"))

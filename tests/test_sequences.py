@@ -62,6 +62,12 @@ def test_chains_of_any_length_and_cycles(spark):
     assert lineage.heads(links(spark, [])).count() == 0
 
 
+def test_tables_of_places_are_not_broadcast(spark):
+    tape = spark.createDataFrame([("s", i + 1, "ab"[i % 2], 1.0) for i in range(9)], "session string, place long, symbol string, reward double")
+    plan = motifs.states(motifs.occurrences(tape, 3))._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan
+
+
 def test_a_long_chain_takes_few_rounds(spark):
     rows = spark.range(12_000).select(F.col("id").alias("older"), (F.col("id") + 1).alias("newer"))
     found = lineage.chain(rows, spark.createDataFrame([(5,), (11_990,)], "id long"))

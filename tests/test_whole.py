@@ -37,3 +37,10 @@ def test_words_are_counted_few_texts_at_a_time():
     assert max(len(set(b.column("memory_id").to_pylist())) for b in out) <= lexical.AT_ONCE
     rows = [tuple(r.values()) for b in out for r in b.to_pylist()]
     assert len(rows) == 602 and rows[:3] == [(0, "a", 2, 3), (0, "b", 1, 3), (3, "w0", 1, 2)]
+
+
+def test_texts_are_counted_as_their_words_are():
+    texts = ["a b-a É2x", None, "", "k_k 7"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4), pa.int64()), pa.array(texts, pa.string())], names=["memory_id", "w"])
+    rows = [tuple(r.values()) for b in lexical.counted(iter([batch]), "memory_id") for r in b.to_pylist()]
+    assert rows == [(0, "a", 2, 4), (0, "b", 1, 4), (0, "2x", 1, 4), (3, "k", 2, 3), (3, "7", 1, 3)]

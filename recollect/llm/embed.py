@@ -104,11 +104,13 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
 
     cuts = [(i, s) for i in range(codes) for s in range(0, BITS - part + 1, part)]
     key = lambda i, s: F.shiftrightunsigned(f"c{i}", s).bitwiseAND(F.lit((1 << part) - 1).cast("long"))
+    # What grows with the vectors is merged: by the size of their files, keys and classes of many vectors would pass for
+    # small tables and be broadcast by the driver.
     keyed = classes.select("rep", *(f"c{i}" for i in range(codes)), F.posexplode(F.array(*(key(i, s) for i, s in cuts))).alias("t", "key"))
     probes = keyed.withColumn("key", F.explode(F.array(F.col("key"), *(F.col("key").bitwiseXOR(F.lit(1 << b).cast("long")) for b in range(part)))))
     l, r = keyed.alias("l"), probes.alias("r")
     differ = sum((F.bit_count(F.col(f"l.c{i}").bitwiseXOR(F.col(f"r.c{i}"))) for i in range(codes)), F.lit(0))
-    pairs = l.join(r, (F.col("l.t") == F.col("r.t")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.rep") < F.col("r.rep")) & (differ <= DIFFER * codes))
+    pairs = l.join(r.hint("merge"), (F.col("l.t") == F.col("r.t")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.rep") < F.col("r.rep")) & (differ <= DIFFER * codes))
     pairs = pairs.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct()
 
     def compared(batches):
@@ -117,17 +119,17 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
             cosine = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1))) if len(x) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(cosine >= threshold))
 
-    held = classes.select("rep", "v")
+    held = classes.select("rep", "v").hint("merge")
     both = pairs.join(held.select(F.col("rep").alias("a"), F.col("v").alias("x")), "a").join(held.select(F.col("rep").alias("b"), F.col("v").alias("y")), "b")
     links = cut(both.mapInArrow(compared, "a long, b long"))
 
-    copies = classes.select("rep", "copies")
+    copies = classes.select("rep", "copies").hint("merge")
     ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    linked = ends.join(copies.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("near"))
-    found = components(links).withColumnRenamed("id", "rep")
+    linked = ends.join(copies.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("near")).hint("merge")
+    found = components(links).withColumnRenamed("id", "rep").hint("merge")
     # A class's row is small from here on.
     placed = classes.select("fp", "rep", "copies").join(linked, "rep", "left").join(found, "rep", "left")
     placed = placed.select("fp", (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    done = signed.select("vec_id", "fp").join(placed, "fp").select("vec_id", "n_links", "component_id")
+    done = signed.select("vec_id", "fp").join(placed.hint("merge"), "fp").select("vec_id", "n_links", "component_id")
     alone = rows.where(~F.coalesce(F.col("vec_id").isNotNull() & usable("embedding") & filled, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return done.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

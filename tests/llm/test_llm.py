@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from recollect.llm import bpe, common, lines, minhash, packing, pii, queries, secrets, suffix, topk, toxicity, words
+from recollect.llm import bpe, common, embed, lines, minhash, packing, pii, queries, secrets, suffix, topk, toxicity, words
 from recollect.llm.embed import near_vectors, tables
 from recollect.llm.queries import tokenizer_path
 
@@ -702,3 +702,22 @@ def test_lines_told_apart_by_runs_are_beyond_their_distance():
         far = lines.apart(xs, ys, most)
         assert not any(f and edits(x, y) <= m for f, x, y, m in zip(far, xs, ys, most, strict=True))
         assert n < 60 or far[20:].all()
+
+
+def test_tables_of_vectors_and_links_are_not_broadcast(spark, monkeypatch):
+    plans, real = [], common.cut
+
+    def told(df, *more):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, *more)
+
+    for module in (embed, common):
+        monkeypatch.setattr(module, "cut", told)
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((30, 16))
+    x = np.concatenate([base, base + 0.05 * rng.standard_normal((30, 16)), base[:5]])
+    found = embed.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"))
+    told(found)
+    assert sum("SortMergeJoin" in p for p in plans) >= 4 and not any("Broadcast" in p for p in plans)
+    rows = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in found.collect()}
+    assert rows == {i: (1 + (i % 30 < 5), i % 30, i < 30) for i in range(65)}

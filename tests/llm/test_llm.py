@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from recollect.llm import bpe, common, embed, lines, minhash, packing, pii, queries, secrets, suffix, topk, toxicity, words
+from recollect.llm import bpe, common, embed, lines, linking, minhash, packing, pii, queries, secrets, suffix, topk, toxicity, words
 from recollect.llm.embed import near_vectors, tables
 from recollect.llm.queries import tokenizer_path
 
@@ -721,3 +721,27 @@ def test_tables_of_vectors_and_links_are_not_broadcast(spark, monkeypatch):
     assert sum("SortMergeJoin" in p for p in plans) >= 4 and not any("Broadcast" in p for p in plans)
     rows = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in found.collect()}
     assert rows == {i: (1 + (i % 30 < 5), i % 30, i < 30) for i in range(65)}
+
+
+def test_nearest_pairs_first_give_the_same_components_with_fewer_pairs(spark):
+    """Items on a line, links of up to 3: all pairs of a bucket are near, but neighbours settle most of them."""
+    rng = random.Random(4)
+    ids = sorted(1000 * g + x for g in range(12) for x in rng.sample(range(16), 8))
+    items = spark.createDataFrame([(i,) for i in ids], "rep long")
+    shared = spark.createDataFrame([(i // 1000, i) for i in ids], "band long, rep long")
+    differ = lambda l, r: F.abs(F.col(f"{l}.rep") - F.col(f"{r}.rep"))
+
+    def run(*more):
+        seen = []
+
+        def confirm(pairs):
+            seen.extend((r.a, r.b) for r in pairs.select("a", "b").collect())
+            return pairs.where("b - a <= 3").select("a", "b")
+
+        found = linking.link(shared, items, lambda l, r: differ(l, r) <= 40, confirm, *more)
+        return {r.id: r.component for r in found.collect()}, seen
+
+    (usual, all_pairs), (found, fewer) = run(), run(differ, (1, 3))
+    label = groups(len(ids), [(i, j) for i, a in enumerate(ids) for j, b in enumerate(ids[:i]) if a - b <= 3])
+    assert [ids[label[i]] for i in range(len(ids))] == [found.get(a, a) for a in ids] == [usual.get(a, a) for a in ids]
+    assert len(fewer) == len(set(fewer)) and len(fewer) < len(all_pairs)

@@ -745,3 +745,52 @@ def test_nearest_pairs_first_give_the_same_components_with_fewer_pairs(spark):
     label = groups(len(ids), [(i, j) for i, a in enumerate(ids) for j, b in enumerate(ids[:i]) if a - b <= 3])
     assert [ids[label[i]] for i in range(len(ids))] == [found.get(a, a) for a in ids] == [usual.get(a, a) for a in ids]
     assert len(fewer) == len(set(fewer)) and len(fewer) < len(all_pairs)
+
+
+def test_few_links_are_joined_by_one_task(spark, monkeypatch):
+    rng = random.Random(6)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(230)] + [(i, 1000 - i) for i in range(500, 520)] + [(1 << 62, 3)]
+    cuts, real = [], common.cut
+    monkeypatch.setattr(common, "cut", lambda df, *more: cuts.append(df) or real(df, *more))
+    found = {r.id: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long"), at_once=common.LINKS).collect()}
+    assert len(cuts) == 2  # a round writes one more
+    assert found == {r.id: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    ids = sorted(found)
+    label = groups(len(ids), [(ids.index(a), ids.index(b)) for a, b in edges if a != b])
+    assert [found[i] for i in ids] == [ids[x] for x in label]
+
+
+@pytest.mark.parametrize("columns", [1, 3, 48])
+def test_edit_distances_of_many_pairs_abreast(monkeypatch, columns):
+    monkeypatch.setattr(lines, "COLUMNS", columns)
+    rng, xs, ys, most = random.Random(1), [], [], []
+    for n in [0, 1, 7, 8, 9, 15, 16, 40, 63, 64, 65, 120] * 15:
+        x = "".join(rng.choice("ab cdé😀 ") for _ in range(n))
+        y = "".join(c if rng.random() > 0.2 else rng.choice(["", "x", "yy"]) for c in x) if rng.random() < 0.7 else "".join(rng.choice("ab cd") for _ in range(rng.randint(0, 70)))
+        xs, ys, most = [*xs, x], [*ys, y], [*most, max(0, edits(x, y) + rng.choice([-2, -1, 0, 1]))]
+    close = [edits(x, y) <= k for x, y, k in zip(xs, ys, most, strict=True)]
+    assert 20 < sum(close) < 160 and lines.all_within(xs, ys, most).tolist() == close
+    monkeypatch.setattr(lines, "ALONE", 50)
+    assert lines.all_within(xs, ys, most).tolist() == close
+
+
+def test_pairs_are_confirmed_in_parts_of_a_size(spark, monkeypatch):
+    pairs = spark.createDataFrame([(a, a + b) for a in range(100) for b in range(1, 11)], "a long, b long")
+    parts = [[(r.a, r.b) for r in p.collect()] for p in linking.in_parts(pairs, 1000, 250)]
+    assert len(parts) == 4 and sorted(x for p in parts for x in p) == sorted((r.a, r.b) for r in pairs.collect()) and max(map(len, parts)) < 400
+    assert len(linking.in_parts(pairs, 1000, 1000)) == 1
+    rng = random.Random(9)
+    passage, texts = prose(rng, 12), []
+    for i in range(40):
+        own = prose(rng, 12)
+        texts.append("\n".join([f"{own} {passage}", own.replace("a", "e"), own if i % 3 else own + " more"]))
+    usual = sorted((r.doc_id, r.n_kept, r.kept_sha256) for r in lines.line_report(docs_of(spark, texts)).collect())
+    dealt = []
+
+    def few(pairs, n, most):
+        dealt.append(linking.in_parts(pairs, n, 20))
+        return dealt[-1]
+
+    monkeypatch.setattr(lines, "in_parts", few)
+    assert usual == sorted((r.doc_id, r.n_kept, r.kept_sha256) for r in lines.line_report(docs_of(spark, texts)).collect())
+    assert max(map(len, dealt)) > 1
